@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontam, rules, simhash
 from .common import table
 
 
+def op3_quality_rules(spark, sf_dir):
+    return rules.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op4_decontamination(spark, sf_dir):
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_simhash": op8_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op8_simhash": op8_simhash}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontam.ORACLE_SQL}
