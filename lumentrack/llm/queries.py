@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, rules, simhash
+from . import bytebpe, decontam, rules, simhash
 from .common import table
 
 
@@ -14,9 +14,13 @@ def op4_decontamination(spark, sf_dir):
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_byte_bpe(spark, sf_dir):
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op8_simhash": op8_simhash}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash}
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontam.ORACLE_SQL}
