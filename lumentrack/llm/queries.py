@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, decontam, rules, simhash
+from . import bytebpe, decontam, rules, simhash, warc
 from .common import table
 
 
@@ -22,5 +22,9 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash}
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontam.ORACLE_SQL}
+def op10_warc(spark, sf_dir):
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op10_warc": op10_warc}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
