@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, decontam, rules, simhash, warc
+from . import bytebpe, decontam, quality, rules, simhash, warc
 from .common import table
 
 
@@ -22,9 +22,13 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark, sf_dir):
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op10_warc": op10_warc}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_warc": op10_warc}
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
