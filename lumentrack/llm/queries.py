@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bytebpe, decontam, quality, rules, simhash, warc
+from . import bytebpe, chat, decontam, langid, quality, rules, simhash, warc
 from .common import table
 
 
+def op2_chat_format(spark, sf_dir):
+    return chat.read_back(chat.format_chat(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op3_quality_rules(spark, sf_dir):
     return rules.quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
@@ -14,6 +18,10 @@ def op4_decontamination(spark, sf_dir):
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark, sf_dir):
     return bytebpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def op10_warc(spark, sf_dir):
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_warc": op10_warc}
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+QUERIES = {"op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op6_language_id": op6_language_id, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_warc": op10_warc}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
