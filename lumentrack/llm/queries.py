@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bytebpe, chat, decontam, langid, quality, rules, simhash, warc
+from . import bytebpe, chat, decontam, langid, pii, quality, rules, simhash, warc
 from .common import table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark, sf_dir):
     return chat.read_back(chat.format_chat(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -38,5 +42,5 @@ def op10_warc(spark, sf_dir):
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op6_language_id": op6_language_id, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_warc": op10_warc}
+QUERIES = {"op1_pii": op1_pii, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op6_language_id": op6_language_id, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_warc": op10_warc}
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
