@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, chat, decontam, langid, pii, quality, rules, simhash, warc
+from . import bytebpe, chat, decontam, langid, pii, quality, rules, simhash, tokenstore, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_decontamination(spark, sf_dir):
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_ids(spark, sf_dir):
+    return tokenstore.write_and_read(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_warc(spark, sf_dir):
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op6_language_id": op6_language_id, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_warc": op10_warc}
+QUERIES = {"op1_pii": op1_pii, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op5_token_ids": op5_token_ids, "op6_language_id": op6_language_id, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_warc": op10_warc}
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
