@@ -112,6 +112,24 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def encode_checked(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row; each text is decoded again and must come back byte for byte."""
+    path, pattern = _paths(path, pattern)
+
+    def run(batches):
+        tree = codec(path, pattern)
+        for batch in batches:
+            found = []
+            for value in batch.column(1):
+                text = value.as_py() or ""
+                found.append(tree.encode(text))
+                if tree.decode(found[-1]) != text.encode():
+                    raise ValueError("a text does not survive encoding and decoding")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+
+
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, content binary) of (doc_id, ids)."""
     path, pattern = _paths(path, pattern)

@@ -77,6 +77,12 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle
     return best.select("doc_id", "item_id", F.col("m.shared").cast("long").alias("shared"), F.col("m.n").cast("long").alias("n_shingles"), F.round(F.col("m.shared") / F.col("m.n"), 6).alias("containment"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose id holds no item. Rows without an id cannot be told apart and stay."""
+    leaked = materialise(contained(docs, items, threshold, shingle).select("doc_id").where("doc_id IS NOT NULL").distinct(), "leaked")
+    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH w AS (SELECT 'd' AS k, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents
   UNION ALL SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, unit_hash
 
@@ -127,11 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     return fit_pu(p, u) if len(p) >= 10 and len(u) >= 10 else None
 
 
-def scores(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """doc_id, the columns ``keep``, and score (0 to 1) of every row; 0.5 without a model. Null texts score as empty ones."""
-    rows = docs.select(*[k for k in ("doc_id", *keep) if k != "text"], "text")
+def scores(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns ``keep`` and, as ``out``, the score (0 to 1) of every row; 0.5 without a model. Null texts score as empty ones."""
+    rows = docs.select(*[k for k in keep if k != "text"], "text")
     fields = [f for f in rows.schema.fields if f.name != "text" or "text" in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", `score` double"
+    schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
@@ -141,11 +142,17 @@ def scores(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                 x = np.array([text_features(t.as_py()) for t in texts[lo : lo + 256]])
                 found[lo : lo + 256] = model.score(x)
             columns = batch.columns if "text" in keep else batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], [*(f.name for f in fields), "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], [*(f.name for f in fields), out])
 
     return rows.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score ``least`` or more."""
+    out = "_quality_score"
+    return scores(docs, fit(docs, labels), tuple(docs.columns), out).where(F.col(out) >= least).select(*docs.columns)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= ``least``) of every row; other columns are not read.
 

@@ -110,3 +110,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     of = materialise(roots.join(ids, "root").select("fp", "component_id"), "classes")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of one document for each component: that of the least doc_id.
+
+    Rows that repeat a doc_id are one document, of which the first row by text stays. Rows
+    without an id cannot be told apart: if any is in a component without ids, their distinct texts
+    stay, otherwise they go. The rows that go
+    are joined out by id, so texts move only where they are too many to broadcast.
+    """
+    ids = near_duplicates(docs, shingle=shingle).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"))
+    ids = materialise(ids.where("n > 1 OR NOT keep"), "losers")
+    single = docs.where("doc_id IS NOT NULL").join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = ids.where("keep").select(F.col("doc_id").alias("_id"))
+    lone = ids.where("doc_id IS NULL AND NOT keep").count() == 0  # a null id that stays by itself is in no list
+    repeated = docs.where("doc_id IS NOT NULL").join(again, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row")).select("row.*")
+    nulls = docs.where("doc_id IS NULL").dropDuplicates(["text"]) if lone else docs.limit(0)
+    return single.unionByName(repeated).unionByName(nulls)
