@@ -1,5 +1,7 @@
 """Registry of the engine's queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "fused_objects"
+from lumentrack.plans import trajectory
+
+QUERIES: dict = {**trajectory.QUERIES}
+ORACLE_SQL: dict[str, str] = {**trajectory.ORACLE_SQL}
+FLAGSHIP = "track_summary"
