@@ -1,7 +1,7 @@
 """Registry of the engine's queries and their SQL twins."""
 
-from lumentrack.plans import trajectory
+from lumentrack.plans import raster, trajectory
 
-QUERIES: dict = {**trajectory.QUERIES}
-ORACLE_SQL: dict[str, str] = {**trajectory.ORACLE_SQL}
+QUERIES: dict = {**trajectory.QUERIES, **raster.QUERIES}
+ORACLE_SQL: dict[str, str] = {**trajectory.ORACLE_SQL, **raster.ORACLE_SQL}
 FLAGSHIP = "track_summary"
