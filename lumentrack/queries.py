@@ -1,7 +1,7 @@
 """Registry of the engine's queries and their SQL twins."""
 
-from lumentrack.plans import raster, trajectory
+from lumentrack.plans import raster, semantic, trajectory
 
-QUERIES: dict = {**trajectory.QUERIES, **raster.QUERIES}
-ORACLE_SQL: dict[str, str] = {**trajectory.ORACLE_SQL, **raster.ORACLE_SQL}
-FLAGSHIP = "track_summary"
+QUERIES: dict = {**trajectory.QUERIES, **raster.QUERIES, **semantic.QUERIES}
+ORACLE_SQL: dict[str, str] = {**trajectory.ORACLE_SQL, **raster.ORACLE_SQL, **semantic.ORACLE_SQL}
+FLAGSHIP = "fused_objects"
