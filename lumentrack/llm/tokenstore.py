@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +32,8 @@ from .files import open_file, write_file
 MAGIC, INDEX_MAGIC = b"LTSHARD1", b"LTMPHIX1"
 #: Ids appended to each document; documents in an index file (on average); keys of a group.
 END_ID, INDEX_KEYS, GROUP = 1, 50_000, 4
-#: Words and pieces remembered by a worker; a full memory is emptied.
-MEMORY_WORDS, MEMORY_PIECES = 500_000, 400_000
+#: Words and pieces in each half of a worker's memory.
+MEMORY_WORDS, MEMORY_PIECES = 400_000, 400_000
 
 #: Text of only these characters is split here as the tokenizer's own pattern splits it once lower-cased.
 _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
@@ -39,6 +41,22 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0D
 _SPACE_SPLIT = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
+class Memory(dict):
+    """Results by key, made where missing; of two halves the older one goes when the newer is full."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(key)
+        self[key] = got = self.make(key) if got is None else got
+        return got
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, with each word and each piece encoded once while remembered.
 
@@ -63,38 +81,32 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(kept))}
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.is_special = re.compile("|".join(map(re.escape, self.special)) or "(?!)").search
+        self.words = Memory(self._word, MEMORY_WORDS)
+        self.pieces = Memory(self._piece, MEMORY_PIECES)
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= MEMORY_PIECES:
-                self.pieces.clear()
-            got = self.pieces[piece] = self._pack([t.id for t in self.tokenizer.model.tokenize("".join(map(self.alphabet.__getitem__, piece.encode())))])
-        return got
+        plain = piece if piece.isascii() and piece.isalnum() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(plain)])
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
-        if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            got = b"".join(map(self._piece, _PIECE.findall(word.lower())))
-        else:
-            got = self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            if len(self.words) >= MEMORY_WORDS:
-                self.words.clear()
-            self.words[raw] = got
-        return got
+        if _PLAIN.fullmatch(word) and not self.is_special(word):
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
+        return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text, without the end id."""
         if not self.by_word:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        known, word = self.words, self._word
-        return b"".join([known.get(w) or word(w) for w in text.encode().split()])  # bytes split at ASCII white space only; any other stays in a word and is dropped there
+        return b"".join(map(self.words.__getitem__, text.encode().split()))  # bytes split at ASCII white space only; any other stays in a word and is dropped there
 
 
 @lru_cache(maxsize=2)
