@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 LEAF, WINDOW, LEAF_IDS = 4096, 32, 4096
 #: The pattern decides on a piece within so many characters after it ('ll is the longest of its fixed strings).
 LOOK = 3
+#: Ids in a batch of output.
+BATCH_IDS = 1 << 18
 
 
 class TreeCodec:
@@ -85,6 +89,23 @@ class TreeCodec:
         return self.decode(ids[:mid], leaf) + self.decode(ids[mid:], leaf)
 
 
+def _encoded(tree: TreeCodec, batch, check: bool):
+    """Yield batches (doc_id, n_tokens, ids) of at most about BATCH_IDS ids, so that no batch's ids are held as Python numbers."""
+    ids, ends, first = array("i"), [0], 0
+    texts = batch.column(1)
+    for k in range(batch.num_rows):
+        text = texts[k].as_py() or ""
+        own = tree.encode(text)
+        if check and tree.decode(own) != text.encode():
+            raise ValueError("a text does not survive encoding and decoding")
+        ids.extend(own)
+        ends.append(len(ids))
+        if len(ids) >= BATCH_IDS or k == batch.num_rows - 1:
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32) if ids else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ends) - 1), pa.array(np.diff(ends), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
+            ids, ends, first = array("i"), [0], k + 1
+
+
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> TreeCodec:
     """One codec for each worker process."""
@@ -106,8 +127,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches):
         tree = codec(path, pattern)
         for batch in batches:
-            ids = [tree.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for part in _encoded(tree, batch, False):
+                yield part.select(["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -119,13 +140,7 @@ def encode_checked(docs: DataFrame, path: str | None = None, pattern: str | None
     def run(batches):
         tree = codec(path, pattern)
         for batch in batches:
-            found = []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                found.append(tree.encode(text))
-                if tree.decode(found[-1]) != text.encode():
-                    raise ValueError("a text does not survive encoding and decoding")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
+            yield from _encoded(tree, batch, True)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
@@ -137,7 +152,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     def run(batches):
         tree = codec(path, pattern)
         for batch in batches:
-            content = [tree.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            content = [tree.decode(ids.as_py() or []) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary())], ["doc_id", "content"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
