@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumentrack.operators import sampling as fr
 from lumentrack.operators import semantic as ml
 from lumentrack.operators import trajectory as tj
+from lumentrack.plans.trajectory import SUMMARY_CTE
 from lumentrack.sources.adapters import SQL, r6, tracks
 from lumentrack.sources.tables import table
 
@@ -129,6 +130,10 @@ _SEG = f"""{_SC}, c0 AS (SELECT video, frame, score, {_CLS} AS class FROM sc JOI
 c2 AS (SELECT *, sum(f) OVER (PARTITION BY video ORDER BY frame ROWS UNBOUNDED PRECEDING) AS island FROM c1), sgm AS (SELECT video, min(frame) AS "start", max(frame) + 1 AS "end", any_value(class) AS class, avg(score) AS intensity FROM c2 GROUP BY video, island)"""
 _VOTE = f"{SQL['tr']}, v AS (SELECT obj_id, label, count(*) AS n, min(pos) AS f FROM tr GROUP BY obj_id, label), vt AS (SELECT obj_id, CASE WHEN sum(n) OVER (PARTITION BY obj_id) >= 3 THEN label ELSE first_value(label) OVER (PARTITION BY obj_id ORDER BY f) END AS label, n, (sum(n) OVER (PARTITION BY obj_id))::BIGINT AS votes, row_number() OVER (PARTITION BY obj_id ORDER BY n DESC, label) AS r FROM v)"
 _HEUR = "CASE WHEN length(text) < 50 THEN 0.5::DOUBLE WHEN length(text) > 2000 THEN 0.8 ELSE 1.0 END * CASE WHEN contains(text, '{') AND contains(text, '}') THEN 1.1::DOUBLE ELSE 0.5 END" + "".join(f" * CASE WHEN regexp_matches(text, '(?i)\\b{w}\\b') THEN 0.6::DOUBLE ELSE 1.0 END" for w in ml.ERRORS) + " * (1 + 0.05::DOUBLE * (" + " + ".join(f"regexp_matches(text, '(?i)\\b{w}\\b')::INTEGER" for w in ml.POSITIVE) + "))"
+_FUSED = f"""WITH {SUMMARY_CTE}, {_VOTE.removeprefix(SQL["tr"] + ", ")}, fg AS (SELECT obj_id, avg(y / 100) AS s, avg(z / 24) AS d FROM tr GROUP BY obj_id), m AS (SELECT obj_id, CASE WHEN pos >= 4 THEN avg(y / 100) OVER (PARTITION BY obj_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS m FROM tr),
+tc AS (SELECT obj_id, coalesce(1 - least(1.0, 2 * var_pop(m)), 1.0) AS tc FROM m GROUP BY obj_id)
+SELECT 'track_' || su.obj_id AS object_id, vt.label, motion_type, n_points, CASE WHEN n_points > 10 THEN 'high' ELSE 'medium' END AS tracking_confidence, round(displacement, 6) AS displacement, round(mean_speed * 1000, 6) AS mean_speed_scaled,
+round(CASE WHEN s <> 0 AND d IS NOT NULL THEN least(1.0, power(s, 0.4) * power(d, 0.3) * power(n / votes, 0.3) * (0.5 + 0.5 * tc)) ELSE 0.7 END, 6) AS confidence, round(tc, 6) AS temporal_consistency FROM su JOIN vt ON vt.obj_id = su.obj_id AND r = 1 JOIN fg ON fg.obj_id = su.obj_id JOIN tc ON tc.obj_id = su.obj_id"""
 
 ORACLE_SQL = {
     "uniform_sample": f"WITH {_SC} SELECT video, i::INTEGER AS i, (CASE WHEN i = 15 THEN total - 1 ELSE floor(i * ((total - 1) / 15)) END)::INTEGER AS frame FROM tt, range(16) r(i)",
@@ -155,4 +160,8 @@ SELECT obj_id, round(CASE WHEN s <> 0 AND obj_id % 9 <> 0 AND c <> 0 THEN least(
     "jobs_page": "SELECT o_orderkey AS job_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 20",
     "job_states": """WITH e AS (SELECT *, coalesce(max((event_type = 'purchase')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM events)
 SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events FROM e WHERE ended = 0 GROUP BY user_id""",
+    "rate_limit": """WITH RECURSIVE o AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, id, n, [sec] AS kept, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT o.key, o.id, o.n, CASE WHEN len(k.kept) < 3 THEN list_append(k.kept, o.sec) ELSE k.kept END, len(k.kept) < 3 FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1, LATERAL (SELECT list_filter(r.kept, lambda t: t > o.sec - 108000) AS kept) k)
+SELECT key, id, accepted FROM r""",
+    "fused_objects": _FUSED,
 }

@@ -51,7 +51,7 @@ QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_mask_filter, stream
 ORACLE_SQL = {
     stream: batch[name]
     for stream, batch, name in (
-        ("stream_mask_filter", raster.ORACLE_SQL, "temporal_mask_filter"), ("stream_clamp_speed", trajectory.ORACLE_SQL, "track_clamp_speed"),
+        ("stream_rate_limit", semantic.ORACLE_SQL, "rate_limit"), ("stream_mask_filter", raster.ORACLE_SQL, "temporal_mask_filter"), ("stream_clamp_speed", trajectory.ORACLE_SQL, "track_clamp_speed"),
         ("stream_clamp_acceleration", trajectory.ORACLE_SQL, "track_clamp_acceleration"), ("stream_job_states", semantic.ORACLE_SQL, "job_states"),
-    ) if name in batch
+    )
 }

@@ -104,6 +104,10 @@ def _sg(c):
 
 _SM = f"{SQL['tr']}, cn AS (SELECT *, count(*) OVER (PARTITION BY obj_id) AS n FROM tr), sg AS (SELECT obj_id, pos, t, n, {', '.join(_sg(c) for c in 'xyz')} FROM cn), sm AS (SELECT *, " + ", ".join(f"CASE WHEN n >= 5 THEN CASE WHEN t - lag(t) {_W} > 0 THEN ({c} - lag({c}) {_W}) / (t - lag(t) {_W}) ELSE 0.0 END END AS v{c}" for c in "xyz") + " FROM sg)"
 _STEP = "sqrt(power(x - lag(x) {w}, 2) + power(y - lag(y) {w}, 2) + power(z - lag(z) {w}, 2))".format(w=_W)
+#: Unrounded rows of track_summary, as su.
+SUMMARY_CTE = f"""{_SM}, st AS (SELECT *, {_STEP} AS step, sqrt(power(coalesce(vx, 0), 2) + power(coalesce(vy, 0), 2) + power(coalesce(vz, 0), 2)) AS speed FROM sm),
+g AS (SELECT obj_id, count(*) AS n_points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, sqrt(power(arg_max(x, pos) - arg_min(x, pos), 2) + power(arg_max(y, pos) - arg_min(y, pos), 2) + power(arg_max(z, pos) - arg_min(z, pos), 2)) AS displacement, arg_max(t, pos) - arg_min(t, pos) AS duration, coalesce(sum(step), 0) AS path, avg(speed) AS mean_speed FROM st GROUP BY obj_id),
+su AS (SELECT *, CASE WHEN n_points < 3 OR displacement < 0.1 THEN 'stationary' WHEN displacement / (path + 1e-6) > 0.9 THEN 'linear' WHEN displacement / (path + 1e-6) > 0.5 THEN 'parabolic' ELSE 'erratic' END AS motion_type FROM g)"""
 
 
 def _speed_sql(share: str, bound: float = MAX_SPEED) -> str:
@@ -124,10 +128,8 @@ def _acc_sql(src: str) -> str:
 
 ORACLE_SQL = {
     "track_smooth": f"WITH {_SM} SELECT obj_id, pos, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('x', 'y', 'z', 'vx', 'vy', 'vz'))} FROM sm",
-    "track_summary": f"""WITH {_SM}, st AS (SELECT *, {_STEP} AS step, sqrt(power(coalesce(vx, 0), 2) + power(coalesce(vy, 0), 2) + power(coalesce(vz, 0), 2)) AS speed FROM sm),
-g AS (SELECT obj_id, count(*) AS n_points, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z, sqrt(power(arg_max(x, pos) - arg_min(x, pos), 2) + power(arg_max(y, pos) - arg_min(y, pos), 2) + power(arg_max(z, pos) - arg_min(z, pos), 2)) AS displacement, arg_max(t, pos) - arg_min(t, pos) AS duration, coalesce(sum(step), 0) AS path, avg(speed) AS mean_speed FROM st GROUP BY obj_id)
-SELECT obj_id, n_points, {', '.join(f'round({k}_{c}, 6) + 0.0 AS {k}_{c}' for c in 'xyz' for k in ('min', 'max'))}, round(displacement, 6) AS displacement, round(duration, 6) AS duration, round(path, 6) AS path, round(mean_speed, 6) AS mean_speed,
-CASE WHEN n_points < 3 OR displacement < 0.1 THEN 'stationary' WHEN displacement / (path + 1e-6) > 0.9 THEN 'linear' WHEN displacement / (path + 1e-6) > 0.5 THEN 'parabolic' ELSE 'erratic' END AS motion_type FROM g""",
+    "track_summary": f"""WITH {SUMMARY_CTE}
+SELECT obj_id, n_points, {', '.join(f'round({k}_{c}, 6) + 0.0 AS {k}_{c}' for c in 'xyz' for k in ('min', 'max'))}, round(displacement, 6) AS displacement, round(duration, 6) AS duration, round(path, 6) AS path, round(mean_speed, 6) AS mean_speed, motion_type FROM su""",
     "track_turns": f"""WITH {SQL['tr']}, s AS (SELECT obj_id, pos, x - lag(x) {_W} AS x2, y - lag(y) {_W} AS y2, lag(x) {_W} - lag(x, 2) {_W} AS x1, lag(y) {_W} - lag(y, 2) {_W} AS y1 FROM tr),
 c AS (SELECT obj_id, pos, (x1 * x2 + y1 * y2) / (sqrt(x1 * x1 + y1 * y1) * sqrt(x2 * x2 + y2 * y2)) AS c FROM s WHERE sqrt(x1 * x1 + y1 * y1) * sqrt(x2 * x2 + y2 * y2) > 0) SELECT obj_id, pos, round(degrees(acos(greatest(-1.0, c))), 6) AS angle FROM c WHERE c < -0.5""",
     "track_minmax": f"WITH {SQL['tr']}, m AS (SELECT obj_id, {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in 'xyz')} FROM tr GROUP BY obj_id) SELECT obj_id, pos, {', '.join(f'round(CASE WHEN hi_{c} > lo_{c} THEN ({c} - lo_{c}) / (hi_{c} - lo_{c}) ELSE 0.5 END, 6) AS {c}' for c in 'xyz')} FROM tr JOIN m USING (obj_id)",

@@ -1,7 +1,7 @@
 """Registry of the engine's queries and their SQL twins."""
 
-from lumentrack.plans import raster, semantic, streams, trajectory
+from lumentrack.plans import raster, semantic, service, streams, trajectory
 
-QUERIES: dict = {**trajectory.QUERIES, **raster.QUERIES, **semantic.QUERIES, **streams.QUERIES}
-ORACLE_SQL: dict[str, str] = {**trajectory.ORACLE_SQL, **raster.ORACLE_SQL, **semantic.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES: dict = {**trajectory.QUERIES, **raster.QUERIES, **semantic.QUERIES, **service.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict[str, str] = {**trajectory.ORACLE_SQL, **raster.ORACLE_SQL, **semantic.ORACLE_SQL, **service.ORACLE_SQL, **streams.ORACLE_SQL}
 FLAGSHIP = "fused_objects"
