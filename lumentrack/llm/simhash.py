@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import components
+from .neardup import near_texts
 
 MAX_BITS = 2
 PIVOTS = 16
@@ -112,15 +113,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of one document for each component: that of the least doc_id.
 
+    Documents link where the Jaccard similarity of their shingles reaches ``similarity`` (see ``neardup``).
     Rows that repeat a doc_id are one document, of which the first row by text stays. Rows
     without an id cannot be told apart: if any is in a component without ids, their distinct texts
     stay, otherwise they go. The rows that go
     are joined out by id, so texts move only where they are too many to broadcast.
     """
-    ids = near_duplicates(docs, shingle=shingle).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"))
+    ids = near_texts(docs, shingle, similarity).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"))
     ids = materialise(ids.where("n > 1 OR NOT keep"), "losers")
     single = docs.where("doc_id IS NOT NULL").join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     again = ids.where("keep").select(F.col("doc_id").alias("_id"))
