@@ -8,8 +8,10 @@ digits or more and words with an ``@`` that no base match overlaps. Its potentia
 - chain: neighbours in the text with at most a few characters between them;
 - skip: nodes of the same key wherever they are in the document. Keys are a node's letters and
   digits, its digits, and halves of long digit strings, so that a repeated mention with other
-  punctuation, or with a mistyped digit, shares potentials with its twin. Each node is linked to
-  the nearest earlier node of each key, which keeps the number of links in proportion to the text.
+  punctuation, or with a mistyped digit, shares potentials with its twin. The mentions of a key
+  meet in one hub, which keeps the number of links in proportion to the text; the hub of a key
+  with base matches is clamped to their kinds, so that these inform every mention directly.
+  Mentions that share a key share one mention's shape evidence: a repeat is no evidence of its own.
 
 Loopy sum-product messages run until they settle. A candidate whose likeliest label is a kind of
 personal data becomes a span. Shapes and agreements are counted over all documents in one pass;
@@ -139,6 +141,35 @@ def graph(text: str) -> tuple[list[tuple[str, int, int]], list[str], list[tuple[
     return nodes, shapes, edges
 
 
+def pools(text: str, nodes: list[tuple[str, int, int]]) -> tuple[list[Counter], list[tuple[int, int]], list[int]]:
+    """Hubs (base labels of a key, none if no base match has it), links (hub, candidate), and for each node the candidates that share its evidence.
+
+    A candidate is linked to the first of its keys that has a base match, and to every key that only candidates have.
+    """
+    keys = [_keys(text[lo:hi]) for _, lo, hi in nodes]
+    members: dict[str, list[int]] = {}
+    for k, own in enumerate(keys):
+        for key in own:
+            members.setdefault(key, []).append(k)
+    hubs, links, sizes = [], [], [1] * len(nodes)
+    found: dict[str, int] = {}
+    alike: dict[tuple[int, ...], int] = {}
+    for key, ks in members.items():
+        if len(ks) > 1 and not all(nodes[k][0] for k in ks):
+            found[key] = alike.setdefault(tuple(ks), len(hubs))  # keys with the same mentions are one hub
+            if found[key] == len(hubs):
+                hubs.append(Counter(nodes[k][0] for k in ks if nodes[k][0]))
+            free = sum(not nodes[k][0] for k in ks)
+            for k in ks:
+                sizes[k] = max(sizes[k], free)
+    for k, own in enumerate(keys):
+        if not nodes[k][0]:
+            at = dict.fromkeys(found[key] for key in own if key in found)
+            known = [h for h in at if hubs[h]][:1]
+            links += [(h, k) for h in [*known, *(h for h in at if not hubs[h])]]
+    return hubs, links, sizes
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """(what, key, n) over all documents: node labels by shape, and label pairs by kind of edge."""
 
@@ -186,13 +217,22 @@ class Field:
         np.fill_diagonal(skip, np.log(agree))
         self.pair["skip"] = np.clip(skip, -7, 0)
 
-    def posteriors(self, nodes, shapes, edges) -> np.ndarray:
+    def posteriors(self, nodes, shapes, edges, pooled) -> np.ndarray:
         """Label probabilities of each node by damped loopy sum-product, all messages of a round at once."""
-        theta = np.array([self.node.get(s, self.unseen) for s in shapes])
+        hubs, links, sizes = pooled
+        theta = np.array([self.node.get(s, self.unseen) for s in shapes]) / np.array(sizes)[:, None]
         for k, (label, _, _) in enumerate(nodes):
             if label:
                 theta[k] = -60.0
                 theta[k, LABELS.index(label)] = 0.0
+        top = np.zeros((len(hubs), 5))
+        for k, known in enumerate(hubs):
+            if known:
+                top[k] = -60.0
+                for label, n in known.items():
+                    top[k, LABELS.index(label)] = np.log(n / known.total())
+        theta = np.concatenate([theta, top])
+        edges = [e for e in edges if e[2] == "chain"] + [(len(nodes) + hub, k, "skip") for hub, k in links]
         if edges:
             a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
             table = np.array([self.pair[e[2]] for e in edges])
@@ -212,6 +252,7 @@ class Field:
                 if moved < 1e-4:
                     break
             np.add.at(theta, dst, msg)
+        theta = theta[: len(nodes)]
         p = np.exp(theta - theta.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -224,7 +265,7 @@ class Field:
         free = [k for k, n in enumerate(nodes) if not n[0]]
         if not free:
             return base, base
-        p = self.posteriors(nodes, shapes, edges)
+        p = self.posteriors(nodes, shapes, edges, pools(text, nodes))
         added = [(LABELS[int(p[k].argmax())], *nodes[k][1:]) for k in free if p[k].argmax() and p[k].max() > 0.5]
         return base, sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

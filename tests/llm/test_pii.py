@@ -61,3 +61,15 @@ def test_documents(spark):
     for r in pii.find(docs).collect():
         want = brute(texts[r.doc_id])
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in want) for k in pii.KINDS)
+
+
+def test_many_repeats():
+    phones = ["1 (017) 555-7713", "1-017-555-7713", "1 017 555 7713"]
+    for m in (1, 2, 3, 50):
+        repeats = [phones[k % 3] for k in range(m)]
+        for text in (" and once more, ".join(["+1 (017) 555-7713", *repeats]), " and once more, ".join([*repeats, "+1 (017) 555-7713"])):
+            assert [k for k, *_ in FIELD.spans(text)[1]] == ["phone"] * (m + 1)
+        for typos in (["4111 1111 1111 1112"] * m, [f"4111 1111 11{k:02} 1119" if not pii._luhn(f"41111111{11}{k:02}1119") else f"4111 1111 11{k:02} 1118" for k in range(m)]):
+            text = " and once more, ".join(["4111 1111 1111 1111", *typos])
+            assert [k for k, *_ in FIELD.spans(text)[1]] == ["card"] * (m + 1)
+        assert FIELD.spans(" and once more, ".join(["9876543210987654", "1234567"] * m))[1] == []
