@@ -117,14 +117,14 @@ def _sampled(rows: DataFrame, n: int, total: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Model from positives and unlabelled rows outside fold 2; None if either kind is missing. Of repeated labels the least counts."""
+    """Model from positives and a sample of all rows, both outside fold 2; None if either has under ten rows. Of repeated labels the least counts."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     positive = known.where("quality = 1").select("doc_id")
     free = docs.select("doc_id", "text").where("doc_id IS NOT NULL").where(fold(F.col("doc_id")) != 2)
     n_positive, n_all = positive.count(), free.count()
     chosen = positive.where(unit_hash(F.col("doc_id")) < sample / max(1, n_positive))
     p = _sampled(free.where(unit_hash(F.col("doc_id")) < sample / max(1, n_positive)).join(chosen, "doc_id"), sample, n_positive)
-    u = _sampled(free.where(unit_hash(F.col("doc_id")) < sample / max(1, n_all)).join(labels.select("doc_id").distinct(), "doc_id", "left_anti"), sample, n_all)
+    u = _sampled(free, sample, n_all)
     return fit_pu(p, u) if len(p) >= 10 and len(u) >= 10 else None
 
 

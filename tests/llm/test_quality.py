@@ -27,3 +27,13 @@ def test_risk_finds_the_prior():
     model = quality.fit_pu(p[:1000], np.concatenate([p[1000:], n]))
     assert 0.55 < model.prior < 0.75
     assert (model.score(p) > 0.5).mean() > 0.95 and (model.score(n) < 0.5).mean() > 0.9
+
+
+def test_labels_of_all_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    every = docs.select("doc_id").distinct().join(labels.select("doc_id", "quality"), "doc_id", "left")
+    rows = quality.quality_scores(docs, every.fillna(0)).collect()
+    assert {r.predicted for r in rows} == {0, 1}
+    kept = quality.keep_good(docs, every.fillna(0)).count()
+    assert 0 < kept < docs.count()
