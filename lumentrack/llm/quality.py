@@ -148,9 +148,15 @@ def scores(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score ``least`` or more."""
+    """The rows of ``docs``, all columns as they are, that score ``least`` or more; all rows where too few labels allow no model.
+
+    Null and empty texts are scored as empty; equal texts have equal fates; an empty table gives
+    no rows; texts of any length are scored whole.
+    """
     out = "_quality_score"
-    return scores(docs, fit(docs, labels), tuple(docs.columns), out).where(F.col(out) >= least).select(*docs.columns)
+    if (model := fit(docs, labels)) is None:
+        return docs
+    return scores(docs, model, tuple(docs.columns), out).where(F.col(out) >= least).select(*docs.columns)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:

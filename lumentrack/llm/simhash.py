@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spread_join
 from .components import components
-from .neardup import near_texts
+from .neardup import classes, with_sigs
 
 MAX_BITS = 2
-PIVOTS = 16
+PIVOTS = 64
 #: Buckets up to this size are paired; larger ones go by centres. Both ways are exact.
 BUCKET = 32
 _CHUNK = 1 << 15
@@ -84,7 +84,7 @@ def links(values: DataFrame, bucket: int = BUCKET, pivots: int = PIVOTS) -> Data
     key = [F.lit(n << 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for n, (i, j) in enumerate(combinations(range(4), 2))]
     keyed = values.select("fp", F.explode(F.array(*key)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(keyed.join(sizes, "key"), "buckets")
+    met = materialise(spread_join(keyed, sizes, "key"), "buckets")
     table = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))) for p in pivot_values(pivots)]
     small = met.where(F.col("n") <= bucket).select("key", "fp", F.array(*table).alias("row"))
     a, b = small.alias("a"), small.alias("b")
@@ -100,33 +100,35 @@ def links(values: DataFrame, bucket: int = BUCKET, pivots: int = PIVOTS) -> Data
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links).
 
-    Null texts and texts without a word have fingerprint zero and link like any other. Repeated
-    rows stay and share a component; null ids are never the least id, unless all of a component
-    are null. An empty table gives no rows; other columns are not read.
+    Null texts and texts without a word have fingerprint zero and link like any other; a bit set
+    in exactly half the hashes is 0; texts of any length are taken whole. Repeated rows stay and
+    share a component; null ids are never the least id, unless all of a component are null. An
+    empty table gives no rows; other columns are not read, whatever their names.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     values = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "values")
     found = components(links(values.select("fp")))
-    roots = values.join(found, values.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    roots = materialise(values.join(found, values.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "roots")
     ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = materialise(roots.join(ids, "root").select("fp", "component_id"), "classes")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = materialise(spread_join(roots, ids, "root").select("fp", "component_id"), "classes")
+    return spread_join(prints, of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of one document for each component: that of the least doc_id.
 
     Documents link where the Jaccard similarity of their shingles reaches ``similarity`` (see ``neardup``).
-    Rows that repeat a doc_id are one document, of which the first row by text stays. Rows
-    without an id cannot be told apart: if any is in a component without ids, their distinct texts
-    stay, otherwise they go. The rows that go
-    are joined out by id, so texts move only where they are too many to broadcast.
+    Each row is judged by the component of its own text. Of rows that repeat a doc_id in one
+    component the first by text stays (of equal texts any one); of rows without an id, those in a component with ids go,
+    and of a component without any the first by text stays. Texts of any length count whole;
+    an empty table gives no rows. Rows with an id of their own are joined out by it, so texts move
+    only where ids are too many to broadcast, repeated or null.
     """
-    ids = near_texts(docs, shingle, similarity).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"))
+    every, of = classes(docs, shingle, similarity)
+    ids = spread_join(every.where("doc_id IS NOT NULL"), of, "sig").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("keep"))
     ids = materialise(ids.where("n > 1 OR NOT keep"), "losers")
     single = docs.where("doc_id IS NOT NULL").join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    again = ids.where("keep").select(F.col("doc_id").alias("_id"))
-    lone = ids.where("doc_id IS NULL AND NOT keep").count() == 0  # a null id that stays by itself is in no list
-    repeated = docs.where("doc_id IS NOT NULL").join(again, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row")).select("row.*")
-    nulls = docs.where("doc_id IS NULL").dropDuplicates(["text"]) if lone else docs.limit(0)
-    return single.unionByName(repeated).unionByName(nulls)
+    several = docs.where("doc_id IS NOT NULL").join(ids.where("n > 1 AND keep").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    rows = spread_join(with_sigs(several.select(*docs.columns), shingle), of, "sig").where("doc_id <=> component_id")
+    first = rows.groupBy("root").agg(F.min_by("_row", F.struct("_row.text", F.xxhash64("_row"))).alias("_row"))
+    return single.unionByName(first.select("_row.*").select(*docs.columns))

@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline
 from lumentrack.llm import bytebpe, common, decontam, pii, quality, simhash
+from tests.llm.test_neardup import brute
 
 D = "/root/testdata/sf0.01"
 
@@ -17,18 +18,8 @@ def test_stages(spark):
     assert all(len(r) == df.count() for r, df in zip(rows, steps, strict=True))
     model = quality.fit(docs, common.table(spark, D, "labels"))
     assert set(rows[1]) == {d for d, r in rows[0].items() if model.score(quality.text_features(r.text)[None, :])[0] >= 0.7}
-    prints = {d: simhash.fingerprint(r.text) for d, r in rows[1].items()}
-    root = {d: d for d in prints}
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-    for a in sorted(prints):
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2 and find(a) != find(b):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    assert set(rows[2]) == {d for d in prints if find(d) == d}
+    kept = set(brute([(d, r.text) for d, r in rows[1].items()]).values())
+    assert set(rows[2]) == kept
     def grams(t):
         w = [x for x in re.split(r"[\W_]+", t.lower()) if x]
         return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
@@ -48,5 +39,15 @@ def test_edges(spark):
     items = spark.createDataFrame([(1, "beta gamma delta")], "item_id long, text string")
     assert sorted(str(r.doc_id) for r in decontam.keep_clean(docs, items).collect()) == sorted(["1", "1", "2", "None", "None", "None"])
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    assert quality.keep_good(docs, labels).count() == 0 and quality.keep_good(docs, labels, least=0.5).count() == 9
+    assert quality.keep_good(docs, labels).count() == quality.keep_good(docs, labels, least=0.5).count() == 9
     assert pii.redact(docs).count() == 9
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    a, b, c = "alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey"
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (7, None), (8, ""), (9, b), (9, "own text of nine that is longer"), (9, "own text of nine that is longer")]
+    df = spark.createDataFrame([(*r, "s", 0, "r") for r in rows], "doc_id long, text string, sig string, root int, _salt string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (None, c), (7, None), (9, "own text of nine that is longer")], key=str)
+    assert simhash.keep_one(df.limit(0)).count() == 0
