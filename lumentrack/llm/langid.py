@@ -1,29 +1,37 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton holds every substring of some labelled text. A text is
-parsed greedily into the longest phrases that the automaton knows; the language that needs the
-fewest phrases for each character wins. The parse is a walk through a table: from a state and a
-character to the next state, or, where the phrase cannot go on, to the state after that
-character from the root, with a mark that counts a phrase. Texts are walked in blocks of
-``BLOCK`` characters, all blocks of a batch and all languages at once; a phrase ends with its
-block, in each language alike.
+parsed greedily into the longest phrases that the automaton knows. A language with more text knows
+longer phrases, so the number of phrases is normalised by the logarithm of the length of what was
+learned (the cross-parsing estimate of entropy); the language that needs the fewest wins.
+
+The parse is a walk: from a state and a letter to the next state, or, where the phrase cannot
+go on, to the state after that letter from the root, which starts a phrase. Transitions are kept in
+one hash table, so memory follows the automata and not the alphabet, which has every letter
+learned. Texts are walked in blocks of ``BLOCK`` characters, all blocks of a group and all
+languages at once: first each block from the root, keeping its states, then again from the state that the block
+before it ends in, until the walk meets a state that it had at the same place (from there on it
+is the same). What is counted is the parse of the whole text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, unit_hash
+from .common import WORD_GAP, fold, unit_hash
 
-#: Labelled rows gathered for each language (in expectation), characters of them in an automaton, letters of the alphabet.
-ROWS, TRAIN_CHARS, LETTERS, BLOCK = 60, 24_000, 120, 512
-_BATCH_CHARS = 1 << 21
+#: Labelled rows gathered for each language (in expectation), characters of their pieces in an automaton, words of a piece.
+ROWS, TRAIN_CHARS, PIECE = 400, 24_000, 24
+#: Characters that are walked side by side in one language, and languages times characters held at once. Both change speed only.
+BLOCK, _GROUP = 512, 1 << 23
+#: Codes of what is no letter and of letters that were not learned; learned letters follow.
+_OTHER, _NEW = 0, 1
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -55,74 +63,128 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """Parsing tables of all languages, by text of each."""
+    """Automata of all languages, by text of each."""
 
     def __init__(self, texts: tuple[tuple[str, str], ...]):
         self.languages = [k for k, _ in texts]
-        letters = Counter(c for _, t in texts for c in t.lower() if c.isalpha())
-        alphabet = sorted(sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS])
-        #: Codes: 0 ends a block, 1 is any letter not in the alphabet, 2 is whatever is no letter.
-        self.width = len(alphabet) + 3
-        self.codes = np.full(0x110000, 2, dtype=np.uint8)
-        self.codes[[c for c in range(128, 0x30000) if chr(c).isalpha()]] = 1
-        for k, c in enumerate(alphabet):
-            for form in (c, c.upper(), c.title()):
-                if len(form) == 1:
-                    self.codes[ord(form)] = k + 3
-        self.codes[[c for c in range(128) if chr(c).isalpha() and self.codes[c] == 2]] = 1
-        tables, base = [], 0
+        alphabet = sorted({c for _, t in texts for c in t.lower() if c.isalpha()})
+        self.width = len(alphabet) + 2
+        self.codes = np.full(0x110000, _OTHER, dtype=np.int32)
+        self.codes[[c for c in range(0x110000) if chr(c).isalpha()]] = _NEW
+        self.codes[[ord(c) for c in alphabet]] = np.arange(2, self.width)
+        keys, values, roots, base = [], [], [], 0
         for _, text in texts:
             edges = suffix_automaton(self.encode(text).tolist())
-            table = np.zeros((len(edges), self.width), dtype=np.int64)
-            table[:] = (base * self.width) << 1 | 1  # no phrase in this language has the character: a phrase by itself
-            root = [(c, ((s + base) * self.width) << 1 | 1) for c, s in edges[0].items()]
-            for c, v in root:
-                table[:, c] = v
-            for s, out in enumerate(edges):
-                for c, to in out.items():
-                    table[s, c] = ((to + base) * self.width) << 1
-            for c, v in root:
-                table[0, c] = v
-            table[:, 0] = (base * self.width) << 1
-            tables.append(table)
+            roots.append(base)
+            keys.append(np.array([(s + base) * self.width + c for s, out in enumerate(edges) for c in out], dtype=np.int64))
+            values.append(np.array([to + base for out in edges for to in out.values()], dtype=np.int32))
             base += len(edges)
-        self.table = np.concatenate(tables).ravel()
-        starts = np.cumsum([0, *(len(t) for t in tables[:-1])])
-        self.roots = (starts * self.width).astype(np.int64)
+        self.roots = np.array(roots, dtype=np.int64)
+        #: Bits that a language's phrase points to a place of its text with.
+        self.bits = np.array([math.log2(max(2, len(t))) for _, t in texts])
+        self._fill(np.concatenate(keys), np.concatenate(values))
+        self.starts = np.repeat(self.roots[:, None], self.width, axis=1)  # after a letter from the root
+        for k, root in enumerate(self.roots):
+            found, ok = self._next(root * self.width + np.arange(self.width))
+            self.starts[k] = np.where(ok, found, root)
+
+    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Hash table of the transitions, at most half full, by linear probing."""
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
+        self.keys, self.values = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            first = np.zeros(len(left), dtype=bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            first &= self.keys[at] < 0
+            self.keys[at[first]], self.values[at[first]] = keys[left[first]], values[left[first]]
+            left = left[~first]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _next(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, whether there is one) after each state times width plus code."""
+        slot = self._slot(keys)
+        seen = self.keys[slot]
+        while len(on := np.flatnonzero((seen != keys) & (seen >= 0))):
+            slot[on] = (slot[on] + 1) & self.mask
+            seen[on] = self.keys[slot[on]]
+        return self.values[slot].astype(np.int64), seen == keys
 
     def encode(self, text: str) -> np.ndarray:
-        return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        return self.codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+
+    def _step(self, state: np.ndarray, code: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, whether a phrase starts)."""
+        to, ok = self._next(state * self.width + code)
+        new = ~ok | (state == self.roots[language])
+        return np.where(ok, to, self.starts[language, code]), new
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases of each text (rows) in each language (columns)."""
-        found = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
+        """Phrases of each whole text (rows) in each language (columns)."""
         coded = [self.encode(t) for t in texts]
-        blocks = [-(-len(c) // BLOCK) for c in coded]
-        if not sum(blocks):
-            return found
-        grid = np.zeros((sum(blocks), BLOCK), dtype=np.uint8)
-        flat, at = grid.reshape(-1), 0
-        for c, n in zip(coded, blocks, strict=True):
-            flat[at * BLOCK : at * BLOCK + len(c)] = c
-            at += n
-        steps = np.ascontiguousarray(grid.T).astype(np.int64)
-        state = np.repeat(self.roots[:, None], len(grid), axis=1)
-        count = np.zeros(state.shape, dtype=np.int64)
-        for step in steps:
-            to = self.table[state + step]
-            count += to & 1
-            state = to >> 1
+        sizes = np.array([len(c) for c in coded])
+        blocks = -(-sizes // BLOCK)
+        n, languages = int(blocks.sum()), len(self.languages)
+        if not n:
+            return np.zeros((len(texts), languages), dtype=np.int64)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        for k in range(len(self.languages)):
-            found[:, k] = np.bincount(owner, weights=count[k], minlength=len(texts))
+        inner = np.arange(n) - np.repeat(np.cumsum(blocks) - blocks, blocks)  # a block's number in its text
+        length = np.minimum(BLOCK, sizes[owner] - inner * BLOCK)
+        grid = np.zeros((n, BLOCK), dtype=np.int32)
+        grid[np.arange(BLOCK) < length[:, None]] = np.concatenate(coded)
+        # Lanes: blocks by length, the longest first, so that those still walked are a slice; all languages of a block side by side.
+        order = np.argsort(-length, kind="stable")
+        steps = np.ascontiguousarray(grid[order].T)
+        live = np.searchsorted(-length[order], -np.arange(BLOCK), side="left")  # blocks longer than a place
+        language = np.tile(np.arange(languages), n)
+        state = self.roots[language]
+        count, end = np.zeros(n * languages, dtype=np.int64), state.copy()
+        trace, starts = np.zeros((BLOCK, n * languages), dtype=np.int32), np.zeros((BLOCK, n * languages), dtype=bool)
+        for at in range(BLOCK):
+            m = live[at] * languages
+            if not m:
+                break
+            state[:m], new = self._step(state[:m], np.repeat(steps[at, : live[at]], languages), language[:m])
+            trace[at, :m], starts[at, :m] = state[:m], new
+            count[:m] += new
+        end[:] = state
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        later = np.flatnonzero(inner > 0)
+        lanes = (place[later][:, None] * languages + np.arange(languages)).ravel()
+        before = (place[later - 1][:, None] * languages + np.arange(languages)).ravel()
+        room = np.repeat(length[later], languages)
+        entry = self.roots[language]  # the state that each lane was last walked from
+        while len(lanes):
+            moved = end[before] != entry[lanes]
+            lanes_now, begin, room_now = lanes[moved], end[before][moved], room[moved]
+            if not len(lanes_now):
+                break
+            entry[lanes_now] = begin
+            now, at = begin, 0
+            while len(lanes_now):
+                now, new = self._step(now, steps[at, lanes_now // languages], lanes_now % languages)
+                count[lanes_now] += new.astype(np.int64) - starts[at, lanes_now]
+                on = now != trace[at, lanes_now]
+                trace[at, lanes_now], starts[at, lanes_now] = now, new
+                last = on & (room_now == at + 1)
+                end[lanes_now[last]] = now[last]
+                on &= room_now > at + 1
+                lanes_now, now, room_now, at = lanes_now[on], now[on], room_now[on], at + 1
+        found = np.zeros((len(texts), languages), dtype=np.int64)
+        np.add.at(found, owner[order], count.reshape(n, languages))
         return found
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, score) of each text; ties go to the language that sorts first."""
-        counts = self.phrases(texts)
-        best = counts.argmin(axis=1)
-        least = np.maximum(counts.min(axis=1, keepdims=True), 1)
-        share = (least / np.maximum(counts, 1)) ** 8
+        need = np.maximum(self.phrases(texts), 1) * self.bits
+        best = need.argmin(axis=1)
+        share = (need.min(axis=1, keepdims=True) / need) ** 8
         score = share.max(axis=1) / share.sum(axis=1)
         return [(self.languages[k], float(s)) for k, s in zip(best, score, strict=True)]
 
@@ -133,32 +195,40 @@ def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
 
 
 def learn(docs: DataFrame, rows: int = ROWS, chars: int = TRAIN_CHARS) -> tuple[tuple[str, str], ...]:
-    """(language, text) for each label seen outside fold 2: about ``rows`` rows a language, cut to ``chars`` characters in all."""
+    """(language, text) for each label seen outside fold 2.
+
+    About ``rows`` rows of a language, chosen by a hash of their ids, are cut into pieces of PIECE words; pieces
+    from anywhere in them, in the order of a hash, are learned until they hold ``chars`` characters (or all
+    are). Words longer than ``chars`` and languages without a letter are left out.
+    """
     known = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) != 2)
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return ()
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(rows / n))])
-    part = known.where(unit_hash(F.col("doc_id")) < share[F.col("lang")]).select("lang", "doc_id", F.substring("text", 1, chars).alias("text"))
-    found: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(part.collect(), key=lambda r: (str(r.doc_id), r.text)):
-        found[r.lang].append(r.text)
-    if empty := [k for k, v in found.items() if not v]:  # no row of a small language was hit
-        for r in known.where(F.col("lang").isin(empty)).groupBy("lang").agg(F.min_by(F.substring("text", 1, chars), "doc_id").alias("text")).collect():
-            found[r.lang].append(r.text or "")
-    return tuple((k, " ".join(found[k])[:chars]) for k in sorted(found))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    part = known.join(F.broadcast(counts), "lang").where(unit_hash(F.struct("doc_id", "text")) < F.lit(float(rows)) / F.col("n"))  # a row a language
+    words = part.select("lang", "doc_id", F.filter(F.split("text", WORD_GAP), lambda w: (w != "") & (F.length(w) <= chars)).alias("w")).where(F.size("w") > 0)
+    starts = F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(PIECE)))
+    pieces = words.select("lang", "doc_id", "w", starts.alias("at")).select("lang", F.array_join(F.slice("w", F.col("at"), PIECE), " ").alias("piece"), F.xxhash64("doc_id", "at", F.array_join(F.slice("w", F.col("at"), PIECE), " ")).alias("rank"))
+    order = Window.partitionBy("lang").orderBy("rank", "piece")
+    before = F.coalesce(F.sum(F.length("piece") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = pieces.where(F.col("piece").rlike(r"\p{L}")).withColumn("before", before).where(F.col("before") < chars).select("lang", "rank", "piece").collect()
+    found: dict[str, list[str]] = {}
+    for r in sorted(chosen, key=lambda r: (r.rank, r.piece)):
+        found.setdefault(r.lang, []).append(r.piece)
+    return tuple((k, " ".join(found[k])) for k in sorted(found))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row's whole text.
+    """doc_id, held_out, lang_pred, score of every row's whole text, however long.
 
-    ``und`` with score 0 if the text is null or has no letter, or if no label is known. Equal
-    texts get equal answers; an empty table gives no rows; other columns are not read.
+    ``und`` with score 0 if the text is null or has no letter, or if no label is known. Where
+    languages need equally many phrases, the one that sorts first is named. Equal texts get equal
+    answers, repeated rows stay; an empty table gives no rows; other columns are not read,
+    whatever their names.
     """
     texts = learn(docs)
 
     def run(batches):
         parser = _parser(texts) if texts else None
+        most = _GROUP // max(1, len(texts))
         for batch in batches:
             out: list[tuple[str, float]] = []
             group, held = [], 0
@@ -173,7 +243,7 @@ def identify(docs: DataFrame) -> DataFrame:
             for t in batch.column(1):
                 group.append(t.as_py() or "")
                 held += len(group[-1])
-                if held >= _BATCH_CHARS:
+                if held >= most:
                     flush()
             flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
