@@ -1,10 +1,11 @@
 """Personal data by a skip-chain conditional random field over base matches and candidates.
 
 Base matches are exact patterns with checks (see ``base_spans``); they stay as they are. The
-field's nodes are the base matches, clamped to their kind, and the candidates: numbers of seven
-digits or more and words with an ``@`` that no base match overlaps. Its potentials:
+field's nodes are the base matches, clamped to their kind, and the candidates that no base match
+overlaps: numbers of seven digits or more, also with their digits apart or next to others that a pattern took
+for one number; words with an ``@``; addresses spelled with "at" and "dot". Its potentials:
 
-- each node: the chance of a label given the node's shape, estimated over all documents;
+- node: the mention's shape (size, marks, checksum);
 - chain: neighbours in the text with at most a few characters between them;
 - skip: nodes of the same key wherever they are in the document. Keys are a node's letters and
   digits, its digits, and halves of long digit strings, so that a repeated mention with other
@@ -13,9 +14,14 @@ digits or more and words with an ``@`` that no base match overlaps. Its potentia
   with base matches is clamped to their kinds, so that these inform every mention directly.
   Mentions that share a key share one mention's shape evidence: a repeat is no evidence of its own.
 
+The potentials are fitted by pseudo-likelihood: each base match must be found again from its shape
+and its neighbours' labels, as it is and with a part hidden (the plus sign, a digit, the signs of an address
+or between digits). Candidates count as no personal data, but for those that share a key with a
+base match, whose label isn't known. One pass over all documents counts the cases, a table that is small whatever
+the corpus; the fit runs on the table.
+
 Loopy sum-product messages run until they settle. A candidate whose likeliest label is a kind of
-personal data becomes a span. Shapes and agreements are counted over all documents in one pass;
-their table is small whatever the corpus. Documents without a candidate need no messages.
+personal data becomes a span. Documents without a candidate need no messages.
 """
 
 from __future__ import annotations
@@ -37,10 +43,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9])*+")
-_AT_WORD = re.compile(r"[^\s@]{0,64}@[^\s@]{0,255}")
+_NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().+-]{0,3}[0-9])*+")
+_PART = re.compile(r"[^\x20]*[0-9][^\x20]*")
+_AT_WORD = re.compile(r"(?<![^\s@])[^\s@]*+@[^\s@]*+")
+_SPELLED = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[(\[]?(?:at|@)[)\]]?\x20?[a-z0-9-]++(?:(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[a-z0-9-]++)+")
+_SPELLING = re.compile(r"(?i)[\x20(\[](?:at|dot)[\x20)\]]")
 #: Characters between neighbours in the chain; rounds and damping of the messages.
-NEAR, ROUNDS, DAMP = 12, 30, 0.3
+NEAR, ROUNDS, DAMP = 12, 60, 0.3
+#: Weight, in the fit, of a base match as it is or hidden beside a twin; a case with a part hidden and no twin weighs one.
+WHOLE = 10
+#: Bound of the chain's log potentials: as candidates may be misses of the patterns, neighbours sway a label and don't decide it.
+CHAIN = 1.0
 
 
 def _luhn(digits: str) -> bool:
@@ -83,23 +96,49 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _numbers(text: str, lo: int, hi: int):
+    """Mentions in a run of digits and separators: its parts between spaces, joined while they may be one number."""
+    start, end, digits, last = -1, -1, 0, 0
+    for m in _PART.finditer(text, lo, hi):
+        n = len(_digits(m[0]))
+        if start >= 0 and (digits + n > 19 or max(n, last) >= 12 or m[0].startswith("+")):
+            yield start, end, digits
+            start, digits = -1, 0
+        if start < 0:
+            start = m.start()
+        end, digits, last = m.end(), digits + n, n
+    if start >= 0:
+        yield start, end, digits
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Spans that may be personal data and overlap no base match."""
+    """Spans that may be personal data and overlap no base match, in order and apart from each other."""
+    taken: list[list[int]] = []  # the base matches, joined where they overlap
+    for _, lo, hi in sorted(base, key=lambda s: s[1:]):
+        if taken and lo < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], hi)
+        else:
+            taken.append([lo, hi])
     found = []
-    if re.search("[0-9]{2}", text):
-        for m in _NUMBER.finditer(text):
-            lo, hi = m.span()
-            alone = (lo == 0 or not text[lo - 1].isalnum()) and (hi == len(text) or not text[hi].isalnum())
-            if hi - lo >= 7 and alone and len(_digits(m[0])) >= 7:
-                found.append((lo, hi))
-    if "@" in text:
-        found += [m.span() for m in _AT_WORD.finditer(text) if len(m[0]) >= 5]
-    out, k = [], 0
-    for lo, hi in sorted(found):
-        while k < len(base) and base[k][2] <= lo and (k + 1 == len(base) or base[k + 1][1] <= lo):
+    if "@" in text or _SPELLING.search(text):
+        found += [(0, *m.span()) for m in _SPELLED.finditer(text)]
+        found += [(1, *m.span()) for m in _AT_WORD.finditer(text) if len(m[0]) >= 5]
+    if re.search("[0-9]", text):
+        edges = [0, *(x for span in taken for x in span), len(text)]
+        for lo, hi in zip(edges[::2], edges[1::2], strict=True):  # between base matches
+            for m in _NUMBER.finditer(text, lo, hi):
+                for at, end, digits in _numbers(text, *m.span()):
+                    end = at + len(text[at:end].rstrip("(.-+ "))
+                    alone = (at == 0 or not text[at - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
+                    if digits >= 7 and alone:
+                        found.append((2, at, end))
+    out, k, done = [], 0, 0
+    for _, lo, hi in sorted(found, key=lambda s: (s[1], s[0])):
+        while k < len(taken) and taken[k][1] <= lo:
             k += 1
-        if not any(b[1] < hi and lo < b[2] for b in base[max(0, k - 4) : k + 5]) and (not out or out[-1][1] <= lo):
+        if lo >= done and (k == len(taken) or hi <= taken[k][0]):
             out.append((lo, hi))
+            done = hi
     return out
 
 
@@ -108,11 +147,12 @@ def _shape(mention: str) -> str:
     n = len(digits)
     size = next(s for s, most in (("0", 0), ("s", 6), ("7", 9), ("p", 13), ("c", 19), ("l", 1 << 60)) if n <= most)
     marks = ("@" if "@" in mention else "") + ("+" if mention.startswith("+") else "") + ("(" if "(" in mention else "") + ("." if mention.count(".") >= 3 else "")
-    return size + marks + ("!" if 14 <= n <= 19 and _luhn(digits) else "") + ("w" if any(c.isalpha() for c in mention) else "")
+    spread = "~" if n >= 7 and sum(c in " -" for c in mention) >= n - 1 else ""
+    return size + marks + spread + ("!" if 14 <= n <= 19 and _luhn(digits) else "") + ("w" if any(c.isalpha() for c in mention) else "") + ("s" if _SPELLING.search(mention) else "")
 
 
 def _keys(mention: str) -> list[str]:
-    digits, plain = _digits(mention), "".join(c for c in mention.lower() if c.isalnum())
+    digits, plain = _digits(mention), "".join(c for c in _SPELLING.sub(" ", mention).lower() if c.isalnum())
     keys = ["a" + plain] if len(plain) >= 5 else []
     if len(digits) >= 7:
         keys.append("d" + digits)
@@ -170,52 +210,98 @@ def pools(text: str, nodes: list[tuple[str, int, int]]) -> tuple[list[Counter],
     return hubs, links, sizes
 
 
+def hidden(kind: str, mention: str) -> list[str]:
+    """Forms of a base match with a part hidden, as people write them."""
+    if kind == "phone":
+        return [mention.lstrip("+"), " ".join(_digits(mention))]
+    if kind == "card":
+        other = next(d for d in "0123456789" if not _luhn(_digits(mention)[:-1] + d))
+        return [mention[:-1] + other, " ".join(_digits(mention))]
+    if kind == "email":
+        name, _, host = mention.partition("@")
+        return [f"{name} at {host}", f"{name} at {host.replace('.', ' dot ')}", f"{name} (at) {host}"]
+    return [mention.replace(".", " ")]
+
+
+def examples(text: str) -> Counter:
+    """Weights of (shape, label before, label after, label of a twin, label): what pseudo-likelihood is fitted to. An unknown label is "-"."""
+    found: Counter = Counter()
+    nodes, shapes, edges = graph(text)
+    keys = [_keys(text[lo:hi]) for _, lo, hi in nodes]
+    members: dict[str, Counter] = {}
+    for (label, _, _), own in zip(nodes, keys, strict=True):
+        for key in own if label else ():
+            members.setdefault(key, Counter())[label] += 1
+    seen = [label or ("-" if any(k in members for k in own) else "none") for (label, _, _), own in zip(nodes, keys, strict=True)]
+    before, after = ["-"] * len(nodes), ["-"] * len(nodes)
+    for a, b, kind in edges:
+        if kind == "chain":
+            after[a], before[b] = seen[b], seen[a]
+    for k, (label, lo, hi) in enumerate(nodes):
+        if label:
+            twins = sum((members[key] for key in keys[k]), Counter())
+            twins[label] -= len(keys[k])
+            twin = max(LABELS, key=lambda x: twins[x]) if twins and max(twins.values()) > 0 else "-"
+            found[shapes[k], before[k], after[k], twin, label] += WHOLE
+            for form in hidden(label, text[lo:hi]):
+                found[_shape(form), before[k], after[k], twin, label] += 1
+                found[_shape(form), before[k], after[k], label, label] += WHOLE  # beside the mention itself, not hidden
+        elif seen[k] == "none":
+            found[shapes[k], before[k], after[k], "-", "none"] += WHOLE
+    return found
+
+
 def counts(docs: DataFrame) -> DataFrame:
-    """(what, key, n) over all documents: node labels by shape, and label pairs by kind of edge."""
+    """(shape, before, after, twin, label, n) over all documents."""
+    names = ["shape", "before", "after", "twin", "label"]
 
     def run(batches):
         total: Counter = Counter()
         for batch in batches:
             for value in batch.column(0):
-                text = value.as_py() or ""
-                if "@" not in text and not re.search("[0-9]", text):
-                    continue
-                nodes, shapes, edges = graph(text)
-                for (label, _, _), shape in zip(nodes, shapes, strict=True):
-                    total["node", f"{shape} {label or 'none'}"] += 1
-                for a, b, kind in edges:
-                    total[kind, f"{nodes[a][0] or 'none'} {nodes[b][0] or 'none'}"] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["what", "key", "n"])
+                if _worth(text := value.as_py() or ""):
+                    total.update(examples(text))
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in total], pa.string()) for i in range(5)), pa.array(list(total.values()), pa.int64())], [*names, "n"])
+
+    return docs.select("text").mapInArrow(run, ", ".join(f"{k} string" for k in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
 
-    return docs.select("text").mapInArrow(run, "what string, key string, n long").groupBy("what", "key").agg(F.sum("n").alias("n"))
+
+def _worth(text: str) -> bool:
+    return "@" in text or bool(re.search("[0-9]", text)) or bool(_SPELLING.search(text))
 
 
 class Field:
-    """Log potentials from counts."""
-
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        label = {k: i for i, k in enumerate(LABELS)}
-        shapes: dict[str, np.ndarray] = {}
-        pairs = {"chain": np.full((5, 5), 0.5), "skip": np.full((5, 5), 0.5)}
-        for what, key, n in rows:
-            a, b = key.rsplit(" ", 1)
-            if what == "node":
-                shapes.setdefault(a, np.full(5, 0.02))[label[b]] += n
-            else:
-                pairs[what][label[a], label[b]] += n
-                pairs[what][label[b], label[a]] += n
-        # A candidate that no pattern matched is unlabelled rather than negative, so its shape alone never rules a label out.
-        self.node = {k: np.maximum(np.log(v / v.sum()), np.log(0.01)) for k, v in shapes.items()}
+    """Log potentials fitted to counted cases (shape, before, after, twin, label, n) by pseudo-likelihood."""
+
+    def __init__(self, rows: list[tuple[str, str, str, str, str, int]], rounds: int = 600, rate: float = 0.05, decay: float = 0.05):
+        label = {k: i for i, k in enumerate(LABELS)} | {"-": 5}  # the sixth row of each table stays zero
+        shapes = {k: i for i, k in enumerate(sorted({r[0] for r in rows}))}
+        # Each shape starts with one case of no personal data.
+        rows = sorted([*rows, *((k, "-", "-", "-", "none", WHOLE) for k in shapes)])
+        at = np.array([[shapes[r[0]], *(label[x] for x in r[1:5])] for r in rows], dtype=np.int64).reshape(-1, 5)
+        n = np.array([r[5] for r in rows], dtype=float) / WHOLE
+        node, chain, skip = np.zeros((len(shapes), 5)), np.zeros((6, 6)), np.zeros(1)
+        goal = np.eye(6)[at[:, 4]][:, :5]
+        params = (node, chain, skip)
+        state = [(np.zeros_like(x), np.zeros_like(x)) for x in params]
+        twin = np.eye(6)[at[:, 3]][:, :5]
+        for t in range(1, rounds + 1 if len(rows) else 1):
+            z = node[at[:, 0]] + chain[at[:, 1], :5] + chain[:5, at[:, 2]].T + twin * skip
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            d = (p / p.sum(axis=1, keepdims=True) - goal) * n[:, None]
+            grads = [decay * x for x in params]
+            np.add.at(grads[0], at[:, 0], d)
+            np.add.at(grads[1], (at[:, 1][:, None], np.arange(5)), d)
+            np.add.at(grads[1], (np.arange(5), at[:, 2][:, None]), d)
+            grads[1][5], grads[1][:, 5] = 0, 0
+            np.clip(chain, -CHAIN, CHAIN, out=chain)
+            grads[2] += (d * twin).sum()
+            for x, g, (m, v) in zip(params, grads, state, strict=True):
+                m[:], v[:] = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+                x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        self.node = {k: node[i] - np.logaddexp.reduce(node[i]) for k, i in shapes.items()}
         self.unseen = np.log(np.array([0.96, 0.01, 0.01, 0.01, 0.01]))
-        chain = pairs["chain"]
-        share = chain.sum(1) / chain.sum()
-        self.pair = {"chain": np.clip(np.log(chain / chain.sum() / np.outer(share, share)), -2, 2)}
-        # Skip links between base matches tell how far mentions of one key agree; candidates' labels aren't known, so they don't count.
-        known = pairs["skip"][1:, 1:]
-        agree = np.trace(known) / known.sum()
-        skip = np.full((5, 5), np.log(max(1e-4, 1 - agree) / 4))
-        np.fill_diagonal(skip, np.log(agree))
-        self.pair["skip"] = np.clip(skip, -7, 0)
+        self.pair = {"chain": np.clip(chain[:5, :5], -CHAIN, CHAIN), "skip": np.eye(5) * max(0.0, float(skip[0]))}  # twins agree on any label alike
 
     def posteriors(self, nodes, shapes, edges, pooled) -> np.ndarray:
         """Label probabilities of each node by damped loopy sum-product, all messages of a round at once."""
@@ -258,7 +344,7 @@ class Field:
 
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """(base spans, all spans) of a text."""
-        if "@" not in text and not re.search("[0-9]", text):
+        if not _worth(text):
             return [], []
         nodes, shapes, edges = graph(text)
         base = sorted((n for n in nodes if n[0]), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -272,7 +358,7 @@ class Field:
 
 def fit(docs: DataFrame) -> Field:
     """The field's potentials from counts over all documents."""
-    return Field([tuple(r) for r in counts(docs).collect()])
+    return Field([tuple(r) for r in counts(docs).collect()])  # a row for each kind of case
 
 
 def _joined(spans) -> str:
@@ -282,8 +368,9 @@ def _joined(spans) -> str:
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all) of every row's whole text.
 
-    Offsets are code points, ends exclusive. Null texts are empty; repeated rows are alike; an
-    empty table gives no rows; other columns are not read.
+    Offsets are code points, ends exclusive. Null texts are empty; texts of any length are read
+    whole; repeated rows are alike; of labels that are equally likely the first of LABELS holds, so a tie with
+    "none" adds nothing; an empty table gives no rows; other columns are not read, whatever their names.
     """
     field = field or fit(docs)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
@@ -311,7 +398,11 @@ def mask(text: str, spans) -> str:
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """``docs`` with ``text`` masked and, where there is such a column, ``n_chars`` counted anew; null texts stay null."""
+    """``docs`` with ``text`` masked and, where there is such a column, ``n_chars`` counted anew.
+
+    All rows and columns stay, repeated rows alike; null texts stay null, empty ones empty; texts
+    of any length are masked whole; an empty table gives no rows.
+    """
     field = field or fit(docs)
     at = docs.columns.index("text")
 

@@ -1,6 +1,11 @@
 import hashlib
+import itertools
+import math
+import random
 import re
+from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -32,7 +37,108 @@ def test_base_is_linear():
         pii.graph(text)
 
 
-FIELD = pii.Field([("node", "c! card", 500), ("node", "c none", 60), ("node", "p+( phone", 200), ("node", "p( none", 5), ("node", "7 none", 30), ("skip", "card card", 90), ("skip", "phone phone", 40), ("chain", "none none", 5)])
+def made(seed, n):
+    """Texts with mentions of every kind, some of them repeated, and numbers that are none."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    out = []
+    for _ in range(n):
+        card = next(c for c in iter(lambda: "4" + digits(15), "") if pii._luhn(c))
+        card = " ".join(card[i : i + 4] for i in range(0, 16, 4)) if rng.random() < 0.5 else card
+        decoy = next(c for c in iter(lambda: digits(16), "") if not pii._luhn(c))
+        mentions = [card, f"+1 ({digits(3)}) 555-{digits(4)}", f"user{digits(2)}@mail{digits(1)}.example.com", f"{rng.randrange(256)}.{rng.randrange(256)}.9.1", decoy, digits(8)]
+        chosen = rng.sample(mentions, 3)
+        chosen += rng.sample(chosen, 1)
+        rng.shuffle(chosen)
+        out.append(" ".join(f"some words of text {m} and more of it," for m in chosen))
+    return out
+
+
+def fitted(texts):
+    total = Counter()
+    for t in texts:
+        total.update(pii.examples(t))
+    return pii.Field([(*k, n) for k, n in total.items()])
+
+
+FIELD = fitted(made(1, 300))
+
+
+def test_hidden_mentions_are_found():
+    """Known mentions with a part hidden, beside a twin: what the messages recover, and what they add besides."""
+    hits = misses = wrong = 0
+    for text in made(2, 300):
+        base = pii.base_spans(text)
+        if not base:
+            continue
+        kind, lo, hi = base[0]
+        for form in pii.hidden(kind, text[lo:hi]):
+            longer = f"{text} again {form} it says"
+            at = len(text) + 7
+            own, every = FIELD.spans(longer)
+            added = set(every) - set(own)
+            hit = any(k == kind and a < at + len(form) and at < b for k, a, b in every)
+            hits, misses = hits + hit, misses + (not hit)
+            wrong += sum(not (a < at + len(form) and at < b) for _, a, b in added)
+    assert hits >= 0.9 * (hits + misses) and wrong <= 0.02 * hits, (hits, misses, wrong)
+
+
+def test_mentions_beside_others():
+    """Numbers that a pattern takes for one are told apart by their shapes."""
+    text = "call +1 (826) 555-4081 190.137.223.204 now, pay 4111111111111111 7536784127813051 soon"
+    base, every = FIELD.spans(text)
+    assert [k for k, *_ in base] == ["ip"]
+    assert {(k, text[a:b]) for k, a, b in every} == {("ip", "190.137.223.204"), ("phone", "+1 (826) 555-4081"), ("card", "4111111111111111")}
+
+
+def enumerated(field, shapes, clamped, chain, skips, known):
+    """Exact label probabilities by all assignments: known are hubs' labels, None for a hub of candidates."""
+    n, total = len(shapes), np.zeros((len(shapes), 5))
+    free = [h for h, k in enumerate(known) if k is None]
+    for labels in itertools.product(range(5), repeat=n + len(free)):
+        hub = {h: labels[n + i] for i, h in enumerate(free)}
+        if any(c and labels[i] != pii.LABELS.index(c) for i, c in enumerate(clamped)):
+            continue
+        z = sum(field.node[s][labels[i]] for i, s in enumerate(shapes) if not clamped[i])
+        z += sum(field.pair["chain"][labels[a], labels[b]] for a, b in chain)
+        z += sum(field.pair["skip"][pii.LABELS.index(known[h]) if known[h] else hub[h], labels[k]] for h, k in skips)
+        for i in range(n):
+            total[i, labels[i]] += math.exp(z)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_messages_equal_enumeration():
+    shapes = ["c", "c!", "p(", "c"]
+    nodes = [("", 0, 1), ("card", 2, 3), ("", 4, 5), ("", 6, 7)]
+    clamped = [x[0] for x in nodes]
+    for chain, skips, known, loops in (
+        ([(0, 1), (1, 2), (2, 3)], [], [], False), ([(0, 1)], [(0, 3)], ["card"], False), ([], [(0, 0), (0, 3)], [None], False),
+        ([(0, 1), (2, 3)], [(0, 0), (0, 2)], [None], False), ([(0, 1), (1, 2), (2, 3)], [(0, 0), (0, 2), (0, 3)], [None], True),
+    ):
+        hubs = [Counter({k: 1} if k else {}) for k in known]
+        got = FIELD.posteriors(nodes, shapes, [(a, b, "chain") for a, b in chain], (hubs, skips, [1] * 4))
+        want = enumerated(FIELD, shapes, clamped, chain, skips, known)
+        assert np.abs(got - want).max() < (0.05 if loops else 1e-3)
+
+
+def test_spans_are_added_on_documents(spark):
+    """On the given documents some mentions are added, and only with the digits of a card or phone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    added = []
+    for r in pii.find(docs).collect():
+        base = {f"{k}:{a}:{b}" for k, a, b in brute(texts[r.doc_id] or "")}
+        for span in set(filter(None, r.spans.split(","))) - base:
+            k, a, b = span.split(":")
+            added.append((k, (texts[r.doc_id] or "")[int(a) : int(b)]))
+    assert added
+    sound = [k == "email" or (k == "card" and pii._luhn(pii._digits(m))) or (k == "phone" and 10 <= len(pii._digits(m)) <= 15) for k, m in added]
+    assert sum(sound) >= 0.9 * len(added)
+
+
+def test_no_length_is_too_long():
+    text = "see " + "x" * 200 + "@" + "y" * 400 + " and 12345678"
+    assert pii.candidates(text, pii.base_spans(text)) == [(4, 605), (610, 618)]
 
 
 def test_repeated_mentions_agree():
