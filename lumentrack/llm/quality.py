@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import fold, unit_hash
 
-#: Positives, and unlabelled rows, that the model is fitted on; a row above TRAIN_CHARS is left out of the sample, never cut.
-SAMPLE, TRAIN_CHARS = 3000, 200_000
+#: Positives, and unlabelled rows, that the model is fitted on, in expectation; at most twice as many.
+SAMPLE = 3000
 _LINE = re.compile(rb"\n+")
 
 
@@ -70,8 +70,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
     slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
-    best = int(np.argmin((u + slack) / p))  # where the bound, with its margin of error, is least
-    return float(np.clip((u[best] + slack / 2) / p[best], 0.05, 0.98))
+    best = int(np.argmin((u + slack) / p))  # where the bound, with its margin of error, is least; the margin chooses the place and isn't added
+    return float(np.clip(u[best] / p[best], 0.05, 0.98))
 
 
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, rounds: int = 400, rate: float = 0.05, decay: float = 3.0) -> Model:
@@ -107,12 +107,14 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = N
 
 
 def _sampled(rows: DataFrame, n: int, total: int) -> np.ndarray:
+    """Features of about ``n`` of the rows, chosen by a hash of the id; texts of any length are read where they lie, whole."""
+
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([text_features(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], ["x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "x"])
 
-    part = rows.where(unit_hash(F.col("doc_id")) < n / max(1, total)).where(F.length("text") <= TRAIN_CHARS).orderBy("doc_id").limit(2 * n)
-    found = part.select("text").mapInArrow(run, "x binary").collect()
+    part = rows.where(unit_hash(F.col("doc_id")) < n / max(1, total)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = part.mapInArrow(run, "doc_id long, x binary").orderBy("doc_id", "x").limit(2 * n).collect()
     return np.array([np.frombuffer(r.x, dtype=np.float32) for r in found], dtype=np.float32).reshape(len(found), 266)
 
 
@@ -160,9 +162,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFra
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 if score >= ``least``) of every row; other columns are not read.
+    """doc_id, held_out, score, predicted (1 if score >= ``least``, also where they are equal) of every row.
 
-    Repeated rows score alike; an empty table gives no rows.
+    Null texts score as empty ones; texts of any length are read whole; repeated rows score
+    alike; too few labels for a model: every score is 0.5; an empty table gives no rows; other
+    columns are not read, whatever their names.
     """
     found = scores(docs, fit(docs, labels))
     return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
