@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a leaf, of the first window, and ids of a decoding leaf.
-LEAF, WINDOW, LEAF_IDS = 4096, 32, 4096
+LEAF, WINDOW, LEAF_IDS = 512, 32, 512
 #: The pattern decides on a piece within so many characters after it ('ll is the longest of its fixed strings).
 LOOK = 3
 #: Ids in a batch of output.

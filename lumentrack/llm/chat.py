@@ -83,12 +83,13 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
     loss_spans are (start, end) of the assistant texts in ``rendered``. Rows are ordered by turn,
     then role, then text, nulls first; null text is empty; a null conv_id is a conversation of its
-    own. Rows are dealt by ranges of all these columns, so a conversation of any length is
-    rendered by as many tasks as its size asks for, with only a block of turns in memory.
+    own; repeated rows stay. Rows are dealt by ranges of conv_id and turn (no text is a key), so a conversation of any length is
+    rendered by as many tasks as its turns ask for, with only a block of turns in memory; a text of any length is one turn.
+    An empty table gives no rows; other columns are not read, whatever their names.
     """
     order = ["conv_id", "turn", "role", "text"]
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("task", F.spark_partition_id())
+    rows = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions(*order).withColumn("task", F.spark_partition_id())
     schema = T.StructType.fromDDL("conv_id long, part long, rendered string, loss_spans array<struct<start: int, end: int>>")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -127,7 +128,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from the rendered text alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     A digest runs over a conversation in order, so a conversation's rendered rows meet in one
-    task; they stream through it, and only the running digests are kept.
+    task; they stream through it, and only the running digests are kept. Null roles read as empty
+    in the digest; an empty table gives no rows; other columns are not read.
     """
     rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

@@ -72,58 +72,67 @@ class Parser:
         self.codes = np.full(0x110000, _OTHER, dtype=np.int32)
         self.codes[[c for c in range(0x110000) if chr(c).isalpha()]] = _NEW
         self.codes[[ord(c) for c in alphabet]] = np.arange(2, self.width)
-        keys, values, roots, base = [], [], [], 0
+        keys, values, roots, starts, base = [], [], [], [], 0
         for _, text in texts:
             edges = suffix_automaton(self.encode(text).tolist())
             roots.append(base)
+            first = np.full(self.width, base, dtype=np.int64)  # a letter that the language lacks is a phrase by itself
+            first[list(edges[0])] = np.array(list(edges[0].values()), dtype=np.int64) + base
+            starts.append(first)
+            edges[0] = {}  # every letter starts a phrase at the root, so it has no transition that goes on
             keys.append(np.array([(s + base) * self.width + c for s, out in enumerate(edges) for c in out], dtype=np.int64))
-            values.append(np.array([to + base for out in edges for to in out.values()], dtype=np.int32))
+            values.append(np.array([to + base for out in edges for to in out.values()], dtype=np.int64))
             base += len(edges)
-        self.roots = np.array(roots, dtype=np.int64)
+        self.roots = np.array(roots, dtype=np.int64) * self.width
+        if base >= 1 << 24 or base * self.width >= 1 << 39:
+            raise ValueError("too much to learn: lower the characters of a language")
+        #: States are kept times width. The state after each code from the root, language by language.
+        self.starts = np.concatenate(starts) * self.width
         #: Bits that a language's phrase points to a place of its text with.
         self.bits = np.array([math.log2(max(2, len(t))) for _, t in texts])
         self._fill(np.concatenate(keys), np.concatenate(values))
-        self.starts = np.repeat(self.roots[:, None], self.width, axis=1)  # after a letter from the root
-        for k, root in enumerate(self.roots):
-            found, ok = self._next(root * self.width + np.arange(self.width))
-            self.starts[k] = np.where(ok, found, root)
-
-    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Hash table of the transitions, at most half full, by linear probing."""
-        size = 1 << max(4, (2 * len(keys)).bit_length())
+
+    def _fill(self, keys: np.ndarray, states: np.ndarray) -> None:
+        """Hash table of the transitions, a sixth to a third full, by linear probing; an entry is its key and its state, or -1."""
+        size = 1 << max(4, (3 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
-        self.keys, self.values = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int32)
+        self.entries = np.full(size, -1, dtype=np.int64)
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             at = slot[left]
             first = np.zeros(len(left), dtype=bool)
             first[np.unique(at, return_index=True)[1]] = True
-            first &= self.keys[at] < 0
-            self.keys[at[first]], self.values[at[first]] = keys[left[first]], values[left[first]]
+            first &= self.entries[at] < 0
+            self.entries[at[first]] = keys[left[first]] << 24 | states[left[first]]
             left = left[~first]
             slot[left] = (slot[left] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
 
-    def _next(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(state, whether there is one) after each state times width plus code."""
+    def _step(self, state: np.ndarray, code: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, whether a phrase starts) of lanes; ``offset`` is where a lane's language has its ``starts``."""
+        keys = state + code
         slot = self._slot(keys)
-        seen = self.keys[slot]
-        while len(on := np.flatnonzero((seen != keys) & (seen >= 0))):
-            slot[on] = (slot[on] + 1) & self.mask
-            seen[on] = self.keys[slot[on]]
-        return self.values[slot].astype(np.int64), seen == keys
+        entry = self.entries[slot]
+        new = entry >> 24 != keys
+        to = (entry & 0xFFFFFF) * self.width
+        on = np.flatnonzero(new & (entry >= 0))
+        wanted, at = keys[on], slot[on]
+        while len(on):  # those whose slot another key holds
+            at = (at + 1) & self.mask
+            entry = self.entries[at]
+            hit = entry >> 24 == wanted
+            to[on[hit]], new[on[hit]] = (entry[hit] & 0xFFFFFF) * self.width, False
+            left = ~hit & (entry >= 0)
+            on, wanted, at = on[left], wanted[left], at[left]
+        miss = np.flatnonzero(new)
+        to[miss] = self.starts[offset[miss] + code[miss]]
+        return to, new
 
     def encode(self, text: str) -> np.ndarray:
         return self.codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
 
-    def _step(self, state: np.ndarray, code: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next state, whether a phrase starts)."""
-        to, ok = self._next(state * self.width + code)
-        new = ~ok | (state == self.roots[language])
-        return np.where(ok, to, self.starts[language, code]), new
-
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each whole text (rows) in each language (columns)."""
         coded = [self.encode(t) for t in texts]
@@ -141,15 +150,14 @@ class Parser:
         order = np.argsort(-length, kind="stable")
         steps = np.ascontiguousarray(grid[order].T)
         live = np.searchsorted(-length[order], -np.arange(BLOCK), side="left")  # blocks longer than a place
-        language = np.tile(np.arange(languages), n)
-        state = self.roots[language]
+        state, offset = np.tile(self.roots, n), np.tile(np.arange(languages) * self.width, n)
         count, end = np.zeros(n * languages, dtype=np.int64), state.copy()
-        trace, starts = np.zeros((BLOCK, n * languages), dtype=np.int32), np.zeros((BLOCK, n * languages), dtype=bool)
+        trace, starts = np.zeros((BLOCK, n * languages), dtype=np.int64), np.zeros((BLOCK, n * languages), dtype=bool)
         for at in range(BLOCK):
             m = live[at] * languages
             if not m:
                 break
-            state[:m], new = self._step(state[:m], np.repeat(steps[at, : live[at]], languages), language[:m])
+            state[:m], new = self._step(state[:m], np.repeat(steps[at, : live[at]], languages), offset[:m])
             trace[at, :m], starts[at, :m] = state[:m], new
             count[:m] += new
         end[:] = state
@@ -159,7 +167,7 @@ class Parser:
         lanes = (place[later][:, None] * languages + np.arange(languages)).ravel()
         before = (place[later - 1][:, None] * languages + np.arange(languages)).ravel()
         room = np.repeat(length[later], languages)
-        entry = self.roots[language]  # the state that each lane was last walked from
+        entry = np.tile(self.roots, n)  # the state that each lane was last walked from
         while len(lanes):
             moved = end[before] != entry[lanes]
             lanes_now, begin, room_now = lanes[moved], end[before][moved], room[moved]
@@ -168,7 +176,7 @@ class Parser:
             entry[lanes_now] = begin
             now, at = begin, 0
             while len(lanes_now):
-                now, new = self._step(now, steps[at, lanes_now // languages], lanes_now % languages)
+                now, new = self._step(now, steps[at, lanes_now // languages], offset[lanes_now])
                 count[lanes_now] += new.astype(np.int64) - starts[at, lanes_now]
                 on = now != trace[at, lanes_now]
                 trace[at, lanes_now], starts[at, lanes_now] = now, new

@@ -38,6 +38,13 @@ MEMORY_WORDS, MEMORY_PIECES = 400_000, 400_000
 #: Text of only these characters is split here as the tokenizer's own pattern splits it once lower-cased.
 _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0D\x20a-zß-öø-ÿ0-9]+")
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _SPACE_SPLIT = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
@@ -61,8 +68,8 @@ class Encoder:
     """Ids of texts by the tokenizers library, with each word and each piece encoded once while remembered.
 
     If the tokenizer drops white space, no token spans it, so a text's ids are those of its words.
-    The memory is used only for a tokenizer with the normaliser and splitting that this relies on;
-    any other encodes whole texts.
+    The memory is used only for a tokenizer with exactly the normaliser and splitting that this relies on,
+    patterns and behaviours included; any other encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -76,8 +83,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.special = [t["content"] for t in made["added_tokens"]]
-        split = made.get("pre_tokenizer") or {}
-        self.by_word = made.get("normalizer") == _SPACE_SPLIT and [p["type"] for p in split.get("pretokenizers", [])] == ["Split", "ByteLevel"] and not any(c.isspace() for t in self.special for c in t)
+        self.by_word = made.get("normalizer") == _SPACE_SPLIT and made.get("pre_tokenizer") == _PRE_TOKENIZER and not any(c.isspace() for t in self.special for c in t)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(kept))}
@@ -175,14 +181,16 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     """Encode and write ``docs`` in ascending doc_id order; returns (shard, path, doc_id, number, offset, n_tokens), offsets in ids within a shard.
 
     Rows are dealt by ranges of doc_id, so shard numbers ascend with the ids, nulls first. The
-    texts are moved rather than their ids; ids stream to the file, so a task holds one batch.
+    texts are moved rather than their ids; ids stream to the file, so a task holds one batch and
+    28 bytes for each document.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("shard", F.spark_partition_id())
     schema = "shard int, path string, doc_id long, number int, offset long, n_tokens long"
     types = [pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches):
-        enc, places, shard = encoder(tokenizer), [], [0]
+        enc, shard = encoder(tokenizer), [0]
+        ids, nulls, numbers, offsets, sizes = array("q"), [0], array("i"), array("q"), array("q")  # nulls come first
         end = enc._pack([end_id])
 
         def parts():
@@ -193,21 +201,26 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
                     doc_id, packed = doc_id.as_py(), enc.encode(text.as_py() or "") + end
                     number = number + 1 if doc_id == before else 0
                     before, shard[0] = doc_id, s.as_py()
-                    places.append((doc_id, number, at, len(packed) // enc.dtype.itemsize))
-                    at += places[-1][3]
+                    nulls[0] += doc_id is None
+                    ids.append(doc_id or 0)
+                    numbers.append(number)
+                    offsets.append(at)
+                    sizes.append(len(packed) // enc.dtype.itemsize)
+                    at += sizes[-1]
                     yield packed
 
         path = write_file(folder, "ids.bin", parts())
-        for lo in range(0, len(places), 10_000):
-            part = places[lo : lo + 10_000]
-            columns = [[shard[0]] * len(part), [path] * len(part), *zip(*part, strict=True)]
+        for lo in range(0, len(ids), 10_000):
+            hi = min(lo + 10_000, len(ids))
+            own = [None if k < nulls[0] else ids[k] for k in range(lo, hi)]
+            columns = [[shard[0]] * (hi - lo), [path] * (hi - lo), own, numbers[lo:hi], offsets[lo:hi], sizes[lo:hi]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split(" ")[0] for x in schema.split(", ")])
 
     return materialise(rows.mapInArrow(run, schema), "places")
 
 
 def write_index(places: DataFrame, folder: str, keys: int = INDEX_KEYS) -> DataFrame:
-    """Write the index files; returns (part, path). A key belongs to the part that its hash names."""
+    """Write the index files; returns (part, path, parts). A key belongs to the part that its hash names, of ``parts`` in all; a part without keys has no file."""
     parts = max(1, -(-places.count() // keys))
     spread = _parted(places, parts).select("part", "doc_id", "number", "shard", "offset", "n_tokens")
 
@@ -221,9 +234,9 @@ def write_index(places: DataFrame, folder: str, keys: int = INDEX_KEYS) -> DataF
             c[slots] = table.column(name).to_numpy()
         head = INDEX_MAGIC + struct.pack("<QQ", len(names), len(shift))
         path = write_file(folder, "index.bin", [head, shift.astype("<u4").tobytes(), *(c.tobytes() for c in columns)])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "path": [path]})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "path": [path], "parts": pa.array([parts], pa.int32())})
 
-    return materialise(spread.groupBy("part").applyInArrow(run, "part int, path string"), "index")
+    return materialise(spread.groupBy("part").applyInArrow(run, "part int, path string, parts int"), "index")
 
 
 def _parted(keys: DataFrame, parts: int) -> DataFrame:
@@ -254,10 +267,10 @@ class Index:
 
 def look_up(keys: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, number) -> the same with shard, offset, n_tokens from the index; keys that it lacks are left out."""
-    files = index.count()
+    parts = index.agg(F.max("parts")).first()[0] or 1
     schema = "doc_id long, number int, shard int, offset long, n_tokens long"
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    rows = _parted(keys.select("doc_id", "number"), max(1, files)).join(index, "part").select("doc_id", "number", "path").repartition("path").sortWithinPartitions("path")
+    rows = _parted(keys.select("doc_id", "number"), parts).join(index.select("part", "path"), "part").select("doc_id", "number", "path").repartition("path").sortWithinPartitions("path")
 
     def run(batches):
         at, own = None, None
@@ -323,6 +336,14 @@ def store(docs: DataFrame, tokenizer: str | None = None, folder: str | None = No
 
 
 def write_and_read(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, start, n_tokens, ids_crc32, found through the index and read back from the shards."""
+    """Per row of ``docs``: doc_id, start, n_tokens, ids_crc32, found through the index and read back from the shards.
+
+    Null and empty texts have the end id alone; texts of any length are encoded whole. Null ids come first; rows that repeat an id
+    all stay, in no set order among themselves. An empty table gives no rows; other columns are not
+    read, whatever their names. It is an error if the index does not find every row that was written.
+    """
     places, shards, index = store(docs, tokenizer, folder)
-    return read_ids(look_up(places, index), shards)
+    found = materialise(look_up(places, index), "found")
+    if (wanted := places.count()) != (got := found.count()):
+        raise RuntimeError(f"the index finds {got} of {wanted} keys")
+    return read_ids(found, shards)

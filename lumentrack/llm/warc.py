@@ -18,17 +18,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, unit_hash
+from .common import materialise, shared_dir, spread_join, unit_hash
 from .files import open_file, write_file
 
 #: Magic of the skippable frame that holds a dictionary, and of a Zstandard frame.
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
-#: The dictionary is trained on about so many pages, up to so many bytes of each, to this size.
-SAMPLE_PAGES, SAMPLE_BYTES, DICT_BYTES = 400, 16384, 32768
+#: The dictionary is trained on about so many pages, on so many characters from the start of each, to this size. This changes how small records get, and nothing else.
+SAMPLE_PAGES, SAMPLE_CHARS, DICT_BYTES = 400, 16384, 32768
 #: An archive is closed when its compressed records exceed this.
 ARCHIVE_BYTES = 64 << 20
-#: Rows of one payload are dealt to so many tasks.
-SALTS = 16
 _READ = 1 << 16
 
 
@@ -51,11 +49,11 @@ def _record(page_id, url: str | None, payload: bytes, sha: str, refers_to, revis
 
 
 def train(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of pages (SAMPLE_PAGES, SAMPLE_BYTES), or b"" if they are too few to train on."""
+    """A dictionary from a bounded sample of pages (SAMPLE_PAGES, SAMPLE_CHARS), or b"" if they are too few to train on."""
     total = pages.count()
     if not total:
         return b""
-    part = pages.where(unit_hash(F.struct("page_id", "url")) < SAMPLE_PAGES / total).select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")).limit(2 * SAMPLE_PAGES)
+    part = pages.where(unit_hash(F.struct("page_id", "url")) < SAMPLE_PAGES / total).select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS).alias("html")).limit(2 * SAMPLE_PAGES)
     sample = [r.html.encode() for r in part.collect() if r.html]
     try:
         return zstandard.train_dictionary(DICT_BYTES, sample).as_bytes()
@@ -66,19 +64,19 @@ def train(pages: DataFrame) -> bytes:
 def assign(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, digest, refers_to (null for responses): which page of each payload is archived whole."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha"))
     groups = pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes)
-    first = groups.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("sha", "first")
-    first = first.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    first = materialise(groups.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("sha", "first"), "first-pages")
     later = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(first, ["sha", "salt"], "left").select("page_id", "url", "payload", later.alias("refers_to"))
+    return spread_join(rows, first, "sha", "left").select("page_id", "url", "payload", later.alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Write a record for every page and return the archives: (path, records). The files are written once, before this returns.
 
-    Equal payloads of ``min_bytes`` bytes or more make revisits. Null html is an empty payload; a
-    null page_id is less than any other; rows that repeat the largest page_id of a payload are all responses.
+    Equal payloads of ``min_bytes`` bytes or more make revisits. Null html is an empty payload; payloads of any
+    length are written whole, one at a time in memory; a null page_id is less than any other; rows that repeat the largest page_id of
+    a payload are all responses. An empty table makes no archive. Other columns are not read, whatever their names.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark, "warc")
@@ -166,7 +164,11 @@ def parse(record: bytes) -> dict:
 
 
 def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """Records of the archives listed in column ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for."""
+    """Records of the archives listed in column ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for.
+
+    One record is decoded at a time; a faulty archive is an error; no archive, no rows; other
+    columns of ``archives`` are not read. ``unresolved`` tells revisits without their response.
+    """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     keys = ["page_id", "payload_bytes", "digest", "type", "refers_to", "payload"][: 5 + payloads]
@@ -190,6 +192,13 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
     return spread.mapInArrow(run, schema)
 
 
+def unresolved(records: DataFrame) -> DataFrame:
+    """The revisits of ``read`` records that no response with the same id and payload digest answers; none if all archives are there."""
+    answers = records.where("record_type = 'response'").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).distinct()
+    revisits = records.where("record_type = 'revisit'")
+    return revisits.join(answers, revisits.refers_to.eqNullSafe(F.col("_id")) & (revisits.payload_digest == F.col("_digest")), "left_anti")
+
+
 ORACLE_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h),

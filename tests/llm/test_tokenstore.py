@@ -1,9 +1,13 @@
+import json
+import tempfile
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumentrack.llm import tokenstore as ts
@@ -51,3 +55,29 @@ def test_round_trip(spark):
     keys = spark.createDataFrame([(-1, 0), (123456789, 0), (7, 2), (7, 3)], "doc_id long, number int")
     assert {(r.doc_id, r.number) for r in ts.look_up(keys, index).collect()} == {(-1, 0), (7, 2)}
     assert ts.write_and_read(df.limit(0)).count() == 0
+
+
+def test_empty_parts_of_the_index(spark):
+    """Where hashing leaves parts of the index without keys, the others are still found; a lost part is an error."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    folder = "file://" + tempfile.mkdtemp()
+    places, shards, _ = ts.store(docs, folder=folder)
+    index = ts.write_index(places, f"{folder}/small", keys=2)
+    assert index.count() < index.first().parts == 20
+    assert ts.look_up(places, index).count() == 40
+    whole = ts.write_index
+    ts.write_index = lambda places, folder: whole(places, folder, keys=2).limit(3)
+    try:
+        with pytest.raises(RuntimeError):
+            ts.write_and_read(docs)
+    finally:
+        ts.write_index = whole
+
+
+def test_other_patterns_encode_whole_texts(tmp_path):
+    path = P.path("word_bpe_49k.json")
+    made = json.load(open(path, encoding="utf-8"))
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": "[a-z]|[^a-z]+"}
+    other = str(tmp_path / "other.json")
+    json.dump(made, open(other, "w", encoding="utf-8"))
+    assert ts.Encoder(path).by_word and not ts.Encoder(other).by_word

@@ -5,6 +5,8 @@ import duckdb
 import pytest
 import zstandard
 
+from pyspark.sql import functions as F
+
 from lumentrack.llm import warc
 
 D = "/root/testdata/sf0.01/pages.parquet"
@@ -44,3 +46,18 @@ def test_faults():
     for bad in (frame[:-3], frame + b"junk", struct.pack("<II", warc.DICT_MAGIC, 99) + b"x"):
         with pytest.raises(ValueError):
             list(warc.frames(io.BytesIO(bad)))
+
+
+def test_unresolved_revisits(spark):
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "u", "other"), (4, "u", None)], "page_id long, url string, html string")
+    records = warc.read(warc.write(pages))
+    assert warc.unresolved(records).count() == 0
+    assert [r.page_id for r in warc.unresolved(records.where("page_id <> 2")).collect()] == [1]
+    assert [r.page_id for r in warc.unresolved(records.selectExpr("page_id", "CASE WHEN page_id = 2 THEN 'X' ELSE payload_digest END AS payload_digest", "record_type", "refers_to")).collect()] == [1]
+    assert warc.read(warc.write(pages.limit(0))).count() == 0
+
+
+def test_hot_payload(spark):
+    pages = spark.range(1000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("p"), "id")).alias("html"))
+    rows = {r.page_id: r for r in warc.read(warc.write(pages)).collect()}
+    assert len(rows) == 1000 and {r.refers_to for r in rows.values()} == {699, None} and sum(r.record_type == "revisit" for r in rows.values()) == 699
