@@ -54,13 +54,15 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", like: DataFrame | None = None) -> DataFrame:
     """``rows`` joined (inner or left) to ``unique``, which has a row a key at most, with the rows of hot keys dealt to many tasks.
 
     Hot are the hundred largest keys, those of over 200 rows; only their values reach the driver.
-    Their rows are salted and met by copies of the key's one row. ``rows`` is read twice.
+    Their rows are salted and met by copies of the key's one row. ``rows`` is read twice, or
+    ``like`` in its stead the first time, which has its keys as often.
     """
-    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 200")
+    like = rows if like is None else like
+    sizes = like.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 200")
     hot = [r[0] for r in sizes.orderBy(F.desc("_n")).limit(100).select(key).collect()]
     if not hot:
         return rows.join(unique, key, how)
