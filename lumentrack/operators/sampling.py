@@ -53,14 +53,50 @@ def allocate(segs: DataFrame, scenes: DataFrame, totals: DataFrame, most: int =
     return picked.select("video", "frame").unionByName(short.select("video", F.explode(uniform(F.col("total").cast("int"), least)).alias("frame"))).distinct()
 
 
-def scene_changes(bins: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(video, frame, bin, n) histograms -> frames whose normalised histogram is over ``threshold`` (chi-square) from the last one's."""
+def scene_distances(bins: DataFrame) -> DataFrame:
+    """(video, frame, bin, n) histograms -> (video, frame, distance): chi-square of a frame's normalised histogram from that of the frame before it."""
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("video", "frame")))
     h = bins.select("video", "frame", "bin", (F.col("n") / norm).alias("v"))
     frames = h.select("video", "frame").distinct().withColumn("next", F.lead("frame").over(Window.partitionBy("video").orderBy("frame")))
     before = h.join(frames, ["video", "frame"]).where("next IS NOT NULL").select("video", F.col("next").alias("frame"), "bin", F.col("v").alias("p"))
-    d = before.join(h, ["video", "frame", "bin"], "left").groupBy("video", "frame").agg(F.sum(F.pow(F.col("p") - F.coalesce("v", F.lit(0.0)), 2) / F.col("p")).alias("distance"))
-    return d.where(F.col("distance") > threshold)
+    return before.join(h, ["video", "frame", "bin"], "left").groupBy("video", "frame").agg(F.sum(F.pow(F.col("p") - F.coalesce("v", F.lit(0.0)), 2) / F.col("p")).alias("distance"))
+
+
+def scene_changes(bins: DataFrame, totals: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(video, frame): frames whose histogram is over ``threshold`` from the one before, and always a video's first and last frame."""
+    ends = totals.select("video", F.explode(F.array(F.lit(0).cast("long"), F.col("total").cast("long") - 1)).alias("frame"))
+    return scene_distances(bins).where(F.col("distance") > threshold).select("video", F.col("frame").cast("long").alias("frame")).union(ends).distinct()
+
+
+def extract(totals: DataFrame, most: int = 32) -> DataFrame:
+    """(video, i, frame): at most ``most`` evenly spaced frames of each video, never more than it has; a video without frames is an error."""
+    n = F.least(F.lit(most), F.col("total").cast("int"))
+    checked = totals.withColumn("n", F.when(F.col("total") > 0, n).otherwise(F.raise_error(F.lit("video has no frames")).cast("int")))
+    places = checked.select("video", "total", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    frame = F.when(F.col("i") == F.col("n") - 1, F.col("total") - 1).otherwise(F.floor(F.col("i") * ((F.col("total") - 1) / F.greatest(F.lit(1), F.col("n") - 1))))
+    return places.select("video", "i", F.when(F.col("n") == 1, 0).otherwise(frame).cast("int").alias("frame"))
+
+
+def sample(scores: DataFrame, bins: DataFrame, totals: DataFrame, most: int = 32, least: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Frames of each video, and their metadata.
+
+    Videos with motion scores are sampled by motion: (video, frame) of segments, scene changes and
+    budget. Those without (analysis failed) fall back to a uniform sample of ``most`` frames. Metadata: video, total_frames,
+    sampled_frames, motion_segments, scene_changes, avg_motion_intensity, sampling_strategy.
+    """
+    found, scenes = segments(scores), scene_changes(bins, totals)
+    known = scores.groupBy("video").agg(F.avg("score").alias("avg_motion_intensity"))
+    moving = totals.join(known.select("video"), "video", "left_semi")
+    still = totals.join(known.select("video"), "video", "left_anti")
+    frames = allocate(found, scenes.join(known.select("video"), "video", "left_semi"), moving, most, least)
+    frames = frames.unionByName(still.select("video", F.explode(F.array_distinct(uniform(F.col("total").cast("int"), most))).alias("frame")))
+    count = lambda df, name: df.groupBy("video").agg(F.count("*").alias(name))
+    meta = totals.join(count(frames, "sampled_frames"), "video", "left").join(count(found, "motion_segments"), "video", "left").join(count(scenes, "scene_changes"), "video", "left").join(known, "video", "left")
+    seen = F.col("avg_motion_intensity").isNotNull()
+    return frames, meta.select(
+        "video", F.col("total").alias("total_frames"), F.coalesce("sampled_frames", F.lit(0)).alias("sampled_frames"), *[F.when(seen, F.coalesce(c, F.lit(0))).alias(c) for c in ("motion_segments", "scene_changes")],
+        "avg_motion_intensity", F.when(seen, "adaptive_motion_based").otherwise("uniform_fallback").alias("sampling_strategy"),
+    )
 
 
 def prompt_grid(spark, width: float, height: float, n: int) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .raster import clip01
 
 #: Patterns of the text heuristic (fixed values).
-ERRORS = ("error", "failed", "unable", "cannot", "sorry", "invalid")
-POSITIVE = ("detected", "identified", "confident", "clearly", "visible")
+ERRORS = ("error", "failed", "unable", "cannot", "sorry", "don't know")
+POSITIVE = ("object", "trajectory", "position", "movement", "detected")
 #: Aliases of a semantic object's fields, in order of precedence (fixed values).
 LABEL_KEYS, BOX_KEYS, LIST_KEYS = ("label", "object_id", "class"), ("bbox", "bounding_box", "box"), ("objects", "trajectories", "detections")
 
@@ -41,12 +41,36 @@ def refine(matches: DataFrame, hierarchy: DataFrame) -> DataFrame:
 
 
 def text_confidence(text: Column) -> Column:
-    """Heuristic confidence of a model's text, from its length, braces, and words of failure and success."""
-    n = F.length(text)
+    """Heuristic confidence of a model's text, from its length, braces, and words of failure and success anywhere in it, in any case; a null text is empty."""
+    text = F.coalesce(text, F.lit(""))
+    n, low = F.length(text), F.lower(text)
     c = F.lit(0.7) * F.when(n < 50, 0.5).when(n > 2000, 0.8).otherwise(1.0) * F.when(F.contains(text, F.lit("{")) & F.contains(text, F.lit("}")), 1.1).otherwise(0.5)
     for word in ERRORS:
-        c = c * F.when(text.rlike(rf"(?iu)\b{word}\b"), 0.6).otherwise(1.0)
-    return clip01(c * (1 + 0.05 * sum(text.rlike(rf"(?iu)\b{word}\b").cast("int") for word in POSITIVE)))
+        c = c * F.when(F.contains(low, F.lit(word)), 0.6).otherwise(1.0)
+    return clip01(c * (1 + 0.05 * sum(F.contains(low, F.lit(word)).cast("int") for word in POSITIVE)))
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """(id, text, confidence) -> id, parse_success, confidence: three tenths of it where the text between its outer braces is no JSON, a fifth where it has none."""
+    body = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?s)(\{.*\})", 1)
+    good = F.try_parse_json(F.when(body != "", body)).isNotNull()
+    return texts.select("id", good.alias("parse_success"), (F.col("confidence") * F.when(body == "", 0.2).when(good, 1.0).otherwise(0.3)).alias("confidence"))
+
+
+def fallback_label(texts: DataFrame, objects: DataFrame) -> DataFrame:
+    """Labels without spatial matching: (id, text), (id, obj_id) -> id, obj_id, label, behaviour.
+
+    The first object of ``trajectories``, or if that list is empty of ``objects``, names every mask by its object_id,
+    else its label; a null or empty name, or the mask's own, leaves ``object_`` and the number.
+    behaviour is the object's action, else its behavior, else stationary.
+    """
+    v = F.try_parse_json(F.regexp_extract("text", r"(?s)(\{.*\})", 1))
+    first = lambda k: F.filter(F.coalesce(F.try_variant_get("v", f"$.{k}", "array<variant>"), F.array().cast("array<variant>")), lambda o: F.schema_of_variant(o).startswith("OBJECT"))
+    chosen = texts.select("id", v.alias("v")).select("id", first("trajectories").alias("t"), first("objects").alias("o")).select("id", F.get(F.when(F.size("t") > 0, F.col("t")).otherwise(F.col("o")), 0).alias("o"))
+    text = lambda k: F.nullif(F.try_variant_get("o", f"$.{k}", "string"), F.lit(""))
+    named = chosen.select("id", F.coalesce(text("object_id"), text("label")).alias("name"), F.coalesce(text("action"), text("behavior"), F.lit("stationary")).alias("behaviour"))
+    own = F.concat(F.lit("object_"), F.col("obj_id"))
+    return objects.join(named, "id", "left").select("id", "obj_id", F.coalesce("name", own).alias("label"), F.coalesce("behaviour", F.lit("stationary")).alias("behaviour"))
 
 
 def cross_modal(s: Column, d: Column, c: Column, k: Column) -> Column:

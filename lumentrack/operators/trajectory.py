@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,51 +120,78 @@ def gravity_fit(points: DataFrame) -> DataFrame:
     return sums.select(KEY, fit.alias("conformance"))
 
 
-def _fold(points: DataFrame, merge) -> DataFrame:
-    """Ordered fold of a track: ``merge(outputs, point)`` gives the output point; tracks are bounded by a video's sampled frames."""
-    point = "struct<pos:int,t:double,x:double,y:double,z:double,hit:boolean,measure:double>"
-    rows = points.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "t", *AXES, F.lit(False).alias("hit"), F.lit(None).cast("double").alias("measure")))).alias("ps"))
-    return rows.select(KEY, F.inline(F.aggregate("ps", F.array().cast(f"array<{point}>"), lambda out, p: F.concat(out, F.array(merge(out, p))))))
+def fold(points: DataFrame, step, schema: str) -> DataFrame:
+    """Ordered fold of each track: ``step(state, row)`` gives (state, output row), the state of a track's first row being None.
+
+    A track's rows are sorted by Spark and stream through one task, which holds a batch and the
+    state, whatever the track's length; tracks come one after another. ``points`` needs obj_id and pos.
+    """
+    rows = points.repartition(KEY).sortWithinPartitions(KEY, "pos")
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches):
+        track, state = object(), None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row.obj_id != track:
+                    track, state = row.obj_id, None
+                state, found = step(state, row)
+                out.append(found)
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(run, schema)
 
 
-def _gap(a: Column, b: Column) -> Column:
-    return F.sqrt(sum(F.pow(b[c] - a[c], F.lit(2)) for c in AXES))
+def speed_step(last, row, here, max_speed: float, midpoint: bool = False):
+    """(x, y, z) of a row against the last output (t, x, y, z), or None before: (point, whether it was moved, speed where it was)."""
+    if last is None:
+        return here, False, None
+    dt = row.t - last[0] if row.t > last[0] else 0.033
+    gap = math.dist(last[1:], here)
+    if not gap / dt > max_speed:
+        return here, False, None
+    share = 0.5 if midpoint else max_speed * dt / gap
+    return tuple(a + (b - a) * share for a, b in zip(last[1:], here, strict=True)), True, gap / dt
 
 
-def _point(p: Column, xyz: list[Column], hit: Column, measure: Column) -> Column:
-    return F.named_struct(F.lit("pos"), p["pos"], F.lit("t"), p["t"], *[v for c, e in zip(AXES, xyz, strict=True) for v in (F.lit(c), e)], F.lit("hit"), hit, F.lit("measure"), measure)
+def acceleration_step(before, last, row, here, max_acceleration: float):
+    """As ``speed_step`` for the acceleration from the last two outputs; points pass while there are fewer, and where time stands still."""
+    if before is None or last is None or not (last[0] > before[0] and row.t > last[0]):
+        return here, False, None
+    dt = row.t - last[0]
+    v = [(b - a) / (last[0] - before[0]) for a, b in zip(before[1:], last[1:], strict=True)]
+    acc = [((b - a) / dt - w) / dt for a, b, w in zip(last[1:], here, v, strict=True)]
+    size = math.hypot(*acc)
+    if not size > max_acceleration:
+        return here, False, None
+    return tuple(a + (w + k * max_acceleration / size * dt) * dt for a, w, k in zip(last[1:], v, acc, strict=True)), True, size
 
 
-def _dt(a: Column, b: Column) -> Column:
-    return F.when(b["t"] - a["t"] > 0, b["t"] - a["t"]).otherwise(0.033)
+_CLAMPED = "pos int, t double, x double, y double, z double, hit boolean, measure double"
+
+
+def _clamp(points: DataFrame, step) -> DataFrame:
+    rows = points.select(KEY, F.col("pos").cast("int").alias("pos"), "t", *AXES)
+    return fold(rows, step, f"{KEY} {points.schema[KEY].dataType.simpleString()}, {_CLAMPED}")
 
 
 def clamp_speed(points: DataFrame, max_speed: float, midpoint: bool = False) -> DataFrame:
     """Points whose speed from the last output exceeds ``max_speed`` move to where it is met (or, ``midpoint``, halfway); hit marks them, measure is the speed."""
 
-    def merge(out, p):
-        last = F.element_at(out, -1)
-        gap, dt = _gap(last, p), _dt(last, p)
-        hit = F.coalesce(gap / dt > max_speed, F.lit(False)) & (F.size(out) > 0)
-        share = F.lit(0.5) if midpoint else max_speed * dt / gap
-        moved = [F.when(hit, last[c] + (p[c] - last[c]) * share).otherwise(p[c]) for c in AXES]
-        return F.when(F.size(out) == 0, p).otherwise(_point(p, moved, hit, F.when(hit, gap / dt)))
+    def step(last, row):
+        here, hit, speed = speed_step(last, row, (row.x, row.y, row.z), max_speed, midpoint)
+        return (row.t, *here), (row.obj_id, row.pos, row.t, *here, hit, speed)
 
-    return _fold(points, lambda out, p: F.when(F.size(out) == 0, p).otherwise(merge(F.when(F.size(out) == 0, F.array(p)).otherwise(out), p)))
+    return _clamp(points, step)
 
 
 def clamp_acceleration(points: DataFrame, max_acceleration: float) -> DataFrame:
     """As ``clamp_speed`` for the acceleration from the last two outputs; the first two points pass, and points where time stands still."""
 
-    def merge(out, p):
-        a, b = F.element_at(out, -2), F.element_at(out, -1)
-        t1, t2 = b["t"] - a["t"], p["t"] - b["t"]
-        ok = (t1 > 0) & (t2 > 0)
-        v1 = [(b[c] - a[c]) / F.when(ok, t1) for c in AXES]
-        acc = [((p[c] - b[c]) / F.when(ok, t2) - v) / F.when(ok, t2) for c, v in zip(AXES, v1, strict=True)]
-        size = F.sqrt(sum(F.pow(x, F.lit(2)) for x in acc))
-        hit = F.coalesce(size > max_acceleration, F.lit(False))
-        moved = [F.when(hit, b[c] + (v + x * max_acceleration / size * t2) * t2).otherwise(p[c]) for c, v, x in zip(AXES, v1, acc, strict=True)]
-        return _point(p, moved, hit, F.when(hit, size))
-
-    return _fold(points, lambda out, p: F.when(F.size(out) < 2, p).otherwise(merge(F.when(F.size(out) < 2, F.array(p, p)).otherwise(out), p)))
+    def step(state, row):
+        before, last = state or (None, None)
+        here, hit, size = acceleration_step(before, last, row, (row.x, row.y, row.z), max_acceleration)
+        return (last, (row.t, *here)), (row.obj_id, row.pos, row.t, *here, hit, size)
+
+    return _clamp(points, step)

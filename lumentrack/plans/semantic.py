@@ -34,16 +34,30 @@ def motion_segments(spark, d):
     return fr.segments(_scores(spark, d)[0]).withColumn("intensity", r6(F.col("intensity")))
 
 
+def _bins(spark, d):
+    """Histograms of every tenth frame: the labels' numbers of ten events of a user, in eight-fold steps of 32."""
+    p = tracks(table(spark, d, "events"))
+    return p.groupBy(F.col("obj_id").alias("video"), (F.floor(F.col("pos") / 10) * 10).alias("frame"), F.floor(F.col("y") / 32).alias("bin")).agg(F.count("*").alias("n"))
+
+
 def adaptive_frames(spark, d):
     p, totals = _scores(spark, d)
-    scenes = totals.select("video", F.explode(F.array(F.lit(0), F.col("total") - 1)).alias("frame"))
-    return fr.allocate(fr.segments(p), scenes, totals, 28, 16)
+    return fr.allocate(fr.segments(p), fr.scene_changes(_bins(spark, d), totals), totals, 28, 16)
 
 
 def scene_changes(spark, d):
-    p = tracks(table(spark, d, "events")).where("pos % 10 < 5")
-    bins = p.groupBy(F.col("obj_id").alias("video"), F.floor(F.col("pos") / 10).alias("frame"), F.floor(F.col("y") / 32).alias("bin")).agg(F.count("*").alias("n"))
-    return fr.scene_changes(bins, 0.30001).withColumn("distance", r6(F.col("distance")))
+    return fr.scene_changes(_bins(spark, d), _scores(spark, d)[1])
+
+
+def extracted_frames(spark, d):
+    return fr.extract(_scores(spark, d)[1])
+
+
+def sampling_metadata(spark, d):
+    """Users divisible by seven have no motion scores, so they fall back."""
+    p, totals = _scores(spark, d)
+    out = fr.sample(p.where("video % 7 <> 0"), _bins(spark, d), totals, 28, 16)[1]
+    return out.withColumn("avg_motion_intensity", r6(F.col("avg_motion_intensity")))
 
 
 def prompt_grid(spark, d):
@@ -53,8 +67,8 @@ def prompt_grid(spark, d):
 
 def label_match(spark, d):
     e = tracks(table(spark, d, "events"))
-    pairs = e.where("pos < 8").select("obj_id", F.col("pos").alias("ord"), F.when(F.col("pos") % 3 == 0, F.concat(F.lit("object_"), F.col("pos"))).otherwise(F.col("label")).alias("label"), (F.col("y") / 100).alias("iou"))
-    return ml.best_match(pairs.where("obj_id % 11 <> 0"), e.select("obj_id").distinct()).withColumn("confidence", r6(F.col("confidence")))
+    pairs = e.select("obj_id", F.col("pos").alias("ord"), F.when(F.col("pos") % 3 == 0, F.concat(F.lit("object_"), F.col("pos"))).otherwise(F.col("label")).alias("label"), (F.col("y") / 100).alias("iou"))
+    return ml.best_match(pairs, e.select("obj_id").distinct()).withColumn("confidence", r6(F.col("confidence")))
 
 
 def label_consensus(spark, d):
@@ -72,6 +86,12 @@ def text_confidence(spark, d):
     return t.select("id", r6(ml.text_confidence(F.col("text"))).alias("confidence"))
 
 
+def semantic_parse(spark, d):
+    """Texts with JSON, with broken JSON and with none."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("say "), "props", F.lit(" end"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("say {"), "event_type", F.lit("} end"))).otherwise(F.col("event_type")).alias("text"))
+    return ml.parsed(e.withColumn("confidence", ml.text_confidence(F.col("text")))).withColumn("confidence", r6(F.col("confidence")))
+
+
 def json_objects(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.format_string('say {"%s": [{"%s": "%s", "box": [%d]}, 3, {"class": "", "confidence": 0.5}]} end', F.when(F.col("event_id") % 2 == 0, "objects").otherwise("detections"), F.when(F.col("event_id") % 3 == 0, "label").otherwise("class"), F.col("event_type"), F.col("event_id")).alias("text"))
     return ml.json_objects(e)
@@ -122,14 +142,23 @@ def rate_limit(spark, d):
     return accepted(table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")), 108000.0, 3)
 
 
-QUERIES = {f.__name__: f for f in (uniform_sample, motion_scores, motion_segments, adaptive_frames, scene_changes, prompt_grid, label_match, label_consensus, label_refine, text_confidence, json_objects, cross_modal_confidence, fused_objects, fused_documents, jobs_page, job_states, rate_limit)}
+QUERIES = {f.__name__: f for f in (uniform_sample, motion_scores, motion_segments, adaptive_frames, scene_changes, extracted_frames, sampling_metadata, prompt_grid, label_match, label_consensus, label_refine, text_confidence, semantic_parse, json_objects, cross_modal_confidence, fused_objects, fused_documents, jobs_page, job_states, rate_limit)}
 
 _SC = f"{SQL['tr']}, sc AS (SELECT obj_id AS video, pos AS frame, x / 5 AS score FROM tr), tt AS (SELECT video, max(frame) + 1 AS total FROM sc GROUP BY video)"
 _CLS = "CASE WHEN score < 1 THEN 'static' WHEN score < 5 THEN 'low' WHEN score < 15 THEN 'medium' ELSE 'high' END"
 _SEG = f"""{_SC}, c0 AS (SELECT video, frame, score, {_CLS} AS class FROM sc JOIN tt USING (video) WHERE frame < total - 1), c1 AS (SELECT *, CASE WHEN class <> lag(class) OVER (PARTITION BY video ORDER BY frame) THEN 1 ELSE 0 END AS f FROM c0),
 c2 AS (SELECT *, sum(f) OVER (PARTITION BY video ORDER BY frame ROWS UNBOUNDED PRECEDING) AS island FROM c1), sgm AS (SELECT video, min(frame) AS "start", max(frame) + 1 AS "end", any_value(class) AS class, avg(score) AS intensity FROM c2 GROUP BY video, island)"""
 _VOTE = f"{SQL['tr']}, v AS (SELECT obj_id, label, count(*) AS n, min(pos) AS f FROM tr GROUP BY obj_id, label), vt AS (SELECT obj_id, CASE WHEN sum(n) OVER (PARTITION BY obj_id) >= 3 THEN label ELSE first_value(label) OVER (PARTITION BY obj_id ORDER BY f) END AS label, n, (sum(n) OVER (PARTITION BY obj_id))::BIGINT AS votes, row_number() OVER (PARTITION BY obj_id ORDER BY n DESC, label) AS r FROM v)"
-_HEUR = "CASE WHEN length(text) < 50 THEN 0.5::DOUBLE WHEN length(text) > 2000 THEN 0.8 ELSE 1.0 END * CASE WHEN contains(text, '{') AND contains(text, '}') THEN 1.1::DOUBLE ELSE 0.5 END" + "".join(f" * CASE WHEN regexp_matches(text, '(?i)\\b{w}\\b') THEN 0.6::DOUBLE ELSE 1.0 END" for w in ml.ERRORS) + " * (1 + 0.05::DOUBLE * (" + " + ".join(f"regexp_matches(text, '(?i)\\b{w}\\b')::INTEGER" for w in ml.POSITIVE) + "))"
+_HEUR = """0.7::DOUBLE * CASE WHEN length(text) < 50 THEN 0.5::DOUBLE WHEN length(text) > 2000 THEN 0.8 ELSE 1.0 END * CASE WHEN text LIKE '%{%' AND text LIKE '%}%' THEN 1.1::DOUBLE ELSE 0.5 END
+  * power(0.6::DOUBLE, (text ILIKE '%error%')::INTEGER + (text ILIKE '%failed%')::INTEGER + (text ILIKE '%unable%')::INTEGER + (text ILIKE '%cannot%')::INTEGER + (text ILIKE '%sorry%')::INTEGER + (text ILIKE '%don''t know%')::INTEGER)
+  * (1 + 0.05::DOUBLE * ((text ILIKE '%object%')::INTEGER + (text ILIKE '%trajectory%')::INTEGER + (text ILIKE '%position%')::INTEGER + (text ILIKE '%movement%')::INTEGER + (text ILIKE '%detected%')::INTEGER))"""
+_BIN = """b AS (SELECT obj_id AS video, pos // 10 * 10 AS frame, floor(y / 32)::BIGINT AS bin, count(*) AS n FROM tr GROUP BY 1, 2, 3), h AS (SELECT video, frame, bin, n / sqrt(sum(n * n) OVER (PARTITION BY video, frame)) AS v FROM b),
+x AS (SELECT a.video, a.frame + 10 AS frame, sum(power(a.v - coalesce(c.v, 0), 2) / a.v) AS distance FROM h a LEFT JOIN h c ON c.video = a.video AND c.frame = a.frame + 10 AND c.bin = a.bin WHERE EXISTS (SELECT 1 FROM b WHERE b.video = a.video AND b.frame = a.frame + 10) GROUP BY 1, 2),
+sn AS (SELECT video, frame FROM x WHERE distance > 0.3 UNION SELECT video, 0 FROM tt UNION SELECT video, total - 1 FROM tt)"""
+_ALLOC = f"""{_BIN}, u AS (SELECT video, unnest(generate_series("start", "end" - 1, CASE class WHEN 'high' THEN 2 WHEN 'medium' THEN 5 WHEN 'low' THEN 10 ELSE 20 END)) AS frame FROM sgm UNION SELECT video, "end" - 1 FROM sgm UNION SELECT video, frame FROM sn),
+k AS (SELECT video, frame, row_number() OVER (PARTITION BY video ORDER BY frame) - 1 AS r, count(*) OVER (PARTITION BY video) AS n FROM u), p AS (SELECT video, frame FROM k WHERE n <= 28 OR r IN (SELECT floor(i * n / 28) FROM range(28) q(i))),
+s AS (SELECT tt.video, total FROM tt LEFT JOIN (SELECT video, count(*) AS c FROM p GROUP BY video) y ON y.video = tt.video WHERE coalesce(c, 0) < 16),
+fr AS (SELECT video, frame::INTEGER AS frame FROM p UNION SELECT video, (CASE WHEN i = 15 THEN total - 1 ELSE floor(i * ((total - 1) / 15)) END)::INTEGER FROM s, range(16) q(i))"""
 _FUSED = f"""WITH {SUMMARY_CTE}, {_VOTE.removeprefix(SQL["tr"] + ", ")}, fg AS (SELECT obj_id, avg(y / 100) AS s, avg(z / 24) AS d FROM tr GROUP BY obj_id), m AS (SELECT obj_id, CASE WHEN pos >= 4 THEN avg(y / 100) OVER (PARTITION BY obj_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS m FROM tr),
 tc AS (SELECT obj_id, coalesce(1 - least(1.0, 2 * var_pop(m)), 1.0) AS tc FROM m GROUP BY obj_id)
 SELECT 'track_' || su.obj_id AS object_id, vt.label, motion_type, n_points, CASE WHEN n_points > 10 THEN 'high' ELSE 'medium' END AS tracking_confidence, round(displacement, 6) AS displacement, round(mean_speed * 1000, 6) AS mean_speed_scaled,
@@ -140,20 +169,21 @@ ORACLE_SQL = {
     "motion_scores": f"""WITH {_SC}, a AS (SELECT video, frame, score, lead(frame) OVER (PARTITION BY video ORDER BY frame) AS nf, lead(score) OVER (PARTITION BY video ORDER BY frame) AS ns FROM sc WHERE frame % 5 = 0),
 o AS (SELECT a.video, s.frame, round(CASE WHEN nf IS NULL OR s.frame = a.frame THEN a.score ELSE a.score + (s.frame - a.frame) / (nf - a.frame) * (ns - a.score) END, 6) + 0.0 AS score FROM sc s JOIN a ON a.video = s.video AND a.frame = s.frame - s.frame % 5) SELECT video, frame, score, {_CLS} AS class FROM o""",
     "motion_segments": f'WITH {_SEG} SELECT video, "start", "end", class, round(intensity, 6) + 0.0 AS intensity FROM sgm',
-    "adaptive_frames": f"""WITH {_SEG}, u AS (SELECT video, unnest(generate_series("start", "end" - 1, CASE class WHEN 'high' THEN 2 WHEN 'medium' THEN 5 WHEN 'low' THEN 10 ELSE 20 END)) AS frame FROM sgm UNION SELECT video, "end" - 1 FROM sgm UNION SELECT video, 0 FROM tt UNION SELECT video, total - 1 FROM tt),
-k AS (SELECT video, frame, row_number() OVER (PARTITION BY video ORDER BY frame) - 1 AS r, count(*) OVER (PARTITION BY video) AS n FROM u), p AS (SELECT video, frame FROM k WHERE n <= 28 OR r IN (SELECT floor(i * n / 28) FROM range(28) q(i))),
-s AS (SELECT tt.video, total FROM tt LEFT JOIN (SELECT video, count(*) AS c FROM p GROUP BY video) x ON x.video = tt.video WHERE coalesce(c, 0) < 16)
-SELECT video, frame::INTEGER AS frame FROM p UNION SELECT video, (CASE WHEN i = 15 THEN total - 1 ELSE floor(i * ((total - 1) / 15)) END)::INTEGER FROM s, range(16) q(i)""",
-    "scene_changes": f"""WITH {SQL['tr']}, b AS (SELECT obj_id AS video, pos // 10 AS frame, floor(y / 32)::BIGINT AS bin, count(*) AS n FROM tr WHERE pos % 10 < 5 GROUP BY 1, 2, 3), h AS (SELECT video, frame, bin, n / sqrt(sum(n * n) OVER (PARTITION BY video, frame)) AS v FROM b),
-x AS (SELECT a.video, a.frame + 1 AS frame, sum(power(a.v - coalesce(c.v, 0), 2) / a.v) AS distance FROM h a LEFT JOIN h c ON c.video = a.video AND c.frame = a.frame + 1 AND c.bin = a.bin WHERE EXISTS (SELECT 1 FROM b WHERE b.video = a.video AND b.frame = a.frame + 1) GROUP BY 1, 2)
-SELECT video, frame, round(distance, 6) AS distance FROM x WHERE distance > 0.30001""",
+    "adaptive_frames": f"WITH {_SEG}, {_ALLOC} SELECT video, frame FROM fr",
+    "scene_changes": f"WITH {_SC}, {_BIN} SELECT video, frame::BIGINT AS frame FROM sn",
+    "extracted_frames": f"WITH {_SC}, n AS (SELECT video, total, least(32, total) AS n FROM tt) SELECT video, i::INTEGER AS i, (CASE WHEN i = n - 1 AND n > 1 THEN total - 1 ELSE floor(i * ((total - 1) / greatest(1, n - 1))) END)::INTEGER AS frame FROM n, range(32) r(i) WHERE i < n",
+    "sampling_metadata": f"""WITH {_SEG}, {_ALLOC}, f AS (SELECT video, frame FROM fr WHERE video % 7 <> 0 UNION SELECT video, CASE WHEN i = 27 THEN total - 1 ELSE floor(i * ((total - 1) / 27)) END FROM tt, range(28) q(i) WHERE video % 7 = 0),
+c AS (SELECT video, count(*) AS sampled_frames FROM f GROUP BY video)
+SELECT tt.video, total AS total_frames, sampled_frames, CASE WHEN tt.video % 7 <> 0 THEN (SELECT count(*) FROM sgm WHERE sgm.video = tt.video) END AS motion_segments, CASE WHEN tt.video % 7 <> 0 THEN (SELECT count(*) FROM sn WHERE sn.video = tt.video) END AS scene_changes,
+CASE WHEN tt.video % 7 <> 0 THEN (SELECT round(avg(score), 6) FROM sc WHERE sc.video = tt.video) END AS avg_motion_intensity, CASE WHEN tt.video % 7 <> 0 THEN 'adaptive_motion_based' ELSE 'uniform_fallback' END AS sampling_strategy FROM tt JOIN c USING (video)""",
     "prompt_grid": "SELECT (i * 3 + j + 1)::INTEGER AS obj_id, round(44.8::DOUBLE + i * 179.2::DOUBLE, 6) AS x, round(44.8::DOUBLE + j * 179.2::DOUBLE, 6) AS y FROM range(3) a(i), range(3) b(j)",
-    "label_match": f"""WITH {SQL['tr']}, p AS (SELECT obj_id, pos, CASE WHEN pos % 3 = 0 THEN 'object_' || pos ELSE label END AS label, y / 100 AS iou FROM tr WHERE pos < 8 AND obj_id % 11 <> 0), c AS (SELECT *, least(1.0, iou * CASE WHEN label LIKE 'object\\_%' ESCAPE '\\' THEN 1.0::DOUBLE ELSE 1.2 END) AS c FROM p WHERE iou >= 0.3),
+    "label_match": f"""WITH {SQL['tr']}, p AS (SELECT obj_id, pos, CASE WHEN pos % 3 = 0 THEN 'object_' || pos ELSE label END AS label, y / 100 AS iou FROM tr), c AS (SELECT *, least(1.0, iou * CASE WHEN label LIKE 'object\\_%' ESCAPE '\\' THEN 1.0::DOUBLE ELSE 1.2 END) AS c FROM p WHERE iou >= 0.3),
 m AS (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY c DESC, pos) AS r FROM c)
 SELECT o.obj_id, coalesce(m.label, 'object_' || o.obj_id) AS label, round(coalesce(c, 0.5), 6) AS confidence, CASE WHEN m.obj_id IS NULL THEN 'fallback' ELSE 'spatial' END AS method FROM (SELECT DISTINCT obj_id FROM tr) o LEFT JOIN m ON m.obj_id = o.obj_id AND m.r = 1""",
     "label_consensus": f"WITH {_VOTE} SELECT obj_id, label, n, votes FROM vt WHERE r = 1",
     "label_refine": f"WITH {_VOTE} SELECT obj_id, label, CASE lower(label) WHEN 'click' THEN 'action' WHEN 'view' THEN 'action' WHEN 'purchase' THEN 'money' ELSE label END AS parent, round(n / votes * CASE WHEN lower(label) IN ('click', 'view', 'purchase') THEN 1.1::DOUBLE ELSE 1.0 END, 6) AS confidence FROM vt WHERE r = 1",
-    "text_confidence": f"WITH t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, html FROM pages) SELECT id, round(greatest(0.0, least(1.0, 0.7::DOUBLE * {_HEUR})), 6) AS confidence FROM t",
+    "text_confidence": f"WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT -1 - page_id, coalesce(html, '') FROM pages) SELECT id, round(least(1.0, {_HEUR}), 6) AS confidence FROM t",
+    "semantic_parse": f"WITH t AS (SELECT event_id AS id, event_id % 3 AS m, CASE event_id % 3 WHEN 0 THEN 'say ' || props || ' end' WHEN 1 THEN 'say {{' || event_type || '}} end' ELSE event_type END AS text FROM events) SELECT id, m = 0 AS parse_success, round(least(1.0, {_HEUR}) * CASE m WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.3 ELSE 0.2 END, 6) AS confidence FROM t",
     "json_objects": """SELECT event_id AS id, 0::INTEGER AS ord, event_type AS label, '[' || event_id || ']' AS bbox, 1.0::DOUBLE AS confidence FROM events UNION ALL SELECT event_id, 2, 'unknown', NULL, 0.5 FROM events""",
     "cross_modal_confidence": f"""WITH {SQL['tr']}, g AS (SELECT obj_id, avg(y / 100) AS s, avg(z / 24) AS d, max(y / 100) AS c, min(z / 24) AS k FROM tr GROUP BY obj_id)
 SELECT obj_id, round(CASE WHEN s <> 0 AND obj_id % 9 <> 0 AND c <> 0 THEN least(1.0, power(s, 0.4) * power(d, 0.3) * power(c, 0.3) * (0.5 + 0.5 * k)) ELSE 0.7 END, 6) AS confidence, round(greatest(0.0, least(1.0, 0.4 * s + 0.3 * (1 - least(1.0, d / 4 / 0.2)) + 0.3 * c)), 6) AS consistency FROM g""",

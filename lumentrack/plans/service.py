@@ -22,9 +22,9 @@ def label_map(spark, d):
 
 
 def token_confidence(spark, d):
-    """Embeddings as logits of tokens, ten times as sharp; every fifth text has lost its tokens."""
+    """Embeddings as logits of tokens, ten times as sharp."""
     r = rasters(table(spark, d, "embeddings")).select(F.col("frame").alias("text_id"), F.transform("logits", lambda v: v * 10).alias("logits"))
-    return sv.token_confidence(r.where("text_id % 5 <> 0"), r.select("text_id").distinct()).withColumn("confidence", r6(F.col("confidence")))
+    return sv.token_confidence(r, r.select("text_id").distinct()).withColumn("confidence", r6(F.col("confidence")))
 
 
 def job_status(spark, d):
@@ -48,7 +48,7 @@ QUERIES = {f.__name__: f for f in (upload_gate, label_map, token_confidence, job
 ORACLE_SQL = {
     "upload_gate": "SELECT page_id, (CASE WHEN page_id % 7 = 0 THEN 400 WHEN strlen(coalesce(html, '')) <= 2000 THEN 200 ELSE 413 END)::INTEGER AS status FROM pages",
     "label_map": f"WITH {SQL['tr']} SELECT obj_id, arg_max(label, pos) AS label FROM tr GROUP BY obj_id",
-    "token_confidence": """WITH t AS (SELECT label AS text_id, list_transform(embedding, lambda v: v::DOUBLE * 10) AS l FROM embeddings), c AS (SELECT text_id, 1 / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))) AS c FROM t WHERE text_id % 5 <> 0)
+    "token_confidence": """WITH t AS (SELECT label AS text_id, list_transform(embedding, lambda v: v::DOUBLE * 10) AS l FROM embeddings), c AS (SELECT text_id, 1 / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))) AS c FROM t)
 SELECT text_id, round(coalesce(any_value(m), 0.5), 6) AS confidence FROM (SELECT DISTINCT text_id FROM t) LEFT JOIN (SELECT text_id, avg(c) AS m FROM c GROUP BY text_id) USING (text_id) GROUP BY text_id""",
     "job_status": """SELECT o_orderkey AS job_id, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN coalesce(n, 0) END AS total_objects, CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') END AS finished_at, (CASE WHEN o_orderstatus = 'F' THEN 200 ELSE 400 END)::INTEGER AS download
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumentrack.operators import physics as ph
 from lumentrack.operators import trajectory as tj
 from lumentrack.sources.adapters import SQL, r6, tracks
 from lumentrack.sources.tables import table
@@ -80,15 +81,16 @@ def track_clamp_acceleration(spark, d):
     return _clamped(tj.clamp_acceleration(_tracks(spark, d), MAX_ACCELERATION).withColumn("measure", F.col("measure") * 1e3))
 
 
+def _classes(points):
+    """A class for each track by its number; the last has no limits of its own."""
+    names = F.array(*[F.lit(x) for x in ("Human", "robot", "ball", "drone", "vehicle", "cloud")])
+    return points.select("obj_id").distinct().select("obj_id", F.get(names, (F.col("obj_id") % 6).cast("int")).alias("object_class"))
+
+
 def physics_report(spark, d):
-    """Speed clamp, then acceleration clamp, then turn check, with violations counted by type; no jerk check exists to fail."""
-    fast = tj.clamp_speed(_tracks(spark, d), MAX_SPEED)
-    slow = tj.clamp_acceleration(fast.select("obj_id", "pos", "t", *tj.AXES), MAX_ACCELERATION)
-    count = lambda df, name: df.groupBy("obj_id").agg(F.count("*").alias(name))
-    out = count(fast, "n_points").join(count(fast.where("hit"), "n_speed"), "obj_id", "left").join(count(slow.where("hit"), "n_acceleration"), "obj_id", "left")
-    kinds = ["n_speed", "n_acceleration"]
-    out = out.withColumns({k: F.coalesce(k, F.lit(0)) for k in kinds})
-    return out.select("obj_id", *kinds, F.lit(0).cast("long").alias("n_jerk"), (F.col("n_speed") + F.col("n_acceleration")).alias("frames_corrected"), F.when(F.col("n_points") < 2, "too_short").otherwise("validated").alias("status"))
+    """Violations of each track by type under the limits of its class; time runs a hundred thousand times as fast, so that the limits matter."""
+    points = _tracks(spark, d).withColumn("t", F.col("t") / 1e5)
+    return ph.report(points, _classes(points), ph.limits(spark))
 
 
 QUERIES = {f.__name__: f for f in (track_smooth, track_summary, track_turns, track_minmax, track_standardize, track_acceleration, track_temporal_consistency, track_validity, track_interpolate, track_gravity, track_clamp_speed, track_clamp_midpoint, track_clamp_acceleration, physics_report)}
@@ -148,7 +150,26 @@ SELECT obj_id, round(CASE WHEN n < 3 THEN 1.0 WHEN det = 0 THEN 0.5 ELSE greates
     "track_clamp_speed": f"WITH RECURSIVE {SQL['tr']}, {_speed_sql(f'({MAX_SPEED} * dt / gap)')} SELECT obj_id, pos, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, hit, round(measure, 6) AS measure FROM r",
     "track_clamp_midpoint": f"WITH RECURSIVE {SQL['tr']}, {_speed_sql('0.5')} SELECT obj_id, pos, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, hit, round(measure, 6) AS measure FROM r",
     "track_clamp_acceleration": f"WITH RECURSIVE {SQL['tr']}, {_acc_sql('tr')} SELECT obj_id, pos, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, hit, round(measure * 1e3, 6) AS measure FROM q",
-    "physics_report": f"""WITH RECURSIVE {SQL['tr']}, {_speed_sql(f'({MAX_SPEED} * dt / gap)')}, {_acc_sql('r')}
-SELECT obj_id, n_speed, n_acceleration, 0::BIGINT AS n_jerk, n_speed + n_acceleration AS frames_corrected, CASE WHEN n < 2 THEN 'too_short' ELSE 'validated' END AS status
-FROM (SELECT obj_id, count(*) AS n, count(*) FILTER (hit) AS n_speed FROM r GROUP BY obj_id) a JOIN (SELECT obj_id, count(*) FILTER (hit) AS n_acceleration FROM q GROUP BY obj_id) b USING (obj_id)""",
+    "physics_report": f"""WITH RECURSIVE {SQL['tr']},
+lim(class, ms, ma, grav) AS (VALUES ('human', 10.0::DOUBLE, 10.0::DOUBLE, true), ('robot', 5.0, 5.0, false), ('ball', 30.0, 100.0, true), ('drone', 15.0, 10.0, false), ('vehicle', 50.0, 5.0, false), ('unknown', 20.0, 20.0, false)),
+cl AS (SELECT DISTINCT obj_id, ['Human', 'robot', 'ball', 'drone', 'vehicle', 'cloud'][obj_id % 6 + 1] AS object_class FROM tr),
+pt AS (SELECT tr.obj_id, pos, t / 1e5 AS t, x * 0.01 AS x, y * 0.01 AS y, z, ms, ma FROM tr JOIN cl USING (obj_id) JOIN lim ON lim.class = CASE WHEN lower(object_class) = 'cloud' THEN 'unknown' ELSE lower(object_class) END),
+sp AS (SELECT obj_id, pos, t, x, y, z, ma, false AS hit FROM pt WHERE pos = 0
+  UNION ALL SELECT obj_id, pos, t, CASE WHEN gap / dt > ms THEN rx + (x - rx) * ms * dt / gap ELSE x END, CASE WHEN gap / dt > ms THEN ry + (y - ry) * ms * dt / gap ELSE y END, CASE WHEN gap / dt > ms THEN rz + (z - rz) * ms * dt / gap ELSE z END, ma, gap / dt > ms
+  FROM (SELECT c.*, r.x AS rx, r.y AS ry, r.z AS rz, sqrt((c.x - r.x) ** 2 + (c.y - r.y) ** 2 + (c.z - r.z) ** 2) AS gap, CASE WHEN c.t > r.t THEN c.t - r.t ELSE 0.033::DOUBLE END AS dt FROM sp r JOIN pt c ON c.obj_id = r.obj_id AND c.pos = r.pos + 1) g),
+ac AS (SELECT obj_id, pos, t, x, y, z, NULL::DOUBLE AS t0, NULL::DOUBLE AS x0, NULL::DOUBLE AS y0, NULL::DOUBLE AS z0, false AS hit FROM sp WHERE pos = 0
+  UNION ALL SELECT obj_id, pos, t, CASE WHEN m > ma THEN px + (vx + ax * ma / m * d2) * d2 ELSE x END, CASE WHEN m > ma THEN py + (vy + ay * ma / m * d2) * d2 ELSE y END, CASE WHEN m > ma THEN pz + (vz + az * ma / m * d2) * d2 ELSE z END, pt, px, py, pz, coalesce(m > ma, false)
+  FROM (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS m FROM (SELECT *, ((x - px) / d2 - vx) / d2 AS ax, ((y - py) / d2 - vy) / d2 AS ay, ((z - pz) / d2 - vz) / d2 AS az
+    FROM (SELECT c.obj_id, c.pos, c.t, c.x, c.y, c.z, c.ma, p.t AS pt, p.x AS px, p.y AS py, p.z AS pz, CASE WHEN p.t > p.t0 AND c.t > p.t THEN c.t - p.t END AS d2, (p.x - p.x0) / CASE WHEN p.t > p.t0 THEN p.t - p.t0 END AS vx, (p.y - p.y0) / CASE WHEN p.t > p.t0 THEN p.t - p.t0 END AS vy, (p.z - p.z0) / CASE WHEN p.t > p.t0 THEN p.t - p.t0 END AS vz
+      FROM ac p JOIN sp c ON c.obj_id = p.obj_id AND c.pos = p.pos + 1) a1) a2) a3),
+tu AS (SELECT obj_id, count(*) FILTER (la > 0 AND lb > 0 AND dot / (la * lb) < -0.5) AS n FROM (SELECT obj_id, sqrt(ux * ux + uy * uy) AS la, sqrt(wx * wx + wy * wy) AS lb, ux * wx + uy * wy AS dot
+  FROM (SELECT obj_id, lag(x) {_W} - lag(x, 2) {_W} AS ux, lag(y) {_W} - lag(y, 2) {_W} AS uy, x - lag(x) {_W} AS wx, y - lag(y) {_W} AS wy FROM ac) a) b GROUP BY obj_id),
+gp AS (SELECT obj_id, z - avg(z) OVER (PARTITION BY obj_id) AS z, (t - first_value(t) {_W}) / (max(t) OVER (PARTITION BY obj_id) - min(t) OVER (PARTITION BY obj_id) + 1e-6) AS s FROM ac),
+gs AS (SELECT obj_id, count(*)::DOUBLE AS n, sum(s) AS s1, sum(s ** 2) AS s2, sum(s ** 3) AS s3, sum(s ** 4) AS s4, sum(z) AS b0, sum(z * s) AS b1, sum(z * s * s) AS b2, sum(z * z) AS tot FROM gp GROUP BY obj_id),
+gf AS (SELECT obj_id, n, CASE WHEN n < 3 THEN 1.0 WHEN det = 0 THEN 0.5 ELSE greatest(0.0, least(1.0, 1 - (tot - (d0 * b0 + d1 * b1 + d2 * b2) / det) / (tot + 1e-6))) END AS fit
+  FROM (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det, b0 * (s2 * s4 - s3 * s3) - s1 * (b1 * s4 - s3 * b2) + s2 * (b1 * s3 - s2 * b2) AS d0, n * (b1 * s4 - s3 * b2) - b0 * (s1 * s4 - s3 * s2) + s2 * (s1 * b2 - b1 * s2) AS d1, n * (s2 * b2 - b1 * s3) - s1 * (s1 * b2 - b1 * s2) + b0 * (s1 * s3 - s2 * s2) AS d2 FROM gs) d),
+v AS (SELECT cl.obj_id, object_class, gf.n AS n, (SELECT count(*) FROM sp WHERE sp.obj_id = cl.obj_id AND hit) AS n_speed, (SELECT count(*) FROM ac WHERE ac.obj_id = cl.obj_id AND hit) AS n_acceleration, CASE WHEN object_class IN ('Human', 'ball') AND fit < 0.5 THEN 1 ELSE 0 END::BIGINT AS n_gravity, tu.n AS n_turn
+  FROM cl JOIN gf ON gf.obj_id = cl.obj_id JOIN tu ON tu.obj_id = cl.obj_id)
+SELECT obj_id, object_class, n_speed, n_acceleration, 0::BIGINT AS n_jerk, n_gravity, n_turn AS n_direction_change, n_speed + n_acceleration + n_gravity + n_turn AS total_violations, n_speed + n_acceleration AS frames_corrected,
+  CASE WHEN n < 2 THEN 'too_short' WHEN n_speed + n_acceleration + n_gravity + n_turn = 0 THEN 'valid' ELSE 'invalid' END AS status FROM (SELECT v.* FROM v) q""",
 }
