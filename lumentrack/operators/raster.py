@@ -28,7 +28,7 @@ def mask_stats(pixels: DataFrame) -> DataFrame:
     aspect = F.when(F.col("area") < 2, 0.0).when(high <= 1e-6, 1.0).when(low <= 0, 0.0).otherwise(F.exp(-0.5 * F.pow(F.log(F.sqrt(high / F.when(low > 0, low))), 2)))
     return g.select(
         "mask_id", "frame", "area", (F.col("area") / F.col("size")).alias("coverage"), "cx", "cy", F.coalesce(1 / (1 + F.exp(-F.col("strength"))), F.lit(0.0)).alias("confidence"),
-        F.coalesce(clip01(F.exp(-F.col("spread") / 2)), F.lit(0.0)).alias("depth_consistency"), aspect.alias("aspect"),
+        F.when(F.col("spread").isNull(), 0.0).otherwise(clip01(F.exp(-F.col("spread") / 2))).alias("depth_consistency"), aspect.alias("aspect"),
     )
 
 
@@ -38,17 +38,6 @@ def coverage_score(c: Column) -> Column:
     return F.when((c < low) | (c > high), 0.0).when(c < a, (c - low) / (a - low)).when(c > b, 1 - (c - b) / (high - b)).otherwise(1.0)
 
 
-def mask_pairs(pixels: DataFrame) -> DataFrame:
-    """IoU of each pair of masks of a frame: bits of up to 64 pixels in one long, joined by frame."""
-    bit = F.when(F.col("logit") > 0, F.expr("shiftleft(1L, py * 8 + px)")).otherwise(F.lit(0).cast("long"))
-    m = pixels.groupBy("mask_id", "frame").agg(F.bit_or(bit).alias("bits"))
-    a, b = m.alias("a"), m.alias("b")
-    both = a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.mask_id") < F.col("b.mask_id")))
-    union = F.bit_count(F.col("a.bits").bitwiseOR(F.col("b.bits")))
-    iou = F.when(union == 0, 1.0).otherwise(F.bit_count(F.col("a.bits").bitwiseAND(F.col("b.bits"))) / F.when(union > 0, union))
-    return both.select(F.col("a.frame").alias("frame"), F.col("a.mask_id").alias("a"), F.col("b.mask_id").alias("b"), iou.alias("iou"))
-
-
 def box_iou(pixels: DataFrame, boxes: DataFrame, width: int = 8, height: int = 8) -> DataFrame:
     """Mask against box by mask_id: box cut to whole pixels toward zero and to the raster; 0 for an empty union."""
     j = pixels.join(boxes, "mask_id")
@@ -154,17 +143,3 @@ def nms(detections: DataFrame, threshold: float = 0.7) -> DataFrame:
 
     out = F.aggregate("boxes", F.array().cast(kept), lambda k, b: F.when(F.exists(k, lambda z: overlaps(z, b)), k).otherwise(F.concat(k, F.array(b))))
     return rows.select("frame", F.explode(out).alias("b")).select("frame", F.col("b.ord").alias("ord"), (-F.col("b.c")).alias("confidence"))
-
-
-def temporal_filter(masks: DataFrame, least: float = 0.5) -> DataFrame:
-    """(obj_id, pos, bits): a mask stays if its IoU with the last kept mask of its object is at least ``least``; the first stays. Rejected masks do not change the state."""
-    rows = masks.groupBy("obj_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "bits"))).alias("ms"))
-
-    def step(kept, m):
-        last = F.element_at(kept, -1)["bits"]
-        union = F.bit_count(last.bitwiseOR(m["bits"]))
-        iou = F.when(union == 0, 1.0).otherwise(F.bit_count(last.bitwiseAND(m["bits"])) / F.when(union > 0, union))
-        return F.when(iou >= least, F.concat(kept, F.array(m))).otherwise(kept)
-
-    first = F.slice("ms", 1, 1)
-    return rows.select("obj_id", F.inline(F.aggregate(F.slice("ms", 2, F.greatest(F.size("ms"), F.lit(1))), first, step)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumentrack.operators import masks as mk
 from lumentrack.operators import raster as ra
 from lumentrack.sources.adapters import SQL, detections, pixels, r6, rasters
 from lumentrack.sources.tables import table
@@ -20,10 +21,6 @@ def mask_stats(spark, d):
     return s.withColumns({c: r6(F.col(c)) for c in cols}).withColumn("coverage_score", r6(ra.coverage_score(F.col("coverage"))))
 
 
-def mask_pair_iou(spark, d):
-    return ra.mask_pairs(_pixels(spark, d)).withColumn("iou", r6(F.col("iou")))
-
-
 def mask_box_iou(spark, d):
     p = _pixels(spark, d)
     boxes = p.select("mask_id").distinct().select("mask_id", (F.col("mask_id") % 5 - 0.5).alias("bx"), (F.col("mask_id") % 3).cast("double").alias("by_"), (F.col("mask_id") % 7 + 0.9).alias("bw"), F.lit(4.2).alias("bh"))
@@ -59,10 +56,9 @@ def nms(spark, d):
 
 
 def temporal_mask_filter(spark, d):
-    bit = F.when(F.col("logit") > 0, F.expr("shiftleft(1L, py * 8 + px)")).otherwise(F.lit(0).cast("long"))
-    m = _pixels(spark, d).groupBy("mask_id", "frame").agg(F.bit_or(bit).alias("bits"))
     order = Window.partitionBy("frame").orderBy("mask_id")
-    return ra.temporal_filter(m.select(F.col("frame").alias("obj_id"), (F.row_number().over(order) - 1).alias("pos"), "bits"), 0.3).select("obj_id", "pos")
+    m = rasters(table(spark, d, "embeddings")).select(F.col("frame").alias("obj_id"), (F.row_number().over(order) - 1).alias("frame"), mk.runs(F.col("logits"), 8).alias("runs"), F.lit(True).alias("is_valid"))
+    return mk.temporal_filter(m, 0.3).select("obj_id", F.col("frame").alias("pos"))
 
 
 def retention(spark, d):
@@ -71,7 +67,7 @@ def retention(spark, d):
     return boxes.agg(F.count("*").alias("total")).crossJoin(ra.nms(boxes, 0.3).agg(F.count("*").alias("kept"))).select("total", "kept", F.round(F.col("kept") / F.greatest(F.lit(1), F.col("total")), 6).alias("ratio"))  # one row each
 
 
-QUERIES = {f.__name__: f for f in (mask_stats, mask_pair_iou, mask_box_iou, mask_depth_point, mask_shape, mask_quality, depth_confidence, nms, temporal_mask_filter, retention)}
+QUERIES = {f.__name__: f for f in (mask_stats, mask_box_iou, mask_depth_point, mask_shape, mask_quality, depth_confidence, nms, temporal_mask_filter, retention)}
 
 _ST = f"""{SQL['px']}, g AS (SELECT mask_id, any_value(frame) AS frame, count(*) FILTER (logit > 0) AS area, count(*) AS size, coalesce(avg(px) FILTER (logit > 0), 0) AS cx, coalesce(avg(py) FILTER (logit > 0), 0) AS cy, avg(abs(logit)) FILTER (logit > 0) AS strength,
   var_pop(depth) FILTER (logit > 0) AS spread, var_samp(py) FILTER (logit > 0) AS vyy, var_samp(px) FILTER (logit > 0) AS vxx, covar_samp(py, px) FILTER (logit > 0) AS vxy FROM px GROUP BY mask_id),
@@ -85,7 +81,6 @@ ORACLE_SQL = {
     "mask_stats": f"""WITH {_ST}, o AS (SELECT mask_id, frame, area, round(area / size, 6) AS coverage, round(cx, 6) AS cx, round(cy, 6) AS cy, round(coalesce(1 / (1 + exp(-strength)), 0), 6) AS confidence, round(coalesce(exp(-spread / 2), 0), 6) AS depth_consistency,
 round(CASE WHEN area < 2 THEN 0.0 WHEN hi <= 1e-6 THEN 1.0 WHEN lo <= 0 THEN 0.0 ELSE exp(-0.5 * power(ln(sqrt(hi / lo)), 2)) END, 6) AS aspect FROM e)
 SELECT *, round(CASE WHEN coverage < 0.001 OR coverage > 0.95 THEN 0.0 WHEN coverage < 0.01 THEN (coverage - 0.001) / 0.009 WHEN coverage > 0.3 THEN 1 - (coverage - 0.3) / 0.65 ELSE 1.0 END, 6) AS coverage_score FROM o""",
-    "mask_pair_iou": f"WITH {_BITS} SELECT a.frame, a.mask_id AS a, b.mask_id AS b, round(CASE WHEN bit_count(a.bits | b.bits) = 0 THEN 1.0 ELSE bit_count(a.bits & b.bits) / bit_count(a.bits | b.bits) END, 6) AS iou FROM bt a JOIN bt b ON a.frame = b.frame AND a.mask_id < b.mask_id",
     "mask_box_iou": f"""WITH {SQL['px']}, b AS (SELECT *, greatest(0, trunc(mask_id % 5 - 0.5)) AS x0, trunc(mask_id % 5 - 0.5) + mask_id % 7 AS x1, mask_id % 3 AS y0, mask_id % 3 + 4 AS y1 FROM px), c AS (SELECT mask_id, logit > 0 AS m, px >= x0 AND px < least(8, x1) AND py >= y0 AND py < least(8, y1) AS k FROM b)
 SELECT mask_id, round(CASE WHEN count(*) FILTER (m OR k) = 0 THEN 0.0 ELSE count(*) FILTER (m AND k) / count(*) FILTER (m OR k) END, 6) AS iou FROM c GROUP BY mask_id""",
     "mask_depth_point": f"""WITH {_ST}, f AS (SELECT mask_id, cx, cy, floor(cx) AS x0, floor(cy) AS y0 FROM g WHERE area > 0)

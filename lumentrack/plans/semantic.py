@@ -102,7 +102,7 @@ def cross_modal_confidence(spark, d):
     return e.select("obj_id", r6(ml.cross_modal(F.col("s"), F.col("dd"), F.when(F.col("obj_id") % 9 != 0, F.col("c")), F.col("k"))).alias("confidence"), r6(ml.overall_consistency(F.col("s"), F.col("dd") / 4, F.col("c"))).alias("consistency"))
 
 
-def fused_objects(spark, d):
+def fused_tracks(spark, d):
     """Objects of all tracks: smoothed motion, label by consensus, tracking confidence and cross-modal confidence, a row an object."""
     e = tracks(table(spark, d, "events"))
     s = tj.summary(tj.smooth(e))
@@ -115,16 +115,11 @@ def fused_objects(spark, d):
     )
 
 
-def fused_documents(spark, d):
-    """One JSON document a label: its objects in order, and the scene's roll-up."""
-    o = fused_objects(spark, d)
-    return o.groupBy("label").agg(F.count("*").alias("n_objects"), F.bool_or(F.col("motion_type") != "stationary").alias("dynamic"), F.round(F.count("*") * F.sum("n_points") / 100, 6).alias("complexity"), F.to_json(F.sort_array(F.collect_list(F.struct("object_id", "n_points", "motion_type")))).alias("objects"))
-
-
 def jobs_page(spark, d):
-    """The page of jobs after the first twenty, newest first, ten a page."""
+    """The page of jobs after the first twenty, newest first, ten a page, with the number of all jobs."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
-    return o.orderBy(F.desc("created_at"), "job_id").offset(20).limit(10).select("job_id", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"), "status")
+    page = o.orderBy(F.desc("created_at"), "job_id").offset(20).limit(10)
+    return page.crossJoin(o.agg(F.count("*").alias("total"))).select("job_id", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"), "status", "total")  # one row of totals
 
 
 def job_states(spark, d):
@@ -142,7 +137,7 @@ def rate_limit(spark, d):
     return accepted(table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")), 108000.0, 3)
 
 
-QUERIES = {f.__name__: f for f in (uniform_sample, motion_scores, motion_segments, adaptive_frames, scene_changes, extracted_frames, sampling_metadata, prompt_grid, label_match, label_consensus, label_refine, text_confidence, semantic_parse, json_objects, cross_modal_confidence, fused_objects, fused_documents, jobs_page, job_states, rate_limit)}
+QUERIES = {f.__name__: f for f in (uniform_sample, motion_scores, motion_segments, adaptive_frames, scene_changes, extracted_frames, sampling_metadata, prompt_grid, label_match, label_consensus, label_refine, text_confidence, semantic_parse, json_objects, cross_modal_confidence, fused_tracks, jobs_page, job_states, rate_limit)}
 
 _SC = f"{SQL['tr']}, sc AS (SELECT obj_id AS video, pos AS frame, x / 5 AS score FROM tr), tt AS (SELECT video, max(frame) + 1 AS total FROM sc GROUP BY video)"
 _CLS = "CASE WHEN score < 1 THEN 'static' WHEN score < 5 THEN 'low' WHEN score < 15 THEN 'medium' ELSE 'high' END"
@@ -187,11 +182,11 @@ SELECT o.obj_id, coalesce(m.label, 'object_' || o.obj_id) AS label, round(coales
     "json_objects": """SELECT event_id AS id, 0::INTEGER AS ord, event_type AS label, '[' || event_id || ']' AS bbox, 1.0::DOUBLE AS confidence FROM events UNION ALL SELECT event_id, 2, 'unknown', NULL, 0.5 FROM events""",
     "cross_modal_confidence": f"""WITH {SQL['tr']}, g AS (SELECT obj_id, avg(y / 100) AS s, avg(z / 24) AS d, max(y / 100) AS c, min(z / 24) AS k FROM tr GROUP BY obj_id)
 SELECT obj_id, round(CASE WHEN s <> 0 AND obj_id % 9 <> 0 AND c <> 0 THEN least(1.0, power(s, 0.4) * power(d, 0.3) * power(c, 0.3) * (0.5 + 0.5 * k)) ELSE 0.7 END, 6) AS confidence, round(greatest(0.0, least(1.0, 0.4 * s + 0.3 * (1 - least(1.0, d / 4 / 0.2)) + 0.3 * c)), 6) AS consistency FROM g""",
-    "jobs_page": "SELECT o_orderkey AS job_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderstatus AS status FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 20",
+    "jobs_page": "SELECT o_orderkey AS job_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderstatus AS status, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 20",
     "job_states": """WITH e AS (SELECT *, coalesce(max((event_type = 'purchase')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM events)
 SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events FROM e WHERE ended = 0 GROUP BY user_id""",
     "rate_limit": """WITH RECURSIVE o AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT key, id, n, [sec] AS kept, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT o.key, o.id, o.n, CASE WHEN len(k.kept) < 3 THEN list_append(k.kept, o.sec) ELSE k.kept END, len(k.kept) < 3 FROM r JOIN o ON o.key = r.key AND o.n = r.n + 1, LATERAL (SELECT list_filter(r.kept, lambda t: t > o.sec - 108000) AS kept) k)
 SELECT key, id, accepted FROM r""",
-    "fused_objects": _FUSED,
+    "fused_tracks": _FUSED,
 }

@@ -104,7 +104,14 @@ def _sg(c):
     return f"CASE WHEN n < 5 THEN {c} WHEN pos = 0 THEN {fit((31, 9, -3, -5, 3), 0)} WHEN pos = 1 THEN {fit((9, 13, 12, 6, -5), -1)} WHEN pos = n - 2 THEN {fit((-5, 6, 12, 13, 9), -3)} WHEN pos = n - 1 THEN {fit((3, -5, -3, 9, 31), -4)} ELSE {fit((-3, 12, 17, 12, -3), -2)} END AS {c}"
 
 
-_SM = f"{SQL['tr']}, cn AS (SELECT *, count(*) OVER (PARTITION BY obj_id) AS n FROM tr), sg AS (SELECT obj_id, pos, t, n, {', '.join(_sg(c) for c in 'xyz')} FROM cn), sm AS (SELECT *, " + ", ".join(f"CASE WHEN n >= 5 THEN CASE WHEN t - lag(t) {_W} > 0 THEN ({c} - lag({c}) {_W}) / (t - lag(t) {_W}) ELSE 0.0 END END AS v{c}" for c in "xyz") + " FROM sg)"
+def smooth_sql(source: str, *more: str) -> str:
+    """CTEs up to sm: ``source`` (obj_id, pos, t, x, y, z and ``more``) smoothed, with velocities."""
+    keep = "".join(f", {c}" for c in more)
+    speeds = ", ".join(f"CASE WHEN n >= 5 THEN CASE WHEN t - lag(t) {_W} > 0 THEN ({c} - lag({c}) {_W}) / (t - lag(t) {_W}) ELSE 0.0 END END AS v{c}" for c in "xyz")
+    return f"cn AS (SELECT *, count(*) OVER (PARTITION BY obj_id) AS n FROM {source}), sg AS (SELECT obj_id, pos, t, n{keep}, {', '.join(_sg(c) for c in 'xyz')} FROM cn), sm AS (SELECT *, {speeds} FROM sg)"
+
+
+_SM = f"{SQL['tr']}, {smooth_sql('tr')}"
 _STEP = "sqrt(power(x - lag(x) {w}, 2) + power(y - lag(y) {w}, 2) + power(z - lag(z) {w}, 2))".format(w=_W)
 #: Unrounded rows of track_summary, as su.
 SUMMARY_CTE = f"""{_SM}, st AS (SELECT *, {_STEP} AS step, sqrt(power(coalesce(vx, 0), 2) + power(coalesce(vy, 0), 2) + power(coalesce(vz, 0), 2)) AS speed FROM sm),

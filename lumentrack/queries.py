@@ -1,7 +1,8 @@
 """Registry of the engine's queries and their SQL twins."""
 
-from lumentrack.plans import raster, semantic, service, streams, trajectory
+from lumentrack.plans import fusion, raster, semantic, service, streams, trajectory
 
-QUERIES: dict = {**trajectory.QUERIES, **raster.QUERIES, **semantic.QUERIES, **service.QUERIES, **streams.QUERIES}
-ORACLE_SQL: dict[str, str] = {**trajectory.ORACLE_SQL, **raster.ORACLE_SQL, **semantic.ORACLE_SQL, **service.ORACLE_SQL, **streams.ORACLE_SQL}
+_PLANS = (trajectory, raster, semantic, fusion, service, streams)
+QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
 FLAGSHIP = "fused_objects"
