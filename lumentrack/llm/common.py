@@ -72,6 +72,13 @@ def spread_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner"
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, most: int = 1_000_000) -> DataFrame:
+    """``docs`` joined (left_semi or left_anti) to the distinct, stored ``ids`` (doc_id); up to ``most`` of them (8 bytes each) are broadcast, so that no text moves."""
+    few = ids.count() <= most
+    ids = ids.select(F.col("doc_id").alias("_id"))
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == F.col("_id"), how)
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, materialise
+from .common import by_ids, held, materialise
 
 #: Sketch rows (a hash, ids and a count, under 50 bytes each), and ids of documents with hits, are broadcast up to this number; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -106,7 +106,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingl
     item. Null and empty texts stay; an empty table on either side changes nothing.
     """
     leaked = materialise(contained(docs, items, threshold, shingle).select("doc_id").where("doc_id IS NOT NULL").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    return by_ids(docs, leaked, "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

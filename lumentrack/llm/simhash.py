@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spread_join
+from .common import by_ids, materialise, spread_join
 from .components import components
 from .neardup import classes, with_sigs
 
@@ -127,8 +127,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     every, of = classes(docs, shingle, similarity)
     ids = spread_join(every.where("doc_id IS NOT NULL"), of, "sig").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("keep"))
     ids = materialise(ids.where("n > 1 OR NOT keep"), "losers")
-    single = docs.where("doc_id IS NOT NULL").join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    several = docs.where("doc_id IS NOT NULL").join(ids.where("n > 1 AND keep").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    known = docs.where("doc_id IS NOT NULL")
+    single = by_ids(known, ids, "left_anti").select(*docs.columns)
+    several = by_ids(known, ids.where("n > 1 AND keep"), "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
     rows = spread_join(with_sigs(several.select(*docs.columns), shingle), of, "sig").where("doc_id <=> component_id")
     first = rows.groupBy("root").agg(F.min_by("_row", F.struct("_row.text", F.xxhash64("_row"))).alias("_row"))
     return single.unionByName(first.select("_row.*").select(*docs.columns))
