@@ -54,6 +54,8 @@ NEAR, ROUNDS, DAMP = 12, 60, 0.3
 WHOLE = 10
 #: Bound of the chain's log potentials: as candidates may be misses of the patterns, neighbours sway a label and don't decide it.
 CHAIN = 1.0
+#: Rows that are masked at a time, so that a worker holds few masked texts.
+PART_ROWS = 256
 
 
 def _luhn(digits: str) -> bool:
@@ -408,10 +410,12 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [(t := v.as_py()) and mask(t, field.spans(t)[1]) for v in batch.column(at)]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            for start in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(start, PART_ROWS)
+                texts = [(t := v.as_py()) and mask(t, field.spans(t)[1]) for v in part.column(at)]
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
