@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpedfa, bytebpe, chat, decontam, langid, pii, quality, rules, simhash, tokenstore, warc
+from . import bpedfa, bytebpe, chat, decontam, langid, merkle, pii, quality, rules, simhash, tokenstore, warc, whitening
 from .common import table
 
 
@@ -50,5 +50,13 @@ def op11_bpe_automaton(spark, sf_dir):
     return bpedfa.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op5_token_ids": op5_token_ids, "op6_language_id": op6_language_id, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_warc": op10_warc, "op11_bpe_automaton": op11_bpe_automaton}
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.check_tampering(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_decontamination": op4_decontamination, "op5_token_ids": op5_token_ids, "op6_language_id": op6_language_id, "op7_byte_bpe": op7_byte_bpe, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_warc": op10_warc, "op11_bpe_automaton": op11_bpe_automaton, "op12_merkle_manifest": op12_merkle_manifest, "op13_whitening": op13_whitening}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
