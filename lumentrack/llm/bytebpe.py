@@ -72,15 +72,19 @@ class TreeCodec:
         while stable is None:
             end = min(hi, mid + width)
             sure = end if end == hi else end - LOOK  # pieces that end later may depend on what the window leaves out
-            own = {mid, *(m.end() for m in self.pieces.finditer(text, mid, end))}
-            joint = (m.end() for m in self.pieces.finditer(text, begin, end))
-            stable = next((p for p in joint if mid <= p <= sure and p in own), None)
+            own = [m.span() for m in self.pieces.finditer(text, mid, end)]
+            joint = [m.span() for m in self.pieces.finditer(text, begin, end)]
+            ends = {mid, *(e for _, e in own)}
+            stable = next((e for _, e in joint if mid <= e <= sure and e in ends), None)
             width *= 2
-        old_left = len(self.bpe.encode_ordinary(text[begin:mid]))
-        old_right = len(self.bpe.encode_ordinary(text[mid:stable]))
-        ids = left[0][: len(left[0]) - old_left] + self.bpe.encode_ordinary(text[begin:stable]) + right[0][old_right:]
+        old = [m.span() for m in self.pieces.finditer(text, begin, mid)]
+        ids = left[0][: len(left[0]) - len(self._each(text, old, mid))] + self._each(text, joint, stable) + right[0][len(self._each(text, own, stable)) :]
         return ids, right[1] if stable <= right[1] <= hi - LOOK else self._tail(text, begin, hi)
 
+    def _each(self, text: str, spans: list[tuple[int, int]], end: int) -> list[int]:
+        """Ids of the pieces up to ``end``, each by itself: a slice that was split anew would lose what follows it."""
+        return [i for lo, hi in spans if hi <= end for i in self.bpe._encode_single_piece(text[lo:hi])]
+
     def decode(self, ids: list[int], leaf: int = LEAF_IDS) -> bytes:
         """Bytes of the ids, halves concatenated."""
         if len(ids) <= leaf:
@@ -134,7 +138,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
 
 def encode_checked(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row; each text is decoded again and must come back byte for byte."""
+    """(doc_id, n_tokens, ids) of every row; each text is decoded again and must come back byte for byte, or it is an error.
+
+    Null and empty texts have no ids; repeated rows and equal texts are encoded alike, texts of any length whole; an empty table gives no
+    rows; other columns are not read, whatever their names.
+    """
     path, pattern = _paths(path, pattern)
 
     def run(batches):
@@ -161,6 +169,8 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the bytes decoded from the ids).
 
+    Null and empty texts have no ids and decode to no bytes. Repeated rows and equal texts give equal digests, texts of any
+    length are encoded whole; an empty table gives no rows; other columns are not read, whatever their names.
     Encodes and decodes in one pass, so that ids of long texts need not be moved.
     """
     path, pattern = _paths(path, pattern)
