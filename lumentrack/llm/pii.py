@@ -5,7 +5,8 @@ field's nodes are the base matches, clamped to their kind, and the candidates th
 overlaps: numbers of seven digits or more, also with their digits apart or next to others that a pattern took
 for one number; words with an ``@``; addresses spelled with "at" and "dot". Its potentials:
 
-- node: the mention's shape (size, marks, checksum);
+- node: the mention's shape (the lengths of a number's groups, marks, checksum; an address's signs). A shape that was never
+  seen with personal data stays none;
 - chain: neighbours in the text with at most a few characters between them;
 - skip: nodes of the same key wherever they are in the document. Keys are a node's letters and
   digits, its digits, and halves of long digit strings, so that a repeated mention with other
@@ -16,7 +17,8 @@ for one number; words with an ``@``; addresses spelled with "at" and "dot". Its
 
 The potentials are fitted by pseudo-likelihood: each base match must be found again from its shape
 and its neighbours' labels, as it is and with a part hidden (the plus sign, a digit, the signs of an address
-or between digits). Candidates count as no personal data, but for those that share a key with a
+or between digits). A form that is then like any number or sentence (digits without brackets, a plain "at") counts as no personal data
+unless the mention itself is near to tell it. Candidates count as no personal data, but for those that share a key with a
 base match, whose label isn't known. One pass over all documents counts the cases, a table that is small whatever
 the corpus; the fit runs on the table.
 
@@ -47,6 +49,7 @@ _NUMBER = re.compile(r"[+(]?[0-9](?:[\x20().+-]{0,3}[0-9])*+")
 _PART = re.compile(r"[^\x20]*[0-9][^\x20]*")
 _AT_WORD = re.compile(r"(?<![^\s@])[^\s@]*+@[^\s@]*+")
 _SPELLED = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[(\[]?(?:at|@)[)\]]?\x20?[a-z0-9-]++(?:(?:\x20?[(\[]dot[)\]]\x20?|\x20dot\x20|\.)[a-z0-9-]++)+")
+_BRACKETED, _DOT, _GROUP = re.compile(r"(?i)[(\[](?:at|@)[)\]]"), re.compile(r"(?i)[\x20(\[]dot[\x20)\]]"), re.compile("[0-9]+")
 _SPELLING = re.compile(r"(?i)[\x20(\[](?:at|dot)[\x20)\]]")
 #: Characters between neighbours in the chain; rounds and damping of the messages.
 NEAR, ROUNDS, DAMP = 12, 60, 0.3
@@ -145,12 +148,21 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
 
 
 def _shape(mention: str) -> str:
-    digits = _digits(mention)
-    n = len(digits)
-    size = next(s for s, most in (("0", 0), ("s", 6), ("7", 9), ("p", 13), ("c", 19), ("l", 1 << 60)) if n <= most)
-    marks = ("@" if "@" in mention else "") + ("+" if mention.startswith("+") else "") + ("(" if "(" in mention else "") + ("." if mention.count(".") >= 3 else "")
-    spread = "~" if n >= 7 and sum(c in " -" for c in mention) >= n - 1 else ""
-    return size + marks + spread + ("!" if 14 <= n <= 19 and _luhn(digits) else "") + ("w" if any(c.isalpha() for c in mention) else "") + ("s" if _SPELLING.search(mention) else "")
+    """What a mention looks like: an address by its signs, a number by the lengths of its groups of digits, marks and checksum."""
+    if "@" in mention or _SPELLING.search(mention):
+        return "a" + ("@" if "@" in mention else "") + ("*" if _BRACKETED.search(mention) or _DOT.search(mention) else "")
+    groups = _GROUP.findall(mention)
+    n = sum(map(len, groups))
+    marks = ("+" if mention.startswith("+") else "") + ("(" if "(" in mention else "") + ("!" if 14 <= n <= 19 and _luhn("".join(groups)) else "")
+    if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups):
+        return "q" + ("." if mention.count(".") == 3 else "") + marks
+    return ("~" if n >= 7 and len(groups) == n else "-".join(str(len(g)) for g in groups) if n <= 19 else "long") + marks
+
+
+def _telling(form: str) -> bool:
+    """Whether a form with a part hidden can be told by itself: a number in groups with a bracket, a spelled address with its "at" in brackets or its dots spelled."""
+    shape = _shape(form)
+    return ("(" in shape or "*" in shape) and shape[0] not in "q~"
 
 
 def _keys(mention: str) -> list[str]:
@@ -246,7 +258,7 @@ def examples(text: str) -> Counter:
             twin = max(LABELS, key=lambda x: twins[x]) if twins and max(twins.values()) > 0 else "-"
             found[shapes[k], before[k], after[k], twin, label] += WHOLE
             for form in hidden(label, text[lo:hi]):
-                found[_shape(form), before[k], after[k], twin, label] += 1
+                found[_shape(form), before[k], after[k], twin, label if twin != "-" or _telling(form) else "none"] += 1
                 found[_shape(form), before[k], after[k], label, label] += WHOLE  # beside the mention itself, not hidden
         elif seen[k] == "none":
             found[shapes[k], before[k], after[k], "-", "none"] += WHOLE
@@ -403,7 +415,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``docs`` with ``text`` masked and, where there is such a column, ``n_chars`` counted anew.
 
     All rows and columns stay, repeated rows alike; null texts stay null, empty ones empty; texts
-    of any length are masked whole; an empty table gives no rows.
+    of any length are masked whole; an empty table gives no rows. Ties are as for ``find``; other columns stay as they are, whatever their names.
     """
     field = field or fit(docs)
     at = docs.columns.index("text")
