@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrack.operators import masks as mk
+from lumentrack.operators import shapes
+
 #: Thresholds of mask quality (fixed values).
 COVERAGE, GOOD_COVERAGE, WEIGHTS = (0.001, 0.95), (0.01, 0.30), (0.15, 0.30, 0.20, 0.20, 0.15)
 
@@ -60,57 +63,30 @@ def bilinear(depths: Column, x: Column, y: Column, width: int = 8, height: int =
 
 
 def _trace(mask: np.ndarray) -> tuple[float, int]:
-    """(perimeter of the outer border of the component with the largest border area, number of 8-connected components)."""
-    h, w = mask.shape
-    label, n, best = np.zeros((h, w), dtype=int), 0, (-1.0, 0.0)
-    ring = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
-    inside = lambda p: 0 <= p[0] < h and 0 <= p[1] < w and mask[p]
-    for start in map(tuple, np.argwhere(mask)):
-        if label[start]:
-            continue
-        n += 1
-        stack = [start]
-        label[start] = n
-        while stack:
-            p = stack.pop()
-            for d in ring:
-                q = (p[0] + d[0], p[1] + d[1])
-                if inside(q) and not label[q]:
-                    label[q] = n
-                    stack.append(q)
-        path, p, back, first = [start], start, 4, None  # the first pixel in row order is entered from its left
-        while True:
-            step = next((k % 8 for k in range(back + 1, back + 9) if inside((p[0] + ring[k % 8][0], p[1] + ring[k % 8][1]))), None)
-            if step is None or (p, step) == first:
-                break
-            first = first or (p, step)
-            p = (p[0] + ring[step][0], p[1] + ring[step][1])
-            path.append(p)
-            back = (step + 4) % 8
-        ys, xs = np.array([a for a, _ in path], float), np.array([b for _, b in path], float)
-        length = float(np.hypot(np.diff(ys), np.diff(xs)).sum())
-        area = abs(float((xs[:-1] * ys[1:] - xs[1:] * ys[:-1]).sum())) / 2
-        best = max(best, (area, length))
-    return (best[1] if n else 0.0), n
+    """(perimeter of the outer border that encloses most, number of 8-connected components) of one raster."""
+    y, x = np.nonzero(mask)
+    found = shapes.measure(np.array([mask.shape[0]]), np.array([mask.shape[1]]), np.zeros(len(y), int), y, x, x + 1)
+    return float(found["perimeter"][0]), int(found["n_components"][0])
+
+
+def as_runs(rasters: DataFrame, width: int = 8) -> DataFrame:
+    """Rasters of logits (mask_id, ..., logits) as masks (..., height, width, runs)."""
+    return rasters.withColumns({"height": F.floor(F.size("logits") / width).cast("int"), "width": F.lit(width), "runs": mk.runs(F.col("logits"), width)})
 
 
 def mask_shape(rasters: DataFrame, width: int = 8) -> DataFrame:
     """mask_id, perimeter, compactness, n_components, fragmentation, edge of each raster of logits; empty masks: 0, 0, 0, 1, 0."""
+    names = ["mask_id", "perimeter", "compactness", "n_components", "fragmentation", "edge"]
+    return shapes.mask_shape(as_runs(rasters.select("mask_id", "logits"), width).drop("logits")).select(*names)
+
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for mask_id, logits in zip(pdf["mask_id"], pdf["logits"], strict=True):
-                mask = np.asarray(logits, dtype=float).reshape(-1, width) > 0
-                length, n = _trace(mask)
-                area = int(mask.sum())
-                padded = np.pad(mask.astype(int), 1, mode="reflect")
-                down = padded[2:, :-2] + 2 * padded[2:, 1:-1] + padded[2:, 2:] - padded[:-2, :-2] - 2 * padded[:-2, 1:-1] - padded[:-2, 2:]
-                across = padded[:-2, 2:] + 2 * padded[1:-1, 2:] + padded[2:, 2:] - padded[:-2, :-2] - 2 * padded[1:-1, :-2] - padded[2:, :-2]
-                rows.append((mask_id, length, min(1.0, 4 * np.pi * area / length**2) if length else 0.0, n, 0.0 if n > 5 else 1.0 / max(1, n), float(bool(down.any() or across.any()))))
-            yield pd.DataFrame(rows, columns=["mask_id", "perimeter", "compactness", "n_components", "fragmentation", "edge"])
-
-    return rasters.select("mask_id", "logits").mapInPandas(run, "mask_id long, perimeter double, compactness double, n_components int, fragmentation double, edge double")
+def mask_quality(masks: DataFrame) -> DataFrame:
+    """Masks (height, width, runs, ...) with coverage, their shape, aspect, overall score and is_valid, the five-threshold verdict. Rows stay where they are."""
+    s = shapes.mask_shape(masks).withColumn("coverage", mk.area(F.col("runs")) / (F.col("height") * F.col("width"))).withColumn("aspect", shapes.aspect(F.col("runs")))
+    parts = [coverage_score(F.col("coverage")), F.col("compactness"), F.col("edge"), F.col("fragmentation"), F.col("aspect")]
+    s = s.withColumn("overall", sum(w * p for w, p in zip(WEIGHTS, parts, strict=True)))
+    valid = F.col("coverage").between(*COVERAGE) & (F.col("compactness") >= 0.1) & (F.col("edge") >= 0.2) & (F.col("n_components") <= shapes.MAX_FRAGMENTS) & (F.col("overall") >= 0.4) & ~F.isnan("overall")
+    return s.withColumn("is_valid", valid)
 
 
 def depth_frames(pixels: DataFrame) -> DataFrame:

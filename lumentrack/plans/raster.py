@@ -34,17 +34,14 @@ def mask_depth_point(spark, d):
 
 
 def mask_shape(spark, d):
-    return ra.mask_shape(rasters(table(spark, d, "embeddings")))
+    s = ra.mask_shape(rasters(table(spark, d, "embeddings")))
+    return s.withColumns({c: r6(F.col(c)) for c in ("perimeter", "compactness", "fragmentation")})
 
 
 def mask_quality(spark, d):
-    """All scores of a mask and the five-threshold verdict."""
-    r = rasters(table(spark, d, "embeddings"))
-    s = ra.mask_stats(pixels(r)).join(ra.mask_shape(r), "mask_id")
-    parts = [ra.coverage_score(F.col("coverage")), F.col("compactness"), F.col("edge"), F.col("fragmentation"), F.col("aspect")]
-    s = s.withColumn("overall", sum(w * p for w, p in zip(ra.WEIGHTS, parts, strict=True)))
-    valid = F.col("coverage").between(*ra.COVERAGE) & (F.col("compactness") >= 0.1) & (F.col("edge") >= 0.2) & (F.col("n_components") <= 5) & (F.col("overall") >= 0.4) & ~F.isnan("overall")
-    return s.select("mask_id", "frame", "coverage", "compactness", "edge", "fragmentation", "aspect", "overall", valid.alias("is_valid"))
+    """All scores of a mask and the five-threshold verdict, in one pass over the masks' runs."""
+    s = ra.mask_quality(ra.as_runs(rasters(table(spark, d, "embeddings"))).drop("logits"))
+    return s.select("mask_id", "frame", *[r6(F.col(c)).alias(c) for c in ("coverage", "compactness", "edge", "fragmentation", "aspect", "overall")], "is_valid")
 
 
 def depth_confidence(spark, d):
@@ -77,10 +74,33 @@ n1 AS (SELECT frame, unnest(list_reduce(list_transform(bs, lambda b: [b]), lambd
   > 0.3 * (z.w * z.h + b[1].w * b[1].h - greatest(0.0, least(z.x + z.w, b[1].x + b[1].w) - greatest(z.x, b[1].x)) * greatest(0.0, least(z.y + z.h, b[1].y + b[1].h) - greatest(z.y, b[1].y))))) > 0 THEN k ELSE list_concat(k, b) END)) AS b FROM n0)"""
 _BITS = f"{SQL['px']}, bt AS (SELECT mask_id, any_value(frame) AS frame, string_agg(CASE WHEN logit > 0 THEN '1' ELSE '0' END, '' ORDER BY py, px)::BIT AS bits FROM px GROUP BY mask_id)"
 
+# The outside is flooded from a corner of the frame with a rim, over sides; components grow over sides and diagonals. Moves of the border are
+# listed as in a walk with the outside at the left hand: along rows, along columns, and past an outside pixel between two inside.
+_SHAPE = f"""{_ST}, rim AS (SELECT x - 1 AS x, y - 1 AS y FROM range(10) a(x), range(10) b(y)),
+fg AS (SELECT mask_id, px AS x, py AS y FROM px WHERE logit > 0), ids AS (SELECT DISTINCT mask_id FROM px),
+bg AS (SELECT mask_id, x, y FROM ids, rim EXCEPT SELECT * FROM fg),
+ou AS (SELECT mask_id, -1 AS x, -1 AS y FROM ids UNION SELECT b.* FROM ou o JOIN bg b ON b.mask_id = o.mask_id AND abs(b.x - o.x) + abs(b.y - o.y) = 1),
+gr AS (SELECT mask_id, y * 8 + x AS root, x, y FROM fg UNION SELECT f.mask_id, g.root, f.x, f.y FROM gr g JOIN fg f ON f.mask_id = g.mask_id AND abs(f.x - g.x) <= 1 AND abs(f.y - g.y) <= 1),
+co AS (SELECT mask_id, x, y, min(root) AS c FROM gr GROUP BY ALL),
+dr(sx, sy, ox, oy, tx, ty) AS (SELECT 0, 0, 0, -1, 1, 0 UNION ALL SELECT 0, 0, 0, 1, -1, 0 UNION ALL SELECT 0, 0, -1, 0, 0, -1 UNION ALL SELECT 0, 0, 1, 0, 0, 1
+  UNION ALL SELECT 0, 0, 1, 0, 1, 1 UNION ALL SELECT 0, 0, 0, -1, 1, -1 UNION ALL SELECT 0, 0, -1, 0, -1, -1 UNION ALL SELECT 0, 0, 0, 1, -1, 1),
+mv AS (SELECT p.mask_id, p.c, sqrt(dr.tx * dr.tx + dr.ty * dr.ty) AS len, p.x * (p.y + dr.ty) - (p.x + dr.tx) * p.y AS turn FROM co p, dr JOIN co q ON q.mask_id = p.mask_id AND q.x = p.x + dr.tx AND q.y = p.y + dr.ty
+  JOIN ou o ON o.mask_id = p.mask_id AND o.x = p.x + dr.ox AND o.y = p.y + dr.oy LEFT JOIN ou o2 ON o2.mask_id = p.mask_id AND o2.x = p.x + dr.ox + dr.tx AND o2.y = p.y + dr.oy + dr.ty WHERE dr.tx * dr.ty <> 0 OR o2.mask_id IS NOT NULL),
+bo AS (SELECT mask_id, c, sum(len) AS len, abs(sum(turn)) / 2 AS enclosed FROM mv GROUP BY ALL),
+pe AS (SELECT mask_id, arg_max(len, (enclosed, len)) AS perimeter FROM bo GROUP BY mask_id),
+so AS (SELECT i.mask_id, max(CASE WHEN gx <> 0 OR gy <> 0 THEN 1.0 ELSE 0.0 END) AS edge FROM (SELECT a.mask_id, a.px, a.py, sum(CASE WHEN m.logit > 0 THEN w.dx * w.wy ELSE 0 END) AS gx, sum(CASE WHEN m.logit > 0 THEN w.dy * w.wx ELSE 0 END) AS gy
+  FROM px a, (SELECT dx, dy, 2 - abs(dx) AS wx, 2 - abs(dy) AS wy FROM (VALUES (-1), (0), (1)) u(dx), (VALUES (-1), (0), (1)) v(dy)) w JOIN px m ON m.mask_id = a.mask_id AND m.px = 7 - abs(7 - abs(a.px + w.dx)) AND m.py = 7 - abs(7 - abs(a.py + w.dy)) GROUP BY a.mask_id, a.px, a.py) i GROUP BY i.mask_id),
+sh AS (SELECT i.mask_id, coalesce(perimeter, 0.0) AS perimeter, CASE WHEN perimeter > 0 THEN least(1.0, 4 * pi() * area / perimeter ** 2) ELSE 0.0 END AS compactness, coalesce(k, 0) AS n_components, CASE WHEN k > 5 THEN 0.0 ELSE 1.0 / greatest(1, coalesce(k, 0)) END AS fragmentation, edge
+  FROM ids i JOIN e USING (mask_id) JOIN so USING (mask_id) LEFT JOIN pe USING (mask_id) LEFT JOIN (SELECT mask_id, count(DISTINCT c) AS k FROM co GROUP BY mask_id) n USING (mask_id))"""
+
 ORACLE_SQL = {
     "mask_stats": f"""WITH {_ST}, o AS (SELECT mask_id, frame, area, round(area / size, 6) AS coverage, round(cx, 6) AS cx, round(cy, 6) AS cy, round(coalesce(1 / (1 + exp(-strength)), 0), 6) AS confidence, round(coalesce(exp(-spread / 2), 0), 6) AS depth_consistency,
 round(CASE WHEN area < 2 THEN 0.0 WHEN hi <= 1e-6 THEN 1.0 WHEN lo <= 0 THEN 0.0 ELSE exp(-0.5 * power(ln(sqrt(hi / lo)), 2)) END, 6) AS aspect FROM e)
 SELECT *, round(CASE WHEN coverage < 0.001 OR coverage > 0.95 THEN 0.0 WHEN coverage < 0.01 THEN (coverage - 0.001) / 0.009 WHEN coverage > 0.3 THEN 1 - (coverage - 0.3) / 0.65 ELSE 1.0 END, 6) AS coverage_score FROM o""",
+    "mask_shape": f"WITH RECURSIVE {_SHAPE} SELECT mask_id, round(perimeter, 6) AS perimeter, round(compactness, 6) AS compactness, n_components::INTEGER AS n_components, round(fragmentation, 6) AS fragmentation, edge::DOUBLE AS edge FROM sh",
+    "mask_quality": f"""WITH RECURSIVE {_SHAPE}, q AS (SELECT mask_id, frame, area / size AS coverage, compactness, edge::DOUBLE AS edge, fragmentation, n_components, CASE WHEN area < 2 THEN 0.0 WHEN hi <= 1e-6 THEN 1.0 WHEN lo <= 1e-12 * hi THEN 0.0 ELSE exp(-0.5 * power(ln(sqrt(hi / lo)), 2)) END AS aspect FROM e JOIN sh USING (mask_id)),
+w AS (SELECT *, 0.15 * CASE WHEN coverage < 0.001 OR coverage > 0.95 THEN 0.0 WHEN coverage < 0.01 THEN (coverage - 0.001) / 0.009 WHEN coverage > 0.3 THEN 1 - (coverage - 0.3) / 0.65 ELSE 1.0 END + 0.3 * compactness + 0.2 * edge + 0.2 * fragmentation + 0.15 * aspect AS overall FROM q)
+SELECT mask_id, frame, round(coverage, 6) AS coverage, round(compactness, 6) AS compactness, edge, round(fragmentation, 6) AS fragmentation, round(aspect, 6) AS aspect, round(overall, 6) AS overall, coverage BETWEEN 0.001 AND 0.95 AND compactness >= 0.1 AND edge >= 0.2 AND n_components <= 5 AND overall >= 0.4 AS is_valid FROM w""",
     "mask_box_iou": f"""WITH {SQL['px']}, b AS (SELECT *, greatest(0, trunc(mask_id % 5 - 0.5)) AS x0, trunc(mask_id % 5 - 0.5) + mask_id % 7 AS x1, mask_id % 3 AS y0, mask_id % 3 + 4 AS y1 FROM px), c AS (SELECT mask_id, logit > 0 AS m, px >= x0 AND px < least(8, x1) AND py >= y0 AND py < least(8, y1) AS k FROM b)
 SELECT mask_id, round(CASE WHEN count(*) FILTER (m OR k) = 0 THEN 0.0 ELSE count(*) FILTER (m AND k) / count(*) FILTER (m OR k) END, 6) AS iou FROM c GROUP BY mask_id""",
     "mask_depth_point": f"""WITH {_ST}, f AS (SELECT mask_id, cx, cy, floor(cx) AS x0, floor(cy) AS y0 FROM g WHERE area > 0)
