@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,21 +88,75 @@ def mask_quality(masks: DataFrame) -> DataFrame:
     return s.withColumn("is_valid", valid)
 
 
-def depth_frames(pixels: DataFrame) -> DataFrame:
-    """Per depth map: valid ratio before clipping, mean uncertainty (5 x 5 variance with repeated edges plus half the gradient, over its largest; invalid pixels 1), confidence."""
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often a lambda within refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def run(key, pdf):
-        raw = pdf.sort_values(["py", "px"])["raw"].to_numpy().reshape(-1, 8)
-        valid = (raw >= 0.1) & (raw <= 100)
-        depth = np.clip(raw, 0.1, 100)
-        win = np.lib.stride_tricks.sliding_window_view(np.pad(depth, 2, mode="symmetric"), (5, 5))
-        gy, gx = np.gradient(depth)
-        unc = win.var(axis=(2, 3)) + 0.5 * np.hypot(gx, gy)
-        unc = np.where(valid, unc / unc.max() if unc.max() > 0 else unc, 1.0)
-        conf = 0.0 if not valid.any() else 0.5 * (1 - unc[valid].mean()) + 0.3 * valid.mean() + 0.2 * (1 - min(1.0, depth[valid].std() / 50))
-        return pd.DataFrame([(key[0], valid.mean(), unc.mean(), conf)], columns=["mask_id", "valid_ratio", "mean_uncertainty", "confidence"])
 
-    return pixels.select("mask_id", "px", "py", (5 + 10 * F.col("logit")).alias("raw")).groupBy("mask_id").applyInPandas(run, "mask_id long, valid_ratio double, mean_uncertainty double, confidence double")
+def _mirrored(i: Column, n: Column) -> Column:
+    """An index with the border's pixels repeated outwards."""
+    k = F.pmod(i, 2 * n)
+    return F.when(k < n, k).otherwise(2 * n - 1 - k)
+
+
+def _uncertainty(depth: Column, height: Column, width: Column) -> Column:
+    """Variance over 5 x 5 pixels plus half the gradient, pixel by pixel: sums of five along rows, then of five of those along columns, of depths and of their squares."""
+    places = F.sequence(F.lit(0), F.size(depth) - 1)
+    near = range(-2, 3)
+    row, x = lambda i: i - i % width, lambda i: i % width
+
+    def along_rows(i):
+        values = [F.get(depth, row(i) + _mirrored(x(i) + k, width)) for k in near]
+        return F.struct(sum(values[1:], values[0]).alias("s"), sum((v * v for v in values[1:]), values[0] * values[0]).alias("q"))
+
+    def slope(i, at, last, step):
+        """Central difference, one-sided at the border; 0 along a side of one pixel."""
+        low, high = F.when(at > 0, i - step).otherwise(i), F.when(at < last, i + step).otherwise(i)
+        return F.coalesce(F.try_divide(F.get(depth, high) - F.get(depth, low), F.when(at > 0, 1).otherwise(0) + F.when(at < last, 1).otherwise(0)), F.lit(0.0))
+
+    def score(rows):
+        def one(i):
+            y = F.floor(i / width).cast("int")
+            boxes = [F.get(rows, _mirrored(y + k, height) * width + x(i)) for k in near]
+            mean, square = (sum((b[c] for b in boxes[1:]), boxes[0][c]) / 25 for c in "sq")
+            gx, gy = slope(i, x(i), width - 1, F.lit(1)), slope(i, y, height - 1, width)
+            return F.greatest(F.lit(0.0), square - mean * mean) + 0.5 * F.sqrt(gx * gx + gy * gy)
+
+        return F.transform(places, one)
+
+    return let(F.transform(places, along_rows), score)
+
+
+def depth_confidence(maps: DataFrame, low: float = 0.1, high: float = 100.0) -> DataFrame:
+    """Depth maps (height, width, depth row-major, ...) of any size with valid_ratio, mean_uncertainty and confidence.
+
+    Pixels outside the range are invalid and clipped; null and NaN ones count as the lower end. A map's uncertainty is over its largest;
+    that of invalid pixels is 1. Without a valid pixel the confidence is 0, and the ratio and the uncertainty of an empty or null map
+    are 0 and 1. No row moves and no pixel becomes a row.
+    """
+    depth, height, width = F.coalesce("depth", F.array().cast("array<double>")), F.col("height").cast("int"), F.col("width").cast("int")
+    valid = F.transform(depth, lambda v: F.coalesce(v.between(low, high) & ~F.isnan(v), F.lit(False)))
+    clipped = F.transform(depth, lambda v: F.when(v.isNull() | F.isnan(v), low).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), v))))
+    zero = F.lit(0.0)
+
+    def summed(d):
+        def totals(u):
+            top = F.greatest(zero, F.array_max(u))
+            pixels = F.zip_with(F.zip_with(d, u, lambda v, s: F.struct(v.alias("d"), F.when(top > 0, s / F.when(top > 0, top)).otherwise(s).alias("u"))), valid, lambda p, ok: F.struct(p["d"].alias("d"), F.when(ok, p["u"]).otherwise(1.0).alias("u"), F.when(ok, 1.0).otherwise(0.0).alias("ok")))
+            add = lambda t, p: F.struct((t["n"] + p["ok"]).alias("n"), (t["u"] + p["u"]).alias("u"), (t["uv"] + p["u"] * p["ok"]).alias("uv"), (t["d"] + p["d"] * p["ok"]).alias("d"), (t["q"] + p["d"] * p["d"] * p["ok"]).alias("q"))
+            return F.aggregate(pixels, F.struct(*[zero.alias(c) for c in ("n", "u", "uv", "d", "q")]), add)
+
+        return let(F.transform(d, lambda v: v - F.get(d, F.lit(0))), lambda moved: let(_uncertainty(moved, height, width), totals))  # small numbers, so that flat maps have no spread at all
+
+    t = F.when(F.size(depth) > 0, let(clipped, summed))
+    rows = maps.select("*", F.inline(F.array(F.struct(t.alias("_t")))))  # a generator, so that the sums are made once
+    n, some = F.col("_t.n"), F.col("_t.n") > 0
+    spread = F.sqrt(F.greatest(zero, F.try_divide("_t.q", n) - F.pow(F.try_divide("_t.d", n), 2)))
+    conf = 0.5 * (1 - F.try_divide("_t.uv", n)) + 0.3 * n / F.size("depth") + 0.2 * (1 - F.least(F.lit(1.0), spread / 50))
+    return rows.withColumns({
+        "valid_ratio": F.when(F.col("_t").isNull(), 0.0).otherwise(n / F.greatest(F.size("depth"), F.lit(1))), "mean_uncertainty": F.when(F.col("_t").isNull(), 1.0).otherwise(F.col("_t.u") / F.greatest(F.size("depth"), F.lit(1))),
+        "confidence": F.when(some, conf).otherwise(0.0),
+    }).drop("_t")
 
 
 def nms(detections: DataFrame, threshold: float = 0.7) -> DataFrame:

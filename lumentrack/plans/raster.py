@@ -45,7 +45,9 @@ def mask_quality(spark, d):
 
 
 def depth_confidence(spark, d):
-    return ra.depth_frames(_pixels(spark, d))
+    """Depth maps of 5 + 10 * logit metres, some of it out of range."""
+    maps = ra.as_runs(rasters(table(spark, d, "embeddings"))).select("mask_id", "height", "width", F.transform("logits", lambda v: 5 + 10 * v).alias("depth"))
+    return ra.depth_confidence(maps).select("mask_id", *[r6(F.col(c)).alias(c) for c in ("valid_ratio", "mean_uncertainty", "confidence")])
 
 
 def nms(spark, d):
@@ -101,6 +103,14 @@ SELECT *, round(CASE WHEN coverage < 0.001 OR coverage > 0.95 THEN 0.0 WHEN cove
     "mask_quality": f"""WITH RECURSIVE {_SHAPE}, q AS (SELECT mask_id, frame, area / size AS coverage, compactness, edge::DOUBLE AS edge, fragmentation, n_components, CASE WHEN area < 2 THEN 0.0 WHEN hi <= 1e-6 THEN 1.0 WHEN lo <= 1e-12 * hi THEN 0.0 ELSE exp(-0.5 * power(ln(sqrt(hi / lo)), 2)) END AS aspect FROM e JOIN sh USING (mask_id)),
 w AS (SELECT *, 0.15 * CASE WHEN coverage < 0.001 OR coverage > 0.95 THEN 0.0 WHEN coverage < 0.01 THEN (coverage - 0.001) / 0.009 WHEN coverage > 0.3 THEN 1 - (coverage - 0.3) / 0.65 ELSE 1.0 END + 0.3 * compactness + 0.2 * edge + 0.2 * fragmentation + 0.15 * aspect AS overall FROM q)
 SELECT mask_id, frame, round(coverage, 6) AS coverage, round(compactness, 6) AS compactness, edge, round(fragmentation, 6) AS fragmentation, round(aspect, 6) AS aspect, round(overall, 6) AS overall, coverage BETWEEN 0.001 AND 0.95 AND compactness >= 0.1 AND edge >= 0.2 AND n_components <= 5 AND overall >= 0.4 AS is_valid FROM w""",
+    "depth_confidence": f"""WITH {SQL['px']}, dp AS (SELECT mask_id, px, py, 5 + 10 * logit BETWEEN 0.1 AND 100 AS ok, greatest(0.1::DOUBLE, least(100.0::DOUBLE, 5 + 10 * logit)) AS v FROM px),
+mi AS (SELECT i, k, CASE WHEN i + k < 0 THEN -1 - i - k WHEN i + k > 7 THEN 15 - i - k ELSE i + k END AS j FROM range(8) a(i), range(-2, 3) b(k)),
+bx AS (SELECT a.mask_id, a.px, a.py, greatest(0.0, avg(n.v * n.v) - avg(n.v) ** 2) AS spread FROM dp a JOIN mi x ON x.i = a.px JOIN mi y ON y.i = a.py JOIN dp n ON n.mask_id = a.mask_id AND n.px = x.j AND n.py = y.j GROUP BY ALL),
+gd AS (SELECT *, (coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v)) / CASE WHEN px IN (0, 7) THEN 1 ELSE 2 END AS gx, (coalesce(lead(v) OVER c, v) - coalesce(lag(v) OVER c, v)) / CASE WHEN py IN (0, 7) THEN 1 ELSE 2 END AS gy
+  FROM dp WINDOW r AS (PARTITION BY mask_id, py ORDER BY px), c AS (PARTITION BY mask_id, px ORDER BY py)),
+un AS (SELECT mask_id, ok, v, u, max(u) OVER (PARTITION BY mask_id) AS top FROM (SELECT g.*, spread + 0.5 * sqrt(gx * gx + gy * gy) AS u FROM gd g JOIN bx USING (mask_id, px, py)) q),
+uc AS (SELECT mask_id, ok, v, CASE WHEN NOT ok THEN 1.0 WHEN top > 0 THEN u / top ELSE u END AS u FROM un)
+SELECT mask_id, round(avg(ok::INT), 6) AS valid_ratio, round(avg(u), 6) AS mean_uncertainty, round(CASE WHEN bool_or(ok) THEN 0.5 * (1 - avg(u) FILTER (ok)) + 0.3 * avg(ok::INT) + 0.2 * (1 - least(1.0, stddev_pop(v) FILTER (ok) / 50)) ELSE 0.0 END, 6) AS confidence FROM uc GROUP BY mask_id""",
     "mask_box_iou": f"""WITH {SQL['px']}, b AS (SELECT *, greatest(0, trunc(mask_id % 5 - 0.5)) AS x0, trunc(mask_id % 5 - 0.5) + mask_id % 7 AS x1, mask_id % 3 AS y0, mask_id % 3 + 4 AS y1 FROM px), c AS (SELECT mask_id, logit > 0 AS m, px >= x0 AND px < least(8, x1) AND py >= y0 AND py < least(8, y1) AS k FROM b)
 SELECT mask_id, round(CASE WHEN count(*) FILTER (m OR k) = 0 THEN 0.0 ELSE count(*) FILTER (m AND k) / count(*) FILTER (m OR k) END, 6) AS iou FROM c GROUP BY mask_id""",
     "mask_depth_point": f"""WITH {_ST}, f AS (SELECT mask_id, cx, cy, floor(cx) AS x0, floor(cy) AS y0 FROM g WHERE area > 0)
