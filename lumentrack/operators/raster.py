@@ -99,32 +99,35 @@ def _mirrored(i: Column, n: Column) -> Column:
     return F.when(k < n, k).otherwise(2 * n - 1 - k)
 
 
-def _uncertainty(depth: Column, height: Column, width: Column) -> Column:
-    """Variance over 5 x 5 pixels plus half the gradient, pixel by pixel: sums of five along rows, then of five of those along columns, of depths and of their squares."""
-    places = F.sequence(F.lit(0), F.size(depth) - 1)
+def boxes(values: Column, names: str, height: Column, width: Column) -> Column:
+    """Sums over 5 x 5 pixels of the fields ``names`` (a letter each) of a row-major array of structs: of five along the rows, then of five of those along the columns. Border pixels repeat."""
     near = range(-2, 3)
-    row, x = lambda i: i - i % width, lambda i: i % width
+    places = lambda v: F.sequence(F.lit(0), F.size(v) - 1)
+    total = lambda parts: F.struct(*[sum((p[c] for p in parts[1:]), parts[0][c]).alias(c) for c in names])
+    along = lambda v, i: total([F.get(v, i - i % width + _mirrored(i % width + k, width)) for k in near])
+    down = lambda rows, i: total([F.get(rows, _mirrored(F.floor(i / width).cast("int") + k, height) * width + i % width) for k in near])
+    return let(values, lambda v: let(F.transform(places(v), lambda i: along(v, i)), lambda rows: F.transform(places(rows), lambda i: down(rows, i))))
+
 
-    def along_rows(i):
-        values = [F.get(depth, row(i) + _mirrored(x(i) + k, width)) for k in near]
-        return F.struct(sum(values[1:], values[0]).alias("s"), sum((v * v for v in values[1:]), values[0] * values[0]).alias("q"))
+def slopes(values: Column, i: Column, height: Column, width: Column) -> tuple[Column, Column]:
+    """Differences along x and y at place ``i`` of a row-major array: central, one-sided at the border; 0 along a side of one pixel."""
 
-    def slope(i, at, last, step):
-        """Central difference, one-sided at the border; 0 along a side of one pixel."""
+    def slope(at, last, step):
         low, high = F.when(at > 0, i - step).otherwise(i), F.when(at < last, i + step).otherwise(i)
-        return F.coalesce(F.try_divide(F.get(depth, high) - F.get(depth, low), F.when(at > 0, 1).otherwise(0) + F.when(at < last, 1).otherwise(0)), F.lit(0.0))
+        return F.coalesce(F.try_divide(F.get(values, high) - F.get(values, low), F.when(at > 0, 1).otherwise(0) + F.when(at < last, 1).otherwise(0)), F.lit(0.0))
+
+    return slope(i % width, width - 1, F.lit(1)), slope(F.floor(i / width).cast("int"), height - 1, width)
 
-    def score(rows):
-        def one(i):
-            y = F.floor(i / width).cast("int")
-            boxes = [F.get(rows, _mirrored(y + k, height) * width + x(i)) for k in near]
-            mean, square = (sum((b[c] for b in boxes[1:]), boxes[0][c]) / 25 for c in "sq")
-            gx, gy = slope(i, x(i), width - 1, F.lit(1)), slope(i, y, height - 1, width)
-            return F.greatest(F.lit(0.0), square - mean * mean) + 0.5 * F.sqrt(gx * gx + gy * gy)
 
-        return F.transform(places, one)
+def _uncertainty(depth: Column, height: Column, width: Column) -> Column:
+    """Variance over 5 x 5 pixels plus half the gradient, pixel by pixel."""
+
+    def score(b, i):
+        mean = b["s"] / 25
+        gx, gy = slopes(depth, i, height, width)
+        return F.greatest(F.lit(0.0), b["q"] / 25 - mean * mean) + 0.5 * F.sqrt(gx * gx + gy * gy)
 
-    return let(F.transform(places, along_rows), score)
+    return F.transform(boxes(F.transform(depth, lambda v: F.struct(v.alias("s"), (v * v).alias("q"))), "sq", height, width), score)
 
 
 def depth_confidence(maps: DataFrame, low: float = 0.1, high: float = 100.0) -> DataFrame:

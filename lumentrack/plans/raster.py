@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumentrack.operators import flow as fl
 from lumentrack.operators import masks as mk
 from lumentrack.operators import raster as ra
 from lumentrack.sources.adapters import SQL, detections, pixels, r6, rasters
@@ -50,6 +51,17 @@ def depth_confidence(spark, d):
     return ra.depth_confidence(maps).select("mask_id", *[r6(F.col(c)).alias(c) for c in ("valid_ratio", "mean_uncertainty", "confidence")])
 
 
+def _frames(spark, d):
+    """A label is a video, its embeddings in order of id the frames, 8 x 8 gray values; every 29th embedding can't be read."""
+    order = Window.partitionBy("frame").orderBy("mask_id")
+    return rasters(table(spark, d, "embeddings")).select(F.col("frame").alias("video"), (F.row_number().over(order) - 1).alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.when(F.col("mask_id") % 29 != 0, F.col("logits")).alias("gray"))
+
+
+def motion_magnitude(spark, d):
+    """Mean optical flow of every fifth frame from the last analysed one, until a frame can't be read."""
+    return fl.motion_magnitude(_frames(spark, d), 5).withColumn("score", r6(F.col("score")))
+
+
 def nms(spark, d):
     return ra.nms(detections(table(spark, d, "lineitem")), 0.3).withColumn("confidence", r6(F.col("confidence")))
 
@@ -66,7 +78,7 @@ def retention(spark, d):
     return boxes.agg(F.count("*").alias("total")).crossJoin(ra.nms(boxes, 0.3).agg(F.count("*").alias("kept"))).select("total", "kept", F.round(F.col("kept") / F.greatest(F.lit(1), F.col("total")), 6).alias("ratio"))  # one row each
 
 
-QUERIES = {f.__name__: f for f in (mask_stats, mask_box_iou, mask_depth_point, mask_shape, mask_quality, depth_confidence, nms, temporal_mask_filter, retention)}
+QUERIES = {f.__name__: f for f in (mask_stats, mask_box_iou, mask_depth_point, mask_shape, mask_quality, depth_confidence, motion_magnitude, nms, temporal_mask_filter, retention)}
 
 _ST = f"""{SQL['px']}, g AS (SELECT mask_id, any_value(frame) AS frame, count(*) FILTER (logit > 0) AS area, count(*) AS size, coalesce(avg(px) FILTER (logit > 0), 0) AS cx, coalesce(avg(py) FILTER (logit > 0), 0) AS cy, avg(abs(logit)) FILTER (logit > 0) AS strength,
   var_pop(depth) FILTER (logit > 0) AS spread, var_samp(py) FILTER (logit > 0) AS vyy, var_samp(px) FILTER (logit > 0) AS vxx, covar_samp(py, px) FILTER (logit > 0) AS vxy FROM px GROUP BY mask_id),
@@ -111,6 +123,16 @@ gd AS (SELECT *, (coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v)) / CA
 un AS (SELECT mask_id, ok, v, u, max(u) OVER (PARTITION BY mask_id) AS top FROM (SELECT g.*, spread + 0.5 * sqrt(gx * gx + gy * gy) AS u FROM gd g JOIN bx USING (mask_id, px, py)) q),
 uc AS (SELECT mask_id, ok, v, CASE WHEN NOT ok THEN 1.0 WHEN top > 0 THEN u / top ELSE u END AS u FROM un)
 SELECT mask_id, round(avg(ok::INT), 6) AS valid_ratio, round(avg(u), 6) AS mean_uncertainty, round(CASE WHEN bool_or(ok) THEN 0.5 * (1 - avg(u) FILTER (ok)) + 0.3 * avg(ok::INT) + 0.2 * (1 - least(1.0, stddev_pop(v) FILTER (ok) / 50)) ELSE 0.0 END, 6) AS confidence FROM uc GROUP BY mask_id""",
+    "motion_magnitude": f"""WITH fr AS (SELECT vec_id, label AS video, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding AS e, vec_id % 29 <> 0 AS ok FROM embeddings),
+an AS (SELECT *, coalesce(bool_and(ok) OVER (PARTITION BY video ORDER BY frame), true) AS live FROM fr WHERE frame % 5 = 0),
+gp AS (SELECT video, frame, (i - 1) % 8 AS x, (i - 1) // 8 AS y, e[i]::DOUBLE AS v FROM an, range(1, 65) r(i) WHERE live),
+gr AS (SELECT *, (coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v)) / CASE WHEN x IN (0, 7) THEN 1 ELSE 2 END AS gx, (coalesce(lead(v) OVER c, v) - coalesce(lag(v) OVER c, v)) / CASE WHEN y IN (0, 7) THEN 1 ELSE 2 END AS gy
+  FROM gp WINDOW r AS (PARTITION BY video, frame, y ORDER BY x), c AS (PARTITION BY video, frame, x ORDER BY y)),
+pr AS (SELECT b.video, b.frame, b.x, b.y, (a.gx + b.gx) / 2 AS gx, (a.gy + b.gy) / 2 AS gy, b.v - a.v AS gt FROM gr b JOIN gr a ON a.video = b.video AND a.frame = b.frame - 5 AND a.x = b.x AND a.y = b.y),
+mi AS (SELECT i, CASE WHEN i + k < 0 THEN -1 - i - k WHEN i + k > 7 THEN 15 - i - k ELSE i + k END AS j FROM range(8) a(i), range(-2, 3) b(k)),
+sm AS (SELECT p.video, p.frame, p.x, p.y, sum(n.gx * n.gx) AS a, sum(n.gx * n.gy) AS b, sum(n.gy * n.gy) AS c, sum(n.gx * n.gt) AS d, sum(n.gy * n.gt) AS e FROM pr p JOIN mi mx ON mx.i = p.x JOIN mi my ON my.i = p.y JOIN pr n ON n.video = p.video AND n.frame = p.frame AND n.x = mx.j AND n.y = my.j GROUP BY ALL),
+mg AS (SELECT video, frame, avg(CASE WHEN a * c - b * b > 1e-6 * (a + c) ** 2 THEN sqrt(((b * e - c * d) / (a * c - b * b)) ** 2 + ((b * d - a * e) / (a * c - b * b)) ** 2) ELSE 0.0 END) AS score FROM sm GROUP BY ALL)
+SELECT an.video, an.frame::INTEGER AS frame, round(coalesce(score, 0.0), 6) AS score FROM an LEFT JOIN mg ON mg.video = an.video AND mg.frame = an.frame""",
     "mask_box_iou": f"""WITH {SQL['px']}, b AS (SELECT *, greatest(0, trunc(mask_id % 5 - 0.5)) AS x0, trunc(mask_id % 5 - 0.5) + mask_id % 7 AS x1, mask_id % 3 AS y0, mask_id % 3 + 4 AS y1 FROM px), c AS (SELECT mask_id, logit > 0 AS m, px >= x0 AND px < least(8, x1) AND py >= y0 AND py < least(8, y1) AS k FROM b)
 SELECT mask_id, round(CASE WHEN count(*) FILTER (m OR k) = 0 THEN 0.0 ELSE count(*) FILTER (m AND k) / count(*) FILTER (m OR k) END, 6) AS iou FROM c GROUP BY mask_id""",
     "mask_depth_point": f"""WITH {_ST}, f AS (SELECT mask_id, cx, cy, floor(cx) AS x0, floor(cy) AS y0 FROM g WHERE area > 0)
