@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumentrack.plans import raster, semantic, trajectory
+from lumentrack.operators import masks as mk
+from lumentrack.plans import fusion, raster, semantic, trajectory
 from lumentrack.sources.adapters import r6, rasters
 from lumentrack.streaming import stateful
 from lumentrack.streaming.tables import drain, read
@@ -29,6 +30,13 @@ def stream_mask_filter(spark, d):
     return drain(stateful.temporal_filter(masks, 0.3), "mask-filter").withColumn("obj_id", F.col("obj_id").cast("int"))
 
 
+def stream_quality_mask_filter(spark, d):
+    """As quality_mask_filter, with masks as runs in the state: the ids of the masks that stay."""
+    r = rasters(read(spark, f"{d}/embeddings.parquet")).select(F.col("frame").cast("long").alias("obj_id"), F.col("mask_id").alias("frame"), mk.runs(F.col("logits"), 8).alias("runs"))
+    kept = stateful.mask_filter(r.withColumn("is_valid", (mk.area(F.col("runs")) / 64).between(0.4, 0.6)), 0.3)
+    return drain(kept, "quality-mask-filter").select("obj_id", F.col("frame").alias("mask_id"))
+
+
 def stream_clamp_speed(spark, d):
     """As track_clamp_speed."""
     return drain(stateful.clamp_speed(_points(spark, d), trajectory.MAX_SPEED), "clamp-speed").withColumns({c: r6(F.col(c)) for c in ("x", "y", "z", "measure")})
@@ -47,7 +55,7 @@ def stream_job_states(spark, d):
     return changes.groupBy("job_id").agg(F.max_by("state", "seq").alias("state"), F.count("*").alias("n_events"))
 
 
-QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_mask_filter, stream_clamp_speed, stream_clamp_acceleration, stream_job_states)}
+QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_mask_filter, stream_quality_mask_filter, stream_clamp_speed, stream_clamp_acceleration, stream_job_states)}
 ORACLE_SQL = {
     stream: batch[name]
     for stream, batch, name in (
@@ -55,3 +63,4 @@ ORACLE_SQL = {
         ("stream_clamp_acceleration", trajectory.ORACLE_SQL, "track_clamp_acceleration"), ("stream_job_states", semantic.ORACLE_SQL, "job_states"),
     )
 }
+ORACLE_SQL["stream_quality_mask_filter"] = f"SELECT q.obj_id, r.vec_id AS mask_id FROM ({fusion.ORACLE_SQL['quality_mask_filter']}) q JOIN (SELECT vec_id, label AS obj_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings) r ON r.obj_id = q.obj_id AND r.frame = q.frame"
