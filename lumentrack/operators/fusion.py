@@ -10,6 +10,7 @@ from lumentrack.operators import physics as ph
 from lumentrack.operators import semantic as ml
 from lumentrack.operators import trajectory as tj
 from lumentrack.operators.raster import bilinear, clip01
+from lumentrack.sources.store import stored
 
 #: Limits of agreement (fixed values): spatial IoU, centroid distance as a share of the diagonal, depth variance, overall.
 MIN_IOU, MAX_DISTANCE, MAX_VARIANCE, MIN_OVERALL = 0.3, 0.2, 2.0, 0.5
@@ -83,15 +84,26 @@ def spatial_pairs(masks: DataFrame, boxes: DataFrame, width: int, height: int) -
     return met.select("obj_id", "ord", "label", mk.box_iou(F.col("runs"), F.col("box"), width, height).alias("iou"))
 
 
+def quality_metrics(masks: DataFrame) -> DataFrame:
+    """(obj_id, avg_confidence, tracking_frames) over all frames of ``masks``, sampled or not: the mean, 0 where no mask has a confidence, and how many have one."""
+    return masks.groupBy("obj_id").agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"), F.count("confidence").alias("tracking_frames"))
+
+
+def with_quality(objects: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``objects`` with their quality metrics by obj_id; 0 and 0 for one without."""
+    return objects.join(metrics, "obj_id", "left").withColumns({"avg_confidence": F.coalesce("avg_confidence", F.lit(0.0)), "tracking_frames": F.coalesce("tracking_frames", F.lit(0))})
+
+
 def fuse(masks: DataFrame, depth: DataFrame, sampled: DataFrame, boxes: DataFrame, fps: float, width: int, height: int, depth_confidence: float | None, semantic_confidence: float | None) -> DataFrame:
     """A row an object that has points: label, motion, extents, confidences and physics; inputs as for ``points``, masks with ``confidence``.
 
     Tracks are smoothed, their motion named, then clamped by the limits of an unknown class. The
-    label is that of the box that best meets the object's first sampled mask.
-    A mask without a confidence counts for none; an object without any has 0.5.
+    label is that of the box that best meets the object's first sampled mask. ``mask_confidence`` is the mean over sampled
+    frames, 0.5 where no mask has one; ``avg_confidence`` and ``tracking_frames`` are those of ``quality_metrics``.
+    The smoothed track is written once, and all that is told of it is read from there.
     """
     p = points(masks, depth, sampled, boxes, fps, width, height)
-    smooth = tj.smooth(p.select("obj_id", "pos", "t", *tj.AXES, "score"))
+    smooth = stored(tj.smooth(p.select("obj_id", "pos", "t", *tj.AXES, "score")), "fused-tracks")
     motion = tj.summary(smooth).select("obj_id", "n_points", "duration", "mean_speed", "motion_type")
     table = ph.limits(p.sparkSession)
     unknown = table.where("class = 'unknown'").first()
@@ -103,31 +115,42 @@ def fuse(masks: DataFrame, depth: DataFrame, sampled: DataFrame, boxes: DataFram
         F.count_if("fast").alias("n_speed"), F.count_if("hard").alias("n_acceleration"), F.count_if("turned").alias("n_direction_change"),
     )
     seen = sampled.join(masks, ["video", "frame"])
-    sure = seen.groupBy("obj_id").agg(F.coalesce(F.avg("confidence"), F.lit(0.5)).alias("mask_confidence"), F.count("confidence").alias("tracking_frames"), F.min_by(F.struct("video", "runs"), "pos").alias("first"))
+    sure = stored(seen.groupBy("obj_id").agg(F.coalesce(F.avg("confidence"), F.lit(0.5)).alias("mask_confidence"), F.min_by(F.struct("video", "runs"), "pos").alias("first")), "fused-seen")
     named = ml.best_match(spatial_pairs(sure.select("obj_id", "first.*"), boxes, width, height), sure.select("obj_id"))
     steady = tj.temporal_consistency(smooth, "score").join(smooth.groupBy("obj_id").agg(F.avg("score").alias("consistency")), "obj_id")
-    j = motion.join(valid, "obj_id").join(sure.drop("first"), "obj_id").join(named.withColumnRenamed("confidence", "label_confidence"), "obj_id").join(steady, "obj_id")
+    j = motion.join(valid, "obj_id").join(sure.select("obj_id", "first.video", "mask_confidence"), "obj_id").join(named.withColumnRenamed("confidence", "label_confidence"), "obj_id").join(steady, "obj_id")
+    j = with_quality(j, quality_metrics(masks))
     short = F.col("n_points") < 2
     total = F.col("n_speed") + F.col("n_acceleration") + F.col("n_direction_change")
     return j.select(
-        F.concat(F.lit("track_"), F.col("obj_id")).alias("object_id"), "label", "label_confidence", "method", F.col("motion_type").alias("behaviour"), F.when(F.col("n_points") > 10, "high").otherwise("medium").alias("tracking_confidence"),
-        "n_points", "duration", "displacement", "mean_speed", *[f"{k}_{c}" for c in tj.AXES for k in ("min", "max")], "mask_confidence", "tracking_frames", "consistency", "temporal_consistency",
+        "video", F.concat(F.lit("track_"), F.col("obj_id")).alias("object_id"), "label", "label_confidence", "method", F.col("motion_type").alias("behaviour"), F.when(F.col("n_points") > 10, "high").otherwise("medium").alias("tracking_confidence"),
+        "n_points", "duration", "displacement", "mean_speed", *[f"{k}_{c}" for c in tj.AXES for k in ("min", "max")], "mask_confidence", "avg_confidence", "tracking_frames", "consistency", "temporal_consistency",
         ml.cross_modal(F.col("mask_confidence"), F.lit(depth_confidence).cast("double"), F.lit(semantic_confidence).cast("double"), F.col("consistency")).alias("confidence"),
         F.when(short, 0).otherwise(total).alias("total_violations"), F.when(short, "too_short").when(total == 0, "valid").otherwise("invalid").alias("physics_status"),
     )
 
 
-def enriched(objects: DataFrame, job_id: str, sampling: DataFrame, frames: int, depth_confidence: float | None, semantic_confidence: float | None) -> DataFrame:
-    """The job's result row: counts, scene, model averages and how frames were sampled; a mean over nothing is 0.
+def results(objects: DataFrame, sampling: DataFrame, depth_confidence: float | None, semantic_confidence: float | None, frames: Column | None = None) -> DataFrame:
+    """A result row a job: counts, scene, model averages and how frames were sampled; a mean over nothing is 0.
 
-    ``sampling`` is the job's one row of sampling metadata, with sampling_strategy and sampled_frames.
+    ``objects`` are those of ``fuse`` with job_id, ``sampling`` has a row a job: job_id, sampling_strategy, sampled_frames. The masks' mean
+    confidence is over all their frames. A job without objects has a row of zeros. ``frames`` counts for the complexity, if not those sampled.
     """
-    sums = objects.agg(
-        F.count("*").alias("total_objects"), F.coalesce(F.avg("mask_confidence"), F.lit(0.0)).alias("mask_avg_confidence"),
-        F.coalesce(F.min_by("behaviour", "object_id") != "stationary", F.lit(False)).alias("dynamic"), (F.count("*") * frames / 100).alias("complexity"),
+    sums = objects.groupBy("job_id").agg(
+        F.count("*").alias("n"), F.try_divide(F.sum(F.col("avg_confidence") * F.col("tracking_frames")), F.sum("tracking_frames")).alias("mean"), (F.min_by("behaviour", "object_id") != "stationary").alias("dynamic"),
     )
     models = [F.coalesce(F.lit(depth_confidence).cast("double"), F.lit(0.0)).alias("depth_avg_confidence"), F.lit(semantic_confidence).cast("double").alias("semantic_confidence")]
-    return sums.crossJoin(sampling.select("sampling_strategy", "sampled_frames")).select(F.lit(job_id).alias("job_id"), F.lit("success").alias("status"), "*", *models)  # one row each
+    return sampling.join(sums, "job_id", "left").select(
+        "job_id", F.lit("success").alias("status"), F.coalesce("n", F.lit(0)).alias("total_objects"), F.coalesce("mean", F.lit(0.0)).alias("mask_avg_confidence"), F.coalesce("dynamic", F.lit(False)).alias("dynamic"),
+        (F.coalesce("n", F.lit(0)) * (F.col("sampled_frames") if frames is None else frames) / 100).alias("complexity"), "sampling_strategy", "sampled_frames", *models,
+    )
+
+
+def enriched(objects: DataFrame, job_id: str, sampling: DataFrame, frames: int, depth_confidence: float | None, semantic_confidence: float | None) -> DataFrame:
+    """The row of ``results`` of one job; objects that don't tell their frames count alike, by mask_confidence."""
+    own = objects if "avg_confidence" in objects.columns else objects.withColumns({"avg_confidence": F.col("mask_confidence"), "tracking_frames": F.lit(1)})
+    job = F.lit(job_id)
+    return results(own.withColumn("job_id", job), sampling.withColumn("job_id", job), depth_confidence, semantic_confidence, F.lit(frames))
 
 
 def checked(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:

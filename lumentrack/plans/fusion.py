@@ -10,9 +10,11 @@ from lumentrack.operators import masks as mk
 from lumentrack.operators import semantic as ml
 from lumentrack.plans.trajectory import smooth_sql
 from lumentrack.sources.adapters import r6, rasters
+from lumentrack.sources.store import home, stored
 from lumentrack.sources.tables import table
+from lumentrack.streaming import sink
 
-FPS, SAMPLED, DEPTHS, DEPTH_CONFIDENCE, SEMANTIC_CONFIDENCE = 10.0, 21, 18, 0.8, 0.9
+FPS, DEPTH_CONFIDENCE, SEMANTIC_CONFIDENCE = 10.0, 0.8, 0.9
 
 
 def _masks(spark, d):
@@ -27,19 +29,28 @@ def _masks(spark, d):
 
 
 def _scene(spark, d):
-    """Masks, depth maps of the first eighteen positions, sampled frames (every second) and the regions as boxes; the first region has none."""
-    m = _masks(spark, d)
-    depth = m.where((F.col("obj_id") < 2) & (F.col("frame") < DEPTHS)).select(F.col("obj_id").cast("int").alias("video"), F.col("frame").alias("pos"), F.transform("logits", lambda v: F.greatest(F.lit(0.1), F.least(F.lit(100.0), 5 + 10 * v))).alias("depth"))
-    sampled = spark.range(2 * SAMPLED).select((F.col("id") % 2).cast("int").alias("video"), F.floor(F.col("id") / 2).alias("pos"), (F.floor(F.col("id") / 2) * 2).alias("frame"))
+    """Masks; depth maps by position, those of the video's first object on each of its frames; every second frame of each video, sampled; and the regions as boxes, the first of which has none.
+
+    The masks are written once, as they are a sort of the whole table and are read for each of the others.
+    """
+    m = stored(_masks(spark, d), "masks")
+    depth = m.where("obj_id < 2").select(F.col("obj_id").cast("int").alias("video"), F.col("frame").alias("pos"), F.transform("logits", lambda v: F.greatest(F.lit(0.1), F.least(F.lit(100.0), 5 + 10 * v))).alias("depth"))
+    pos = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 2)))
+    sampled = m.groupBy("video").agg(F.max("frame").alias("last")).select("video", pos.alias("pos")).withColumn("frame", F.col("pos") * 2)
     key = F.col("r_regionkey")
     box = F.when(key > 0, F.struct(key.cast("double").alias("x"), (key % 3).cast("double").alias("y"), F.lit(4.0).alias("w"), F.lit(5.0).alias("h")))
     boxes = table(spark, d, "region").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("video"), key.alias("ord"), F.lower("r_name").alias("label"), box.alias("box"))
-    return m, depth, sampled, boxes
+    return m.drop("logits"), depth, sampled, boxes
+
+
+def _fused(spark, d):
+    scene = _scene(spark, d)
+    return fu.fuse(*scene, FPS, 8, 8, DEPTH_CONFIDENCE, SEMANTIC_CONFIDENCE), scene
 
 
 def fused_objects(spark, d):
     """Objects of both videos from masks, depth maps and boxes."""
-    o = fu.fuse(*_scene(spark, d), FPS, 8, 8, DEPTH_CONFIDENCE, SEMANTIC_CONFIDENCE)
+    o = _fused(spark, d)[0]
     doubles = [f.name for f in o.schema.fields if f.dataType.simpleString() == "double"]
     return o.withColumns({c: r6(F.col(c)) for c in doubles})
 
@@ -52,16 +63,32 @@ def fused_points(spark, d):
 
 def fused_documents(spark, d):
     """A JSON document an object, with its scene's size; rows, so that a scene of any size is spread over tasks."""
-    o = fused_objects(spark, d)
+    o = stored(_fused(spark, d)[0].select("object_id", "label", "n_points", "behaviour"), "fused-objects")
     scene = o.groupBy("behaviour").agg(F.count("*").alias("n_alike"))
     doc = F.to_json(F.struct("object_id", "label", "n_points", "behaviour"))
     return o.join(scene, "behaviour").select("object_id", "n_alike", doc.alias("document"))
 
 
+def stored_documents(spark, d):
+    """Every object's document with its trajectory, written to the JSON sink batch by batch (a batch a video, the first of them twice) and read back from its files."""
+    o, scene = _fused(spark, d)
+    raw = fu.points(*scene, FPS, 8, 8).select(F.concat(F.lit("track_"), F.col("obj_id")).alias("object_id"), "pos", "t", "x", "y", "z")
+    rows = sink.with_geometry(o.select("video", "object_id", "label", "behaviour"), raw, "object_id", ["t", "x", "y", "z"])
+    rows = stored(rows.select("video", F.concat(F.lit("job_"), F.col("video")).alias("job_id"), "object_id", sink.document("label", "behaviour", "trajectory").alias("document")), "documents")
+    folder = home(spark, "results")
+    for batch in (0, 1, 0):
+        sink.write_batch(rows.where(F.col("video") == batch), batch, folder)
+    found = sink.read_documents(spark, folder).withColumn("d", F.from_json("document", "label string, behaviour string, trajectory array<struct<t:double,x:double,y:double,z:double>>"))
+    last = F.element_at("d.trajectory", -1)
+    return found.select("job_id", "object_id", "d.label", "d.behaviour", F.size("d.trajectory").alias("n_points"), *[r6(last[c]).alias(f"last_{c}") for c in "txyz"])
+
+
 def fusion_result(spark, d):
-    """The job's enriched result row."""
-    sampling = spark.range(1).select(F.lit("uniform_fallback").alias("sampling_strategy"), F.lit(SAMPLED).cast("long").alias("sampled_frames"))
-    out = fu.enriched(fused_objects(spark, d), "job", sampling, SAMPLED, DEPTH_CONFIDENCE, SEMANTIC_CONFIDENCE)
+    """The enriched result row of each video's job."""
+    o, (_, _, sampled, _) = _fused(spark, d)
+    job = F.concat(F.lit("job_"), F.col("video")).alias("job_id")
+    sampling = sampled.groupBy(job).agg(F.count("*").alias("sampled_frames")).withColumn("sampling_strategy", F.lit("uniform_fallback"))
+    out = fu.results(o.withColumn("job_id", job), sampling, DEPTH_CONFIDENCE, SEMANTIC_CONFIDENCE)
     return out.withColumns({c: r6(F.col(c)) for c in ("mask_avg_confidence", "complexity")})
 
 
@@ -103,7 +130,7 @@ def quality_mask_filter(spark, d):
     return mk.temporal_filter(_masks(spark, d).withColumn("is_valid", share.between(0.4, 0.6)), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (fused_objects, fused_points, fused_documents, fusion_result, mask_consistency, consistent_masks, mask_label_match, mask_nms, mask_pair_iou, quality_mask_filter)}
+QUERIES = {f.__name__: f for f in (fused_objects, fused_points, fused_documents, stored_documents, fusion_result, mask_consistency, consistent_masks, mask_label_match, mask_nms, mask_pair_iou, quality_mask_filter)}
 
 _RA = "ra AS (SELECT vec_id, label::BIGINT AS obj_id, label % 2 AS video, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding AS e FROM embeddings)"
 _MP = f"""{_RA}, pl AS (SELECT i + 1 AS k, i % 8 AS px, i // 8 AS py FROM range(64) r(i)),
@@ -113,9 +140,10 @@ _FIRST = """bx AS (SELECT r_regionkey AS ord, lower(r_name) AS label, r_regionke
 mt AS (SELECT obj_id, ord, label, count(*) FILTER (m AND b) / count(*) FILTER (m OR b) AS iou FROM (SELECT obj_id, ord, label, m, px >= x AND px < x + 4 AND py >= y AND py < y + 5 AS b FROM mp, bx WHERE frame = 0) q GROUP BY 1, 2, 3),
 nm AS (SELECT obj_id, arg_max(label, (c, -ord)) AS label, max(c) AS c FROM (SELECT *, least(1.0, 1.2::DOUBLE * iou) AS c FROM mt WHERE iou >= 0.3) q GROUP BY obj_id),
 lb AS (SELECT o.obj_id, coalesce(label, 'object_' || o.obj_id) AS label, coalesce(c, 0.5) AS label_confidence, CASE WHEN c IS NULL THEN 'fallback' ELSE 'spatial' END AS method FROM (SELECT DISTINCT obj_id FROM mp WHERE frame = 0) o LEFT JOIN nm ON nm.obj_id = o.obj_id)"""
-_POINTS = f"""{_MP}, sa AS (SELECT i AS seq, 2 * i AS frame FROM range(21) r(i)),
-sm0 AS (SELECT mp.*, seq FROM mp JOIN sa USING (frame)),
-dp AS (SELECT obj_id AS video, frame AS seq, k, depth AS d FROM mp WHERE obj_id < 2 AND frame < 18),
+# sa: sampled positions; sm0: sampled masks, a row a pixel; dp: depth by position; mm: both, with the box; pa: a row a point; zz: depth at the centroid.
+_POINTS = f"""{_MP}, sa AS (SELECT video, unnest(range(0, last // 2 + 1)) AS seq FROM (SELECT video, max(frame) AS last FROM ra GROUP BY video) q),
+sm0 AS (SELECT mp.*, seq FROM mp JOIN sa ON sa.video = mp.video AND 2 * sa.seq = mp.frame),
+dp AS (SELECT obj_id AS video, frame AS seq, k, depth AS d FROM mp WHERE obj_id < 2),
 mm AS (SELECT s.*, d, px >= 1 AND px < 5 AND py >= 1 AND py < 6 AS b FROM sm0 s JOIN dp ON dp.video = s.video AND dp.seq = s.seq AND dp.k = s.k),
 pa AS (SELECT obj_id, any_value(video) AS video, seq, any_value(frame) AS frame, count(*) FILTER (m) AS area, avg(px) FILTER (m) AS x, avg(py) FILTER (m) AS y, var_pop(d) FILTER (m) AS dv, count(*) FILTER (m AND b) / count(*) FILTER (m OR b) AS iou FROM mm GROUP BY obj_id, seq HAVING count(*) FILTER (m) > 0),
 zz AS (SELECT p.obj_id, p.seq, sum(d * CASE WHEN px = floor(p.x) THEN 1 - (p.x - floor(p.x)) ELSE p.x - floor(p.x) END * CASE WHEN py = floor(p.y) THEN 1 - (p.y - floor(p.y)) ELSE p.y - floor(p.y) END) AS z
@@ -123,6 +151,8 @@ zz AS (SELECT p.obj_id, p.seq, sum(d * CASE WHEN px = floor(p.x) THEN 1 - (p.x -
 pt AS (SELECT p.obj_id, row_number() OVER (PARTITION BY p.obj_id ORDER BY p.seq) - 1 AS pos, frame, round(frame / 10, 3) AS t, p.x, p.y, z, area / 64 AS coverage,
   greatest(0.0, least(1.0, 0.4 * iou + 0.3 * (1 - least(1.0, sqrt((p.x - 3) ** 2 + (p.y - 3.5) ** 2) / sqrt(128) / 0.2)) + 0.3 * least(1.0, exp(-dv / 2)))) AS score FROM pa p JOIN zz ON zz.obj_id = p.obj_id AND zz.seq = p.seq)"""
 _W = "OVER (PARTITION BY obj_id ORDER BY pos)"
+# cp: metres; s1: speed clamp; a1: acceleration clamp; tn: turns; mo: motion; va: extents; fs: fast points; tc: temporal consistency;
+# mc: confidence over sampled frames; qm: over all frames; fo: objects.
 _FUSED = f"""{_POINTS}, {_FIRST}, {smooth_sql('pt', 'score')},
 cp AS (SELECT obj_id, pos, t, x * 0.01 AS x, y * 0.01 AS y, z FROM sm),
 s1 AS (SELECT obj_id, pos, t, x, y, z, false AS hit FROM cp WHERE pos = 0
@@ -143,12 +173,13 @@ va AS (SELECT obj_id, {', '.join(f'{k}({c}) AS {k}_{c}' for c in 'xyz' for k in
   FROM (SELECT obj_id, pos, x * 100 AS x, y * 100 AS y, z, hit FROM a1) e1 GROUP BY obj_id),
 fs AS (SELECT obj_id, count(*) FILTER (hit) AS n_fast FROM s1 GROUP BY obj_id),
 tc AS (SELECT obj_id, coalesce(1 - least(1.0, 2 * var_pop(r)), 1.0) AS tc FROM (SELECT obj_id, CASE WHEN pos >= 4 THEN avg(score) OVER (PARTITION BY obj_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS r FROM sm) f1 GROUP BY obj_id),
-mc AS (SELECT obj_id, coalesce(avg(c), 0.5) AS mask_confidence, count(c) AS tracking_frames FROM (SELECT obj_id, seq, CASE WHEN vec_id % 7 <> 0 THEN {_CONF} END AS c FROM sm0 GROUP BY obj_id, seq, vec_id) g1 GROUP BY obj_id),
-fo AS (SELECT 'track_' || mo.obj_id AS object_id, label, round(label_confidence, 6) AS label_confidence, method, behaviour, CASE WHEN n_points > 10 THEN 'high' ELSE 'medium' END AS tracking_confidence, n_points, round(duration, 6) AS duration, round(displacement, 6) AS displacement, round(mean_speed, 6) AS mean_speed,
-  {', '.join(f'round({k}_{c}, 6) + 0.0 AS {k}_{c}' for c in 'xyz' for k in ('min', 'max'))}, round(mask_confidence, 6) AS mask_confidence, tracking_frames, round(consistency, 6) AS consistency, round(tc, 6) AS temporal_consistency,
+mc AS (SELECT obj_id, any_value(video) AS video, coalesce(avg(c), 0.5) AS mask_confidence FROM (SELECT obj_id, any_value(video) AS video, CASE WHEN vec_id % 7 <> 0 THEN {_CONF} END AS c FROM sm0 GROUP BY obj_id, seq, vec_id) g1 GROUP BY obj_id),
+qm AS (SELECT obj_id, coalesce(avg(c), 0.0) AS avg_confidence, count(c) AS tracking_frames FROM (SELECT obj_id, CASE WHEN vec_id % 7 <> 0 THEN {_CONF} END AS c FROM mp GROUP BY obj_id, vec_id) g2 GROUP BY obj_id),
+fo AS (SELECT mc.video, 'track_' || mo.obj_id AS object_id, label, round(label_confidence, 6) AS label_confidence, method, behaviour, CASE WHEN n_points > 10 THEN 'high' ELSE 'medium' END AS tracking_confidence, n_points, round(duration, 6) AS duration, round(displacement, 6) AS displacement, round(mean_speed, 6) AS mean_speed,
+  {', '.join(f'round({k}_{c}, 6) + 0.0 AS {k}_{c}' for c in 'xyz' for k in ('min', 'max'))}, round(mask_confidence, 6) AS mask_confidence, round(avg_confidence, 6) AS avg_confidence, tracking_frames, round(consistency, 6) AS consistency, round(tc, 6) AS temporal_consistency,
   round(CASE WHEN mask_confidence <> 0 THEN least(1.0, power(mask_confidence, 0.4) * power(0.8, 0.3) * power(0.9, 0.3) * (0.5 + 0.5 * consistency)) ELSE 0.7 END, 6) AS confidence, CASE WHEN n_points < 2 THEN 0 ELSE n_fast + n_hard + tn.n END AS total_violations,
   CASE WHEN n_points < 2 THEN 'too_short' WHEN n_fast + n_hard + tn.n = 0 THEN 'valid' ELSE 'invalid' END AS physics_status
-  FROM mo JOIN va ON va.obj_id = mo.obj_id JOIN fs ON fs.obj_id = mo.obj_id JOIN tn ON tn.obj_id = mo.obj_id JOIN tc ON tc.obj_id = mo.obj_id JOIN mc ON mc.obj_id = mo.obj_id JOIN lb ON lb.obj_id = mo.obj_id)"""
+  FROM mo JOIN va ON va.obj_id = mo.obj_id JOIN fs ON fs.obj_id = mo.obj_id JOIN tn ON tn.obj_id = mo.obj_id JOIN tc ON tc.obj_id = mo.obj_id JOIN mc ON mc.obj_id = mo.obj_id JOIN qm ON qm.obj_id = mo.obj_id JOIN lb ON lb.obj_id = mo.obj_id)"""
 _AGREE = f"""{_MP}, cb AS (SELECT *, vec_id % 5 <> 0 AS has, vec_id % 5 - 0.5 AS bx, vec_id % 3 AS by0, vec_id % 7 + 0.9 AS bw FROM mp),
 cm AS (SELECT *, has AND px >= greatest(0, trunc(bx)) AND px < least(8, trunc(bx) + trunc(bw)) AND py >= by0 AND py < by0 + 4 AS b FROM cb),
 cg AS (SELECT vec_id AS mask_id, any_value(has) AS has, any_value(bx + bw / 2) AS cx, any_value(by0 + 2.1) AS cy, coalesce(avg(px) FILTER (m), 0) AS x, coalesce(avg(py) FILTER (m), 0) AS y, count(*) FILTER (m AND b) AS i, count(*) FILTER (m OR b) AS u, var_pop(logit) FILTER (m) AS dv FROM cm GROUP BY vec_id),
@@ -159,8 +190,12 @@ ORACLE_SQL = {
     "fused_objects": f"WITH RECURSIVE {_FUSED} SELECT * FROM fo",
     "fused_points": f"WITH {_POINTS} SELECT obj_id, pos, frame, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('t', 'x', 'y', 'z', 'coverage', 'score'))} FROM pt",
     "fused_documents": f"""WITH RECURSIVE {_FUSED} SELECT object_id, count(*) OVER (PARTITION BY behaviour) AS n_alike, '{{"object_id":"' || object_id || '","label":"' || label || '","n_points":' || n_points || ',"behaviour":"' || behaviour || '"}}' AS document FROM fo""",
-    "fusion_result": f"""WITH RECURSIVE {_FUSED} SELECT 'job' AS job_id, 'success' AS status, count(*) AS total_objects, round(avg(mask_confidence), 6) AS mask_avg_confidence, arg_min(behaviour, object_id) <> 'stationary' AS dynamic, round(count(*) * 21 / 100, 6) AS complexity,
-'uniform_fallback' AS sampling_strategy, 21::BIGINT AS sampled_frames, 0.8::DOUBLE AS depth_avg_confidence, 0.9::DOUBLE AS semantic_confidence FROM fo""",
+    "stored_documents": f"""WITH RECURSIVE {_FUSED} SELECT 'job_' || video AS job_id, object_id, label, behaviour, n_points::INTEGER AS n_points, round(p.t, 6) AS last_t, round(p.x, 6) + 0.0 AS last_x, round(p.y, 6) + 0.0 AS last_y, round(p.z, 6) + 0.0 AS last_z
+FROM fo JOIN pt p ON 'track_' || p.obj_id = object_id AND p.pos = n_points - 1""",
+    "fusion_result": f"""WITH RECURSIVE {_FUSED}, jb AS (SELECT video, count(*) AS total_objects, arg_min(behaviour, object_id) <> 'stationary' AS dynamic FROM fo GROUP BY video),
+ac AS (SELECT video, avg(c) AS c FROM (SELECT video, CASE WHEN vec_id % 7 <> 0 THEN {_CONF} END AS c FROM mp GROUP BY video, vec_id) q GROUP BY video)
+SELECT 'job_' || s.video AS job_id, 'success' AS status, total_objects, round(ac.c, 6) AS mask_avg_confidence, dynamic, round(total_objects * count(*) / 100, 6) AS complexity, 'uniform_fallback' AS sampling_strategy, count(*) AS sampled_frames, 0.8::DOUBLE AS depth_avg_confidence, 0.9::DOUBLE AS semantic_confidence
+FROM sa s JOIN jb ON jb.video = s.video JOIN ac ON ac.video = s.video GROUP BY s.video, total_objects, ac.c, dynamic""",
     "mask_consistency": f"WITH {_AGREE} SELECT mask_id, round(iou, 6) AS spatial_iou, round(dist, 6) AS centroid_distance, round(dc, 6) AS depth_consistency, round(overall, 6) AS overall_consistency, iou >= 0.3 AND dist <= 0.2 AND overall >= 0.5 AS is_consistent FROM ce",
     "consistent_masks": f"WITH {_AGREE} SELECT mask_id, round(overall, 6) AS overall_consistency FROM ce WHERE round(overall, 6) >= 0.55",
     "mask_label_match": f"WITH {_MP}, {_FIRST} SELECT obj_id, label, round(label_confidence, 6) AS confidence, method FROM lb",

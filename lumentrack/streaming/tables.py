@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from lumentrack.sources.store import home
+
 
 def read(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """A Parquet table, a folder or a single file, as a stream; ``files`` files a micro-batch (all that are there if not given)."""
@@ -20,12 +19,7 @@ def drain(stream: DataFrame, tag: str) -> DataFrame:
     The query's offsets and state lie beside it, so a lost executor repeats a batch and not its output.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lumentrack-")
-    home = f"{base.rstrip('/')}/lumentrack/{tag}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start(f"{home}/rows")
+    place = home(spark, tag)
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start(f"{place}/rows")
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{home}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
