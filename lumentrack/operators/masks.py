@@ -1,6 +1,6 @@
 """Masks of any size as runs: rows (frame, obj_id, height, width, runs), where a run is (y, x0, x1) of pixels inside, x1 exclusive.
 
-Overlaps are found by joining runs of one image row that meet, so work follows what overlaps and
+Overlaps are found by joining runs that meet in a cell of one image row, so work follows what is near each other and
 not the number of pairs or pixels. Runs of a mask don't overlap each other.
 """
 
@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pixels of a cell along a row.
+CELL = 64
+
 
 def runs(values: Column, width: int, above: float = 0.0) -> Column:
     """Runs of a row-major raster where its values exceed ``above`` (0 for logits, 0.5 for probabilities)."""
@@ -57,8 +60,10 @@ def min_area(masks: DataFrame, least: float = 0.001) -> DataFrame:
 def overlaps(masks: DataFrame, above: float) -> DataFrame:
     """(frame, a, b, iou) of the pairs a < b of one frame whose IoU exceeds ``above`` (0 or more); masks without a common pixel never meet."""
     spans = masks.select("frame", "obj_id", area(F.col("runs")).alias("area"), F.explode("runs").alias("s")).select("frame", "obj_id", "area", "s.*")
-    a, b = (spans.select("frame", "y", *[F.col(c).alias(f"{c}_{k}") for c in ("obj_id", "area", "x0", "x1")]) for k in "ab")
-    met = a.join(b, ["frame", "y"]).where((F.col("obj_id_a") < F.col("obj_id_b")) & (F.col("x0_a") < F.col("x1_b")) & (F.col("x0_b") < F.col("x1_a")))
+    spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / CELL), F.floor((F.col("x1") - 1) / CELL))))
+    a, b = (spans.select("frame", "y", "cell", *[F.col(c).alias(f"{c}_{k}") for c in ("obj_id", "area", "x0", "x1")]) for k in "ab")
+    here = F.floor(F.greatest("x0_a", "x0_b") / CELL) == F.col("cell")  # two runs that meet in several cells count in the first
+    met = a.join(b, ["frame", "y", "cell"]).where((F.col("obj_id_a") < F.col("obj_id_b")) & (F.col("x0_a") < F.col("x1_b")) & (F.col("x0_b") < F.col("x1_a")) & here)
     common = F.sum(F.least("x1_a", "x1_b") - F.greatest("x0_a", "x0_b"))
     pairs = met.groupBy("frame", F.col("obj_id_a").alias("a"), F.col("obj_id_b").alias("b"), "area_a", "area_b").agg(common.alias("n"))
     iou = F.col("n") / (F.col("area_a") + F.col("area_b") - F.col("n"))

@@ -160,18 +160,3 @@ def depth_confidence(maps: DataFrame, low: float = 0.1, high: float = 100.0) ->
         "valid_ratio": F.when(F.col("_t").isNull(), 0.0).otherwise(n / F.greatest(F.size("depth"), F.lit(1))), "mean_uncertainty": F.when(F.col("_t").isNull(), 1.0).otherwise(F.col("_t.u") / F.greatest(F.size("depth"), F.lit(1))),
         "confidence": F.when(some, conf).otherwise(0.0),
     }).drop("_t")
-
-
-def nms(detections: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Greedy suppression in each frame: by confidence descending, then ord; a box stays if no kept box overlaps it by more than ``threshold``."""
-    kept = "array<struct<c:double,ord:int,x:double,y:double,w:double,h:double>>"
-    rows = detections.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), F.col("ord").cast("int").alias("ord"), "x", "y", "w", "h"))).alias("boxes"))
-
-    def overlaps(a, b):
-        iw = F.greatest(F.lit(0.0), F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]))
-        ih = F.greatest(F.lit(0.0), F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"]))
-        union = a["w"] * a["h"] + b["w"] * b["h"] - iw * ih
-        return (union > 0) & (iw * ih > threshold * union)
-
-    out = F.aggregate("boxes", F.array().cast(kept), lambda k, b: F.when(F.exists(k, lambda z: overlaps(z, b)), k).otherwise(F.concat(k, F.array(b))))
-    return rows.select("frame", F.explode(out).alias("b")).select("frame", F.col("b.ord").alias("ord"), (-F.col("b.c")).alias("confidence"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumentrack.operators import flow as fl
+from lumentrack.operators import grid as gr
 from lumentrack.operators import masks as mk
 from lumentrack.operators import raster as ra
 from lumentrack.sources.adapters import SQL, detections, pixels, r6, rasters
@@ -63,7 +64,7 @@ def motion_magnitude(spark, d):
 
 
 def nms(spark, d):
-    return ra.nms(detections(table(spark, d, "lineitem")), 0.3).withColumn("confidence", r6(F.col("confidence")))
+    return gr.nms(detections(table(spark, d, "lineitem")), 0.3).withColumn("confidence", r6(F.col("confidence")))
 
 
 def temporal_mask_filter(spark, d):
@@ -75,7 +76,7 @@ def temporal_mask_filter(spark, d):
 def retention(spark, d):
     """Share of boxes that suppression keeps, over all frames."""
     boxes = detections(table(spark, d, "lineitem"))
-    return boxes.agg(F.count("*").alias("total")).crossJoin(ra.nms(boxes, 0.3).agg(F.count("*").alias("kept"))).select("total", "kept", F.round(F.col("kept") / F.greatest(F.lit(1), F.col("total")), 6).alias("ratio"))  # one row each
+    return boxes.agg(F.count("*").alias("total")).crossJoin(gr.nms(boxes, 0.3).agg(F.count("*").alias("kept"))).select("total", "kept", F.round(F.col("kept") / F.greatest(F.lit(1), F.col("total")), 6).alias("ratio"))  # one row each
 
 
 QUERIES = {f.__name__: f for f in (mask_stats, mask_box_iou, mask_depth_point, mask_shape, mask_quality, depth_confidence, motion_magnitude, nms, temporal_mask_filter, retention)}
