@@ -57,18 +57,50 @@ def parsed(texts: DataFrame) -> DataFrame:
     return texts.select("id", good.alias("parse_success"), (F.col("confidence") * F.when(body == "", 0.2).when(good, 1.0).otherwise(0.3)).alias("confidence"))
 
 
+def answer(text: Column) -> Column:
+    """The variant of a model's text: a text that is a JSON list as a whole, else what lies between the outer braces; null if that is no JSON."""
+    trimmed = F.trim(F.coalesce(text, F.lit("")))
+    return F.coalesce(F.try_parse_json(F.when(F.startswith(trimmed, F.lit("[")), trimmed)), F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))))
+
+
+def _part(v: Column, path: str) -> Column:
+    """A part of a variant as it is; null only where it is absent."""
+    return F.try_variant_get(v, path, "variant")
+
+
+def truthy(v: Column) -> Column:
+    """Whether a variant is there and is more than null, false, zero, an empty text, list or object."""
+    kind = F.schema_of_variant(v)
+    number = F.try_variant_get(v, "$", "double")
+    return F.when(v.isNull() | kind.isin("VOID", "OBJECT<>"), False).when(kind == "STRING", F.try_variant_get(v, "$", "string") != "").when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(
+        F.startswith(kind, F.lit("ARRAY")), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0).otherwise(F.coalesce(number != 0, F.lit(True)))
+
+
+def _first_true(v: Column, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.when(truthy(_part(v, f"$.{k}")), _part(v, f"$.{k}")) for k in keys])
+
+
+def _items(v: Column) -> Column:
+    """The elements of a list; none of anything else."""
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+
+
 def fallback_label(texts: DataFrame, objects: DataFrame) -> DataFrame:
     """Labels without spatial matching: (id, text), (id, obj_id) -> id, obj_id, label, behaviour.
 
-    The first object of ``trajectories``, or if that list is empty of ``objects``, names every mask by its object_id,
-    else its label; a null or empty name, or the mask's own, leaves ``object_`` and the number.
-    behaviour is the object's action, else its behavior, else stationary.
+    The first object in ``trajectories``, or if that is empty or absent in ``objects``, names every mask by its object_id,
+    else its label; an empty name, or the mask's own, leaves ``object_`` and the number. Lists that aren't empty end the search,
+    whatever is in them. behaviour is the object's action, else its behavior, else stationary.
     """
-    v = F.try_parse_json(F.regexp_extract("text", r"(?s)(\{.*\})", 1))
-    first = lambda k: F.filter(F.coalesce(F.try_variant_get("v", f"$.{k}", "array<variant>"), F.array().cast("array<variant>")), lambda o: F.schema_of_variant(o).startswith("OBJECT"))
-    chosen = texts.select("id", v.alias("v")).select("id", first("trajectories").alias("t"), first("objects").alias("o")).select("id", F.get(F.when(F.size("t") > 0, F.col("t")).otherwise(F.col("o")), 0).alias("o"))
-    text = lambda k: F.nullif(F.try_variant_get("o", f"$.{k}", "string"), F.lit(""))
-    named = chosen.select("id", F.coalesce(text("object_id"), text("label")).alias("name"), F.coalesce(text("action"), text("behavior"), F.lit("stationary")).alias("behaviour"))
+    v = texts.select("id", answer(F.col("text")).alias("v"))
+    lists = v.select("id", _part(F.col("v"), "$.trajectories").alias("t"), _part(F.col("v"), "$.objects").alias("o"))
+    chosen = lists.select("id", F.get(F.filter(_items(F.when(truthy(F.col("t")), F.col("t")).otherwise(F.col("o"))), _is_object), 0).alias("o"))
+    text = lambda *keys: F.try_variant_get(_first_true(F.col("o"), keys), "$", "string")
+    named = chosen.select("id", text("object_id", "label").alias("name"), F.coalesce(text("action", "behavior"), F.lit("stationary")).alias("behaviour"))
     own = F.concat(F.lit("object_"), F.col("obj_id"))
     return objects.join(named, "id", "left").select("id", "obj_id", F.coalesce("name", own).alias("label"), F.coalesce("behaviour", F.lit("stationary")).alias("behaviour"))
 
@@ -84,10 +116,16 @@ def overall_consistency(iou: Column, distance: Column, depth: Column) -> Column:
 
 
 def json_objects(texts: DataFrame) -> DataFrame:
-    """(id, text) -> (id, ord, label, bbox json, confidence): greedy brace extraction, aliases in order of precedence, empty values falling through."""
-    v = F.try_parse_json(F.regexp_extract("text", r"(?s)(\{.*\})", 1))
-    p = texts.select("id", v.alias("v")).where(F.col("v").isNotNull())
-    chosen = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in LIST_KEYS])
-    e = p.select("id", F.posexplode(chosen).alias("ord", "o")).where(F.schema_of_variant("o").startswith("OBJECT"))
-    first = lambda keys, t: F.coalesce(*[F.when(~F.try_variant_get("o", f"$.{k}", "string").isin("", "[]", "{}", "0", "false"), F.try_variant_get("o", f"$.{k}", t)) for k in keys])
-    return e.select("id", "ord", F.coalesce(first(LABEL_KEYS, "string"), F.lit("unknown")).alias("label"), first(BOX_KEYS, "string").alias("bbox"), F.coalesce(F.try_variant_get("o", "$.confidence", "double"), F.lit(1.0)).alias("confidence"))
+    """(id, text) -> (id, ord, label, bbox json, confidence) of the objects in a model's answer; ord counts all elements of their list.
+
+    The list is that of the first key of LIST_KEYS that is present, or the answer itself if it is a list; a present key that
+    holds no list has no objects, and ends the search. Elements that are no objects are passed over. Of aliases the first that isn't empty,
+    zero, false or null counts; a label that none has is unknown. A confidence that is absent is 1; one that is null or no number is null.
+    """
+    v = F.col("v")
+    held = F.coalesce(*[_part(v, f"$.{k}") for k in LIST_KEYS], F.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), v))
+    p = texts.select("id", answer(F.col("text")).alias("v")).select("id", held.alias("held")).select("id", F.posexplode(_items(F.col("held"))).alias("ord", "o")).where(_is_object(F.col("o")))
+    o = F.col("o")
+    text = lambda keys: F.try_variant_get(_first_true(o, keys), "$", "string")
+    sure = F.when(_part(o, "$.confidence").isNull(), 1.0).otherwise(F.try_variant_get(o, "$.confidence", "double"))
+    return p.select("id", "ord", F.coalesce(text(LABEL_KEYS), F.lit("unknown")).alias("label"), text(BOX_KEYS).alias("bbox"), sure.alias("confidence"))

@@ -92,9 +92,30 @@ def semantic_parse(spark, d):
     return ml.parsed(e.withColumn("confidence", ml.text_confidence(F.col("text")))).withColumn("confidence", r6(F.col("confidence")))
 
 
+#: Answers of every shape, by event number: keys in and out of order, present keys without lists, lists as a whole, aliases that are empty, broken JSON. %1 is the type, %2 the number.
+SHAPES = (
+    'say {"objects": [{"label": "%1", "box": [%2]}, 3, {"class": "", "confidence": 0.5}]} end', '{"detections": [{"class": "%1", "bbox": [], "bounding_box": {"x": %2}}, {"label": 0, "object_id": "o%2"}]}',
+    '{"objects": "none", "trajectories": [{"label": "%1"}]}', '[{"label": "%1", "confidence": null}, [], {"object_id": false, "class": "c%2"}]', '{"trajectories": [], "detections": [{"label": "%1"}]}',
+    'say {"trajectories": [3, {"object_id": "%1", "action": "moves"}], "objects": [{"label": "x"}]}', '{"trajectories": [], "objects": [{"label": "%1", "behavior": "rolls"}]}', '{"objects": [{"label": "%1"}', 'nothing of %1 is to be seen', '{"trajectories": [3], "objects": [{"label": "%1", "action": ""}]}',
+    '{"objects": null, "detections": [{"label": "%1"}]}',
+)
+
+
+def _answers(spark, d):
+    e = table(spark, d, "events")
+    shape = F.element_at(F.array(*[F.lit(s) for s in SHAPES]), (F.col("event_id") % len(SHAPES) + 1).cast("int"))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("obj_id"), F.replace(F.replace(shape, F.lit("%1"), F.col("event_type")), F.lit("%2"), F.col("event_id").cast("string")).alias("text"))
+
+
 def json_objects(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.format_string('say {"%s": [{"%s": "%s", "box": [%d]}, 3, {"class": "", "confidence": 0.5}]} end', F.when(F.col("event_id") % 2 == 0, "objects").otherwise("detections"), F.when(F.col("event_id") % 3 == 0, "label").otherwise("class"), F.col("event_type"), F.col("event_id")).alias("text"))
-    return ml.json_objects(e)
+    """Objects of an answer an event, of all shapes."""
+    return ml.json_objects(_answers(spark, d))
+
+
+def fallback_labels(spark, d):
+    """Names of an event's user by the event's answer."""
+    a = _answers(spark, d)
+    return ml.fallback_label(a.select("id", "text"), a.select("id", "obj_id"))
 
 
 def cross_modal_confidence(spark, d):
@@ -137,7 +158,7 @@ def rate_limit(spark, d):
     return accepted(table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")), 108000.0, 3)
 
 
-QUERIES = {f.__name__: f for f in (uniform_sample, motion_scores, motion_segments, adaptive_frames, scene_changes, extracted_frames, sampling_metadata, prompt_grid, label_match, label_consensus, label_refine, text_confidence, semantic_parse, json_objects, cross_modal_confidence, fused_tracks, jobs_page, job_states, rate_limit)}
+QUERIES = {f.__name__: f for f in (uniform_sample, motion_scores, motion_segments, adaptive_frames, scene_changes, extracted_frames, sampling_metadata, prompt_grid, label_match, label_consensus, label_refine, text_confidence, semantic_parse, json_objects, fallback_labels, cross_modal_confidence, fused_tracks, jobs_page, job_states, rate_limit)}
 
 _SC = f"{SQL['tr']}, sc AS (SELECT obj_id AS video, pos AS frame, x / 5 AS score FROM tr), tt AS (SELECT video, max(frame) + 1 AS total FROM sc GROUP BY video)"
 _CLS = "CASE WHEN score < 1 THEN 'static' WHEN score < 5 THEN 'low' WHEN score < 15 THEN 'medium' ELSE 'high' END"
@@ -159,6 +180,12 @@ tc AS (SELECT obj_id, coalesce(1 - least(1.0, 2 * var_pop(m)), 1.0) AS tc FROM m
 SELECT 'track_' || su.obj_id AS object_id, vt.label, motion_type, n_points, CASE WHEN n_points > 10 THEN 'high' ELSE 'medium' END AS tracking_confidence, round(displacement, 6) AS displacement, round(mean_speed * 1000, 6) AS mean_speed_scaled,
 round(CASE WHEN s <> 0 AND d IS NOT NULL THEN least(1.0, power(s, 0.4) * power(d, 0.3) * power(n / votes, 0.3) * (0.5 + 0.5 * tc)) ELSE 0.7 END, 6) AS confidence, round(tc, 6) AS temporal_consistency FROM su JOIN vt ON vt.obj_id = su.obj_id AND r = 1 JOIN fg ON fg.obj_id = su.obj_id JOIN tc ON tc.obj_id = su.obj_id"""
 
+_QUOTED = "CASE event_id % " + str(len(SHAPES)) + " " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(SHAPES)) + " END"
+_TRUE = lambda j: f"({j} IS NOT NULL AND {j}::VARCHAR NOT IN ('null', 'false', '0', '0.0', '\"\"', '[]', '{{}}'))"
+_PICK = lambda o, keys: "coalesce(" + ", ".join(f"CASE WHEN {_TRUE(f'json_extract({o}, chr(36) || chr(46) || chr(34) || {k!r} || chr(34))')} THEN json_extract_string({o}, chr(36) || chr(46) || chr(34) || {k!r} || chr(34)) END" for k in keys) + ")"
+_ANSWERS = f"""an AS (SELECT event_id AS id, user_id AS obj_id, replace(replace({_QUOTED}, '%1', event_type), '%2', event_id::VARCHAR) AS text FROM events),
+js AS (SELECT id, obj_id, CASE WHEN text LIKE '[%' THEN try_cast(text AS JSON) ELSE try_cast(nullif(regexp_extract(text, '(?s)(\\{{.*\\}})', 1), '') AS JSON) END AS v FROM an)"""
+
 ORACLE_SQL = {
     "uniform_sample": f"WITH {_SC} SELECT video, i::INTEGER AS i, (CASE WHEN i = 15 THEN total - 1 ELSE floor(i * ((total - 1) / 15)) END)::INTEGER AS frame FROM tt, range(16) r(i)",
     "motion_scores": f"""WITH {_SC}, a AS (SELECT video, frame, score, lead(frame) OVER (PARTITION BY video ORDER BY frame) AS nf, lead(score) OVER (PARTITION BY video ORDER BY frame) AS ns FROM sc WHERE frame % 5 = 0),
@@ -179,7 +206,13 @@ SELECT o.obj_id, coalesce(m.label, 'object_' || o.obj_id) AS label, round(coales
     "label_refine": f"WITH {_VOTE} SELECT obj_id, label, CASE lower(label) WHEN 'click' THEN 'action' WHEN 'view' THEN 'action' WHEN 'purchase' THEN 'money' ELSE label END AS parent, round(n / votes * CASE WHEN lower(label) IN ('click', 'view', 'purchase') THEN 1.1::DOUBLE ELSE 1.0 END, 6) AS confidence FROM vt WHERE r = 1",
     "text_confidence": f"WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT -1 - page_id, coalesce(html, '') FROM pages) SELECT id, round(least(1.0, {_HEUR}), 6) AS confidence FROM t",
     "semantic_parse": f"WITH t AS (SELECT event_id AS id, event_id % 3 AS m, CASE event_id % 3 WHEN 0 THEN 'say ' || props || ' end' WHEN 1 THEN 'say {{' || event_type || '}} end' ELSE event_type END AS text FROM events) SELECT id, m = 0 AS parse_success, round(least(1.0, {_HEUR}) * CASE m WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.3 ELSE 0.2 END, 6) AS confidence FROM t",
-    "json_objects": """SELECT event_id AS id, 0::INTEGER AS ord, event_type AS label, '[' || event_id || ']' AS bbox, 1.0::DOUBLE AS confidence FROM events UNION ALL SELECT event_id, 2, 'unknown', NULL, 0.5 FROM events""",
+    "json_objects": f"""WITH {_ANSWERS}, ls AS (SELECT id, coalesce(json_extract(v, '$.objects'), json_extract(v, '$.trajectories'), json_extract(v, '$.detections'), CASE WHEN json_type(v) = 'ARRAY' THEN v END) AS held FROM js),
+el AS (SELECT id, i::INTEGER AS ord, json_extract(held, '$[' || i || ']') AS o FROM ls, range(3) r(i) WHERE json_type(held) = 'ARRAY' AND i < json_array_length(held))
+SELECT id, ord, coalesce({_PICK('o', ml.LABEL_KEYS)}, 'unknown') AS label, {_PICK('o', ml.BOX_KEYS)} AS bbox, CASE WHEN json_extract(o, '$.confidence') IS NULL THEN 1.0 ELSE try_cast(json_extract_string(o, '$.confidence') AS DOUBLE) END AS confidence FROM el WHERE json_type(o) = 'OBJECT'""",
+    "fallback_labels": f"""WITH {_ANSWERS}, ls AS (SELECT id, obj_id, CASE WHEN {_TRUE("json_extract(v, '$.trajectories')")} THEN json_extract(v, '$.trajectories') ELSE json_extract(v, '$.objects') END AS held FROM js),
+el AS (SELECT id, i, json_extract(held, '$[' || i || ']') AS o FROM ls, range(3) r(i) WHERE json_type(held) = 'ARRAY' AND i < json_array_length(held)),
+fi AS (SELECT id, arg_min(o, i) AS o FROM el WHERE json_type(o) = 'OBJECT' GROUP BY id)
+SELECT ls.id, obj_id, coalesce({_PICK('o', ('object_id', 'label'))}, 'object_' || obj_id) AS label, coalesce({_PICK('o', ('action', 'behavior'))}, 'stationary') AS behaviour FROM ls LEFT JOIN fi ON fi.id = ls.id""",
     "cross_modal_confidence": f"""WITH {SQL['tr']}, g AS (SELECT obj_id, avg(y / 100) AS s, avg(z / 24) AS d, max(y / 100) AS c, min(z / 24) AS k FROM tr GROUP BY obj_id)
 SELECT obj_id, round(CASE WHEN s <> 0 AND obj_id % 9 <> 0 AND c <> 0 THEN least(1.0, power(s, 0.4) * power(d, 0.3) * power(c, 0.3) * (0.5 + 0.5 * k)) ELSE 0.7 END, 6) AS confidence, round(greatest(0.0, least(1.0, 0.4 * s + 0.3 * (1 - least(1.0, d / 4 / 0.2)) + 0.3 * c)), 6) AS consistency FROM g""",
     "jobs_page": "SELECT o_orderkey AS job_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderstatus AS status, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 20",

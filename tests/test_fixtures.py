@@ -171,3 +171,18 @@ def test_error_table_and_result(spark):
     sampling = spark.createDataFrame([("uniform_fallback", 4)], "sampling_strategy string, sampled_frames int")
     r = fu.enriched(none, "j", sampling, 4, None, 0.5).first()
     assert (r.total_objects, r.mask_avg_confidence, r.dynamic, r.complexity, r.depth_avg_confidence) == (0, 0.0, False, 0.0, 0.0)
+
+
+def test_answers_of_all_shapes(spark):
+    """The first present key ends the search, also without a list; whole lists count; empty aliases fall through, but not a text of a zero."""
+    texts = {
+        1: '{"objects":"none","trajectories":[{"label":"x"}]}', 2: '{"trajectories":{"label":"x"},"detections":[{"label":"y"}]}', 3: '[{"label":"a"},7,{"class":"b"}]', 4: '{"detections":[{"label":"","object_id":0,"class":"0"},{"label":[],"box":{},"bbox":[1]}]}',
+        5: '{"objects":null,"detections":[{"label":"y"}]}', 6: 'so {"objects":[{"label":5,"confidence":"high"},{"confidence":null},{"confidence":0.25}]} it is', 7: "none", 8: None, 9: '{"objects":[]}', 10: "[1,2", 11: '{"a":1}',
+    }
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = sorted((r.id, r.ord, r.label, r.bbox, r.confidence) for r in ml.json_objects(df).collect())
+    assert got == [(3, 0, "a", None, 1.0), (3, 2, "b", None, 1.0), (4, 0, "0", None, 1.0), (4, 1, "unknown", "[1]", 1.0), (6, 0, "5", None, None), (6, 1, "unknown", None, None), (6, 2, "unknown", None, 0.25)]
+    labels = {1: '{"trajectories":[3],"objects":[{"label":"x"}]}', 2: '{"trajectories":"","objects":[4,{"object_id":"","label":"x","behavior":"rolls"}]}', 3: '{"trajectories":[{"object_id":"object_3","action":"","behavior":"turns"}]}', 4: '{"trajectories":{"a":1},"objects":[{"label":"x"}]}', 5: None}
+    t = spark.createDataFrame(list(labels.items()), "id int, text string")
+    o = spark.createDataFrame([(k, k) for k in labels], "id int, obj_id int")
+    assert {r.id: (r.label, r.behaviour) for r in ml.fallback_label(t, o).collect()} == {1: ("object_1", "stationary"), 2: ("x", "rolls"), 3: ("object_3", "turns"), 4: ("object_4", "stationary"), 5: ("object_5", "stationary")}
