@@ -158,3 +158,26 @@ def checked(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     error = F.when(F.col("total_frames").isNull() | F.col("size_bytes").isNull(), "video not found").when(F.col("total_frames") <= 0, "video has no frames")
     marked = jobs.withColumn("error", error)
     return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL").select("job_id", F.lit("error").alias("status"), "error")
+
+
+def nested(objects: DataFrame) -> DataFrame:
+    """Objects of ``fuse`` as nested rows: semantic (label, confidence, method), motion, validation (consistency, temporal_consistency, violations, status), quality (avg_confidence, tracking_frames)."""
+    return objects.select(
+        "video", "object_id", F.struct("label", F.col("label_confidence").alias("confidence"), "method").alias("semantic"), F.struct("behaviour", "duration", "displacement", "mean_speed").alias("motion"),
+        F.struct("consistency", "temporal_consistency", F.col("total_violations").alias("violations"), F.col("physics_status").alias("status")).alias("validation"), F.struct("avg_confidence", "tracking_frames").alias("quality"),
+    )
+
+
+def reliable(results: DataFrame, above: float = 0.7) -> DataFrame:
+    """Nested rows whose consistency exceeds ``above``. On a Parquet table this filter, like the two below, reaches the scan, which reads the fields that are used."""
+    return results.where(F.col("validation.consistency") > above)
+
+
+def violating(results: DataFrame) -> DataFrame:
+    """Nested rows with physics violations."""
+    return results.where(F.col("validation.violations") > 0)
+
+
+def well_labelled(results: DataFrame, above: float = 0.8) -> DataFrame:
+    """Nested rows whose label is surer than ``above``."""
+    return results.where(F.col("semantic.confidence") > above)

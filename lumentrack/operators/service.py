@@ -46,3 +46,28 @@ def scene(objects: DataFrame, key: str) -> DataFrame:
 def overlay(points: DataFrame) -> DataFrame:
     """(obj_id, pos, x, y) -> frame_pos, obj_id, px, py: the whole pixels at which a track's point is drawn on the frame of its position."""
     return points.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("pos").alias("frame_pos"), "obj_id", F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"))
+
+
+def first_errors(failures: list[tuple[str, DataFrame]]) -> DataFrame:
+    """job_id, status, stage, error of each job that fails: the first of its failing stages, in the order given, and there the least message.
+
+    A stage's failures are rows (job_id, error); null errors and null ids count for none. Stages are judged side by side and meet in one
+    aggregation, so no stage waits for another; a failed job has one row, however many rows of it fail.
+    """
+    every = None
+    for rank, (stage, rows) in enumerate(failures):
+        own = rows.where("job_id IS NOT NULL AND error IS NOT NULL").select("job_id", F.struct(F.lit(rank).alias("rank"), F.lit(stage).alias("stage"), F.col("error").cast("string").alias("error")).alias("f"))
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy("job_id").agg(F.min("f").alias("f")).select("job_id", F.lit("error").alias("status"), "f.stage", "f.error")
+
+
+def process(jobs: DataFrame, failures: list[tuple[str, DataFrame]], results: DataFrame) -> DataFrame:
+    """A row each of ``jobs`` (job_id): its result columns with status success, or status error with its first failing stage and error; other jobs go on.
+
+    ``results`` has a row a job at most. A job that neither fails nor has a result succeeds with null columns; results of failed jobs, which later stages may have
+    made in part, are left out.
+    """
+    wrong = first_errors(failures).withColumnRenamed("status", "_status")
+    own = [c for c in results.columns if c != "job_id"]
+    j = jobs.select("job_id").join(wrong, "job_id", "left").join(results, "job_id", "left")
+    return j.select("job_id", F.coalesce("_status", F.lit("success")).alias("status"), "stage", "error", *[F.when(F.col("_status").isNull(), F.col(c)).alias(c) for c in own])

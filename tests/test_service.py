@@ -28,3 +28,24 @@ def test_scene_and_status(spark):
 def test_overlay(spark):
     points = spark.createDataFrame([(1, 0, 2.9, -2.9), (1, 1, None, 1.0)], "obj_id int, pos int, x double, y double")
     assert [tuple(r) for r in sv.overlay(points).collect()] == [(0, 1, 2, -2)]
+
+
+def test_first_errors(spark):
+    """A job's first failing stage is kept beside the results of the others."""
+    jobs = spark.createDataFrame([(k,) for k in range(5)], "job_id int")
+    rows = lambda *r: spark.createDataFrame(list(r), "job_id int, error string")
+    stages = [("source", rows((1, "not found"), (None, "x"))), ("masks", rows((2, "b"), (2, "a"), (1, "later"), (3, None))), ("fusion", rows((2, "later"), (4, "sizes differ")))]
+    results = spark.createDataFrame([(0, 7), (1, 8), (4, 9)], "job_id int, n int")
+    got = sorted(tuple(r) for r in sv.process(jobs, stages, results).collect())
+    assert got == [(0, "success", None, None, 7), (1, "error", "source", "not found", None), (2, "error", "masks", "a", None), (3, "success", None, None, None), (4, "error", "fusion", "sizes differ", None)]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from lumentrack.operators import fusion as fu
+
+    df = spark.range(10).selectExpr("0 AS video", "cast(id AS string) AS object_id", "struct('l' AS label, id / 10.0D AS confidence, 'm' AS method) AS semantic", "struct(id / 10.0D AS consistency, id AS violations) AS validation")
+    df.write.parquet(str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    for rows, pushed, n in ((fu.reliable(stored), "GreaterThan(validation.consistency,0.7)", 2), (fu.violating(stored), "GreaterThan(validation.violations,0)", 9), (fu.well_labelled(stored), "GreaterThan(semantic.confidence,0.8)", 1)):
+        plan = rows.select("object_id")._jdf.queryExecution().executedPlan().toString()
+        assert pushed in plan and "method" not in plan.split("ReadSchema")[1] and rows.count() == n
