@@ -37,6 +37,15 @@ def centroid(r: Column) -> tuple[Column, Column]:
     return F.when(n > 0, x / n).otherwise(0.0), F.when(n > 0, y / n).otherwise(0.0)
 
 
+def weighted_centroid(r: Column, values: Column, width: Column | int) -> Column:
+    """struct<x, y>: mean place of a mask's pixels, weighted by the row-major raster ``values``; null where the weights add up to nothing. Missing values weigh nothing."""
+    pixel = lambda s, x: F.struct(x.cast("double").alias("x"), s["y"].cast("double").alias("y"), F.coalesce(F.get(values, s["y"] * width + x), F.lit(0.0)).alias("w"))
+    pixels = F.flatten(F.transform(F.filter(r, lambda s: s["x1"] > s["x0"]), lambda s: F.transform(F.sequence(s["x0"], s["x1"] - 1), lambda x: pixel(s, x))))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "wxy"])
+    add = lambda t, p: F.struct((t["w"] + p["w"]).alias("w"), (t["x"] + p["w"] * p["x"]).alias("x"), (t["y"] + p["w"] * p["y"]).alias("y"))
+    return F.aggregate(pixels, zero, add, lambda t: F.when(t["w"] != 0, F.struct((t["x"] / F.when(t["w"] != 0, t["w"])).alias("x"), (t["y"] / F.when(t["w"] != 0, t["w"])).alias("y"))))
+
+
 def inside(r: Column, values: Column, width: Column | int) -> Column:
     """The values of a row-major raster under a mask."""
     return F.flatten(F.transform(r, lambda s: F.slice(values, s["y"] * width + s["x0"] + 1, s["x1"] - s["x0"])))

@@ -99,10 +99,9 @@ def sample(scores: DataFrame, bins: DataFrame, totals: DataFrame, most: int = 32
     )
 
 
-def prompt_grid(spark, width: float, height: float, n: int) -> DataFrame:
-    """n x n prompt points inside a tenth of margin, x outermost, numbered from 1; n = 0 gives the centre."""
-    if n == 0:
-        return spark.createDataFrame([(1, float(width // 2), float(height // 2))], "obj_id int, x double, y double")
-    at = lambda i, size: 0.1 * size + i * (0.8 * size / max(1, n - 1))
-    g = spark.range(n * n).select((F.col("id") + 1).cast("int").alias("obj_id"), F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("j"))
-    return g.select("obj_id", at(F.col("i"), width).alias("x"), at(F.col("j"), height).alias("y"))
+def prompt_grid(videos: DataFrame) -> DataFrame:
+    """(video, width, height, n) -> video, obj_id, x, y: n x n prompt points inside a tenth of margin, x outermost, numbered from 1; for n = 0 the centre, in whole pixels."""
+    n, i, j = F.col("n"), F.floor(F.col("k") / F.greatest("n", F.lit(1))), F.col("k") % F.greatest("n", F.lit(1))
+    at = lambda i, size: F.when(n == 0, F.floor(size / 2)).otherwise(0.1 * size + i * (0.8 * size / F.greatest(n - 1, F.lit(1))))
+    k = F.explode(F.sequence(F.lit(0), F.greatest(n * n, F.lit(1)) - 1))
+    return videos.withColumn("k", k).select("video", (F.col("k") + 1).cast("int").alias("obj_id"), at(i, F.col("width")).cast("double").alias("x"), at(j, F.col("height")).cast("double").alias("y"))

@@ -35,6 +35,12 @@ def mask_depth_point(spark, d):
     return s.join(depths, "mask_id").select("mask_id", r6(F.col("cx")).alias("x"), r6(F.col("cy")).alias("y"), r6(ra.bilinear(F.col("depths"), F.col("cx"), F.col("cy"))).alias("z"))
 
 
+def mask_weighted_centroid(spark, d):
+    """Centroids of masks by the strength of their logits."""
+    m = ra.as_runs(rasters(table(spark, d, "embeddings"))).select("mask_id", mk.weighted_centroid(F.col("runs"), F.col("logits"), 8).alias("c"))
+    return m.select("mask_id", r6(F.col("c.x")).alias("x"), r6(F.col("c.y")).alias("y"))
+
+
 def mask_shape(spark, d):
     s = ra.mask_shape(rasters(table(spark, d, "embeddings")))
     return s.withColumns({c: r6(F.col(c)) for c in ("perimeter", "compactness", "fragmentation")})
@@ -79,7 +85,7 @@ def retention(spark, d):
     return boxes.agg(F.count("*").alias("total")).crossJoin(gr.nms(boxes, 0.3).agg(F.count("*").alias("kept"))).select("total", "kept", F.round(F.col("kept") / F.greatest(F.lit(1), F.col("total")), 6).alias("ratio"))  # one row each
 
 
-QUERIES = {f.__name__: f for f in (mask_stats, mask_box_iou, mask_depth_point, mask_shape, mask_quality, depth_confidence, motion_magnitude, nms, temporal_mask_filter, retention)}
+QUERIES = {f.__name__: f for f in (mask_stats, mask_box_iou, mask_depth_point, mask_weighted_centroid, mask_shape, mask_quality, depth_confidence, motion_magnitude, nms, temporal_mask_filter, retention)}
 
 _ST = f"""{SQL['px']}, g AS (SELECT mask_id, any_value(frame) AS frame, count(*) FILTER (logit > 0) AS area, count(*) AS size, coalesce(avg(px) FILTER (logit > 0), 0) AS cx, coalesce(avg(py) FILTER (logit > 0), 0) AS cy, avg(abs(logit)) FILTER (logit > 0) AS strength,
   var_pop(depth) FILTER (logit > 0) AS spread, var_samp(py) FILTER (logit > 0) AS vyy, var_samp(px) FILTER (logit > 0) AS vxx, covar_samp(py, px) FILTER (logit > 0) AS vxy FROM px GROUP BY mask_id),
@@ -134,6 +140,7 @@ mi AS (SELECT i, CASE WHEN i + k < 0 THEN -1 - i - k WHEN i + k > 7 THEN 15 - i
 sm AS (SELECT p.video, p.frame, p.x, p.y, sum(n.gx * n.gx) AS a, sum(n.gx * n.gy) AS b, sum(n.gy * n.gy) AS c, sum(n.gx * n.gt) AS d, sum(n.gy * n.gt) AS e FROM pr p JOIN mi mx ON mx.i = p.x JOIN mi my ON my.i = p.y JOIN pr n ON n.video = p.video AND n.frame = p.frame AND n.x = mx.j AND n.y = my.j GROUP BY ALL),
 mg AS (SELECT video, frame, avg(CASE WHEN a * c - b * b > 1e-6 * (a + c) ** 2 THEN sqrt(((b * e - c * d) / (a * c - b * b)) ** 2 + ((b * d - a * e) / (a * c - b * b)) ** 2) ELSE 0.0 END) AS score FROM sm GROUP BY ALL)
 SELECT an.video, an.frame::INTEGER AS frame, round(coalesce(score, 0.0), 6) AS score FROM an LEFT JOIN mg ON mg.video = an.video AND mg.frame = an.frame""",
+    "mask_weighted_centroid": f"WITH {SQL['px']} SELECT mask_id, round(sum(px * logit) FILTER (logit > 0) / sum(logit) FILTER (logit > 0), 6) AS x, round(sum(py * logit) FILTER (logit > 0) / sum(logit) FILTER (logit > 0), 6) AS y FROM px GROUP BY mask_id",
     "mask_box_iou": f"""WITH {SQL['px']}, b AS (SELECT *, greatest(0, trunc(mask_id % 5 - 0.5)) AS x0, trunc(mask_id % 5 - 0.5) + mask_id % 7 AS x1, mask_id % 3 AS y0, mask_id % 3 + 4 AS y1 FROM px), c AS (SELECT mask_id, logit > 0 AS m, px >= x0 AND px < least(8, x1) AND py >= y0 AND py < least(8, y1) AS k FROM b)
 SELECT mask_id, round(CASE WHEN count(*) FILTER (m OR k) = 0 THEN 0.0 ELSE count(*) FILTER (m AND k) / count(*) FILTER (m OR k) END, 6) AS iou FROM c GROUP BY mask_id""",
     "mask_depth_point": f"""WITH {_ST}, f AS (SELECT mask_id, cx, cy, floor(cx) AS x0, floor(cy) AS y0 FROM g WHERE area > 0)

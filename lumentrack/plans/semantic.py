@@ -61,8 +61,9 @@ def sampling_metadata(spark, d):
 
 
 def prompt_grid(spark, d):
-    g = fr.prompt_grid(spark, 448, 448, 3)
-    return g.select("obj_id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+    """Each part is a video of its own size; every fourth is prompted at its centre alone, the others by grids of one to three points a side."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("video"), (F.col("p_size") * 16 + 3).alias("width"), (F.col("p_size") * 9 + 1).alias("height"), (F.col("p_partkey") % 4).cast("int").alias("n"))
+    return fr.prompt_grid(p).withColumns({c: r6(F.col(c)) for c in "xy"})
 
 
 def label_match(spark, d):
@@ -198,7 +199,9 @@ o AS (SELECT a.video, s.frame, round(CASE WHEN nf IS NULL OR s.frame = a.frame T
 c AS (SELECT video, count(*) AS sampled_frames FROM f GROUP BY video)
 SELECT tt.video, total AS total_frames, sampled_frames, CASE WHEN tt.video % 7 <> 0 THEN (SELECT count(*) FROM sgm WHERE sgm.video = tt.video) END AS motion_segments, CASE WHEN tt.video % 7 <> 0 THEN (SELECT count(*) FROM sn WHERE sn.video = tt.video) END AS scene_changes,
 CASE WHEN tt.video % 7 <> 0 THEN (SELECT round(avg(score), 6) FROM sc WHERE sc.video = tt.video) END AS avg_motion_intensity, CASE WHEN tt.video % 7 <> 0 THEN 'adaptive_motion_based' ELSE 'uniform_fallback' END AS sampling_strategy FROM tt JOIN c USING (video)""",
-    "prompt_grid": "SELECT (i * 3 + j + 1)::INTEGER AS obj_id, round(44.8::DOUBLE + i * 179.2::DOUBLE, 6) AS x, round(44.8::DOUBLE + j * 179.2::DOUBLE, 6) AS y FROM range(3) a(i), range(3) b(j)",
+    "prompt_grid": """WITH p AS (SELECT p_partkey AS video, p_size * 16 + 3 AS w, p_size * 9 + 1 AS h, p_partkey % 4 AS n FROM part)
+SELECT video, 1::INTEGER AS obj_id, (w // 2)::DOUBLE AS x, (h // 2)::DOUBLE AS y FROM p WHERE n = 0
+UNION ALL SELECT video, (i * n + j + 1)::INTEGER, round(0.1::DOUBLE * w + i * (0.8::DOUBLE * w / greatest(1, n - 1)), 6), round(0.1::DOUBLE * h + j * (0.8::DOUBLE * h / greatest(1, n - 1)), 6) FROM p, range(3) a(i), range(3) b(j) WHERE i < n AND j < n""",
     "label_match": f"""WITH {SQL['tr']}, p AS (SELECT obj_id, pos, CASE WHEN pos % 3 = 0 THEN 'object_' || pos ELSE label END AS label, y / 100 AS iou FROM tr), c AS (SELECT *, least(1.0, iou * CASE WHEN label LIKE 'object\\_%' ESCAPE '\\' THEN 1.0::DOUBLE ELSE 1.2 END) AS c FROM p WHERE iou >= 0.3),
 m AS (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY c DESC, pos) AS r FROM c)
 SELECT o.obj_id, coalesce(m.label, 'object_' || o.obj_id) AS label, round(coalesce(c, 0.5), 6) AS confidence, CASE WHEN m.obj_id IS NULL THEN 'fallback' ELSE 'spatial' END AS method FROM (SELECT DISTINCT obj_id FROM tr) o LEFT JOIN m ON m.obj_id = o.obj_id AND m.r = 1""",

@@ -140,3 +140,10 @@ def test_depth_of_any_size(spark):
     assert got[90] == got[91] == (0.0, 1.0, 0.0)
     plan = ra.depth_confidence(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "Exchange" not in plan
+
+
+def test_weighted_centroid(spark):
+    rows = [(1, [(0, 0, 2), (1, 1, 3)], [1.0, 3.0, 9.0, 9.0, 2.0, 4.0]), (2, [], [1.0] * 6), (3, [(0, 0, 2)], [0.0, 0.0] + [1.0] * 4), (4, [(1, 0, 3)], [1.0, 1.0, 1.0, None, 2.0])]
+    df = spark.createDataFrame(rows, f"id int, runs {RUNS}, v array<double>")
+    got = {r.id: r.c and tuple(r.c) for r in df.select("id", mk.weighted_centroid(F.col("runs"), F.col("v"), 3).alias("c")).collect()}
+    assert got == {1: ((3 + 2 + 8) / 10, 0.6), 2: None, 3: None, 4: (1.0, 1.0)}
