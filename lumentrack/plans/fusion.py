@@ -86,7 +86,7 @@ def stored_documents(spark, d):
 def filtered_results(spark, d):
     """Stored nested results by three filters: reliable, with violations, well labelled."""
     results = stored(fu.nested(_fused(spark, d)[0]), "results")
-    kinds = {"reliable": fu.reliable(results, 0.45), "violating": fu.violating(results), "well_labelled": fu.well_labelled(results, 0.4)}
+    kinds = {"reliable": fu.reliable(results, 0.46), "violating": fu.violating(results), "well_labelled": fu.well_labelled(results, 0.47)}
     found = None
     for name, rows in kinds.items():
         own = rows.select("object_id", "semantic.label", F.lit(name).alias("filter"))
@@ -203,7 +203,7 @@ ORACLE_SQL = {
     "fused_documents": f"""WITH RECURSIVE {_FUSED} SELECT object_id, count(*) OVER (PARTITION BY behaviour) AS n_alike, '{{"object_id":"' || object_id || '","label":"' || label || '","n_points":' || n_points || ',"behaviour":"' || behaviour || '"}}' AS document FROM fo""",
     "stored_documents": f"""WITH RECURSIVE {_FUSED} SELECT 'job_' || video AS job_id, object_id, label, behaviour, n_points::INTEGER AS n_points, round(p.t, 6) AS last_t, round(p.x, 6) + 0.0 AS last_x, round(p.y, 6) + 0.0 AS last_y, round(p.z, 6) + 0.0 AS last_z
 FROM fo JOIN pt p ON 'track_' || p.obj_id = object_id AND p.pos = n_points - 1""",
-    "filtered_results": f"""WITH RECURSIVE {_FUSED} SELECT object_id, label, 'reliable' AS filter FROM fo WHERE consistency > 0.45 UNION ALL SELECT object_id, label, 'violating' FROM fo WHERE total_violations > 0 UNION ALL SELECT object_id, label, 'well_labelled' FROM fo WHERE label_confidence > 0.4""",
+    "filtered_results": f"""WITH RECURSIVE {_FUSED} SELECT object_id, label, 'reliable' AS filter FROM fo WHERE consistency > 0.46 UNION ALL SELECT object_id, label, 'violating' FROM fo WHERE total_violations > 0 UNION ALL SELECT object_id, label, 'well_labelled' FROM fo WHERE label_confidence > 0.47""",
     "fusion_result": f"""WITH RECURSIVE {_FUSED}, jb AS (SELECT video, count(*) AS total_objects, arg_min(behaviour, object_id) <> 'stationary' AS dynamic FROM fo GROUP BY video),
 ac AS (SELECT video, avg(c) AS c FROM (SELECT video, CASE WHEN vec_id % 7 <> 0 THEN {_CONF} END AS c FROM mp GROUP BY video, vec_id) q GROUP BY video)
 SELECT 'job_' || s.video AS job_id, 'success' AS status, total_objects, round(ac.c, 6) AS mask_avg_confidence, dynamic, round(total_objects * count(*) / 100, 6) AS complexity, 'uniform_fallback' AS sampling_strategy, count(*) AS sampled_frames, 0.8::DOUBLE AS depth_avg_confidence, 0.9::DOUBLE AS semantic_confidence
