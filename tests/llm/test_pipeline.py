@@ -51,3 +51,24 @@ def test_rows_are_judged_by_their_own_text(spark):
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (None, c), (7, None), (9, "own text of nine that is longer")], key=str)
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_every_stage_on_edges(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, further columns with clashing names, and an empty table."""
+    long = "mail me at jane.doe@example.com or call. " * 40_000
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id here", None, "s", 10), (4, long, "en", "s", len(long)), (5, long + "end", "en", None, None), (6, "one two three", "en", "s", 13), (6, "one two three", "en", "s", 13), (7, " \n\t ", "", "", 4)]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, sig int, ids string, score int")
+    expected = {"quality_classifier": None, "near_dedup": 4, "decontamination": 8, "pii_masking": 8, "byte_bpe": 8}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        got = out.collect()
+        assert expected[name] is None or len(got) == expected[name], (name, len(got))
+        assert name == "byte_bpe" or out.columns == docs.columns, name
+        empty = stage(spark, docs.limit(0), "/root/testdata/sf0.001")
+        assert empty.count() == 0 and empty.columns == out.columns, name
+        if name == "pii_masking":
+            masked = {r.doc_id: r for r in got}
+            assert masked[1].text is None and masked[2].text == "" and masked[4].text == "mail me at [EMAIL] or call. " * 40_000 and masked[4].n_chars == len(masked[4].text)
+        if name == "byte_bpe":
+            tree = bytebpe.codec(*bytebpe._paths(None, None))
+            assert {r.doc_id: r.n_tokens for r in got}[4] == len(tree.bpe.encode_ordinary(long)) and {r.doc_id: r.n_tokens for r in got}[1] == 0
