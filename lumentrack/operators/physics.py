@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentrack.operators import trajectory as tj
+from lumentrack.sources.store import stored
 
 #: Limits by class (fixed values): speed, acceleration, jerk, needs gravity, may reverse at once, least contact in seconds.
 LIMITS = (
@@ -22,8 +23,8 @@ def limits(spark: SparkSession) -> DataFrame:
 
 
 def with_limits(classes: DataFrame, table: DataFrame) -> DataFrame:
-    """(obj_id, object_class) with its class's limits, in any case of letters; those of ``unknown`` where it has none. ``table`` has a row a class."""
-    named = classes.join(F.broadcast(table), F.lower("object_class") == F.col("class"), "left")
+    """(obj_id, object_class) with its class's limits, in any case of letters; those of ``unknown`` where it has none. ``table`` has a row a class; Spark broadcasts it if it is small."""
+    named = classes.join(table, F.lower("object_class") == F.col("class"), "left")
     default = table.where("class = 'unknown'").select(F.struct(*[c for c in table.columns if c != "class"]).alias("d"))
     pick = [F.coalesce(F.col(c), F.col(f"d.{c}")).alias(c) for c in table.columns if c != "class"]
     return named.crossJoin(F.broadcast(default)).select("obj_id", "object_class", *pick)  # one row of defaults
@@ -69,7 +70,7 @@ def report(points: DataFrame, classes: DataFrame, table: DataFrame, units: str =
     """
     own = with_limits(classes, table)
     moved = metres(points) if units == "pixels" else points
-    clamped = clamp(moved.join(own.select("obj_id", "max_speed", "max_acceleration"), "obj_id"))
+    clamped = stored(clamp(moved.join(own.select("obj_id", "max_speed", "max_acceleration"), "obj_id")), "clamped")  # the fold runs once for both sums
     count = lambda c: F.count_if(F.col(c)).alias(f"n_{c}")
     sums = clamped.groupBy("obj_id").agg(F.count("*").alias("n_points"), count("fast"), count("hard"), count("turned"))
     fall = tj.gravity_fit(clamped.join(own.where("requires_gravity").select("obj_id"), "obj_id", "left_semi"))

@@ -81,16 +81,16 @@ def track_clamp_acceleration(spark, d):
     return _clamped(tj.clamp_acceleration(_tracks(spark, d), MAX_ACCELERATION).withColumn("measure", F.col("measure") * 1e3))
 
 
-def _classes(points):
-    """A class for each track by its number; the last has no limits of its own."""
+def _classes(tracks):
+    """A class for each track (obj_id, any number of times) by its number; the last has no limits of its own."""
     names = F.array(*[F.lit(x) for x in ("Human", "robot", "ball", "drone", "vehicle", "cloud")])
-    return points.select("obj_id").distinct().select("obj_id", F.get(names, (F.col("obj_id") % 6).cast("int")).alias("object_class"))
+    return tracks.select("obj_id").distinct().select("obj_id", F.get(names, (F.col("obj_id") % 6).cast("int")).alias("object_class"))
 
 
 def physics_report(spark, d):
     """Violations of each track by type under the limits of its class; time runs a hundred thousand times as fast, so that the limits matter."""
     points = _tracks(spark, d).withColumn("t", F.col("t") / 1e5)
-    return ph.report(points, _classes(points), ph.limits(spark))
+    return ph.report(points, _classes(table(spark, d, "events").select(F.col("user_id").alias("obj_id"))), ph.limits(spark))
 
 
 QUERIES = {f.__name__: f for f in (track_smooth, track_summary, track_turns, track_minmax, track_standardize, track_acceleration, track_temporal_consistency, track_validity, track_interpolate, track_gravity, track_clamp_speed, track_clamp_midpoint, track_clamp_acceleration, physics_report)}
