@@ -1,17 +1,23 @@
 """Masks of any size as runs: rows (frame, obj_id, height, width, runs), where a run is (y, x0, x1) of pixels inside, x1 exclusive.
 
-Overlaps are found by joining runs that meet in a cell of one image row, so work follows what is near each other and
-not the number of pairs or pixels. Runs of a mask don't overlap each other.
+Overlaps are counted block by block: a frame's masks are dealt into blocks by place, and only blocks that may hold a pair meet.
+Runs of a mask don't overlap each other.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pixels of a cell along a row.
-CELL = 64
+from lumentrack.sources.store import stored
+
+#: Pixels of a tile's side, a word of bits.
+TILE = 64
+#: About how many runs, and how many masks, a block holds; and pairs that a task counts at a time. These change memory and speed only.
+LOAD, BLOCK, STRIP = 200_000, 8_000, 1 << 19
 
 
 def runs(values: Column, width: int, above: float = 0.0) -> Column:
@@ -66,17 +72,158 @@ def min_area(masks: DataFrame, least: float = 0.001) -> DataFrame:
     return masks.where(area(F.col("runs")) / (F.col("height") * F.col("width")) >= least)
 
 
+def _loads(masks: DataFrame) -> DataFrame:
+    """(frame, obj_id, area, runs as arrays y, x0 and x1, edges, load) of the masks with pixels; a mask's load is the number of its runs cut at the tiles' sides."""
+    take = lambda c: F.transform("runs", lambda s: s[c].cast("int")).alias(c)
+    rows = masks.where(F.col("frame").isNotNull() & (area(F.col("runs")) > 0)).select("frame", "obj_id", area(F.col("runs")).alias("area"), take("y"), take("x0"), take("x1"))
+    cuts = F.size("x0") + F.floor(F.col("area") / TILE)
+    return rows.withColumns({"load": F.greatest(cuts, F.lit(LOAD // BLOCK)), "top": F.array_min("y"), "bottom": F.array_max("y"), "left": F.array_min("x0"), "right": F.array_max("x1")})
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``_loads`` with their block: a frame's masks are one, or where they are too many, those whose middle is in one tile, dealt by hash."""
+    spot = {"ty": F.floor((F.col("top") + F.col("bottom")) / (2 * TILE)), "tx": F.floor((F.col("left") + F.col("right")) / (2 * TILE))}
+    rows = rows.withColumns(spot)
+    tiles = rows.groupBy("frame", "ty", "tx").agg(F.sum("load").alias("own"))
+    tiles = tiles.withColumn("all", F.sum("own").over(Window.partitionBy("frame"))).select("frame", "ty", "tx", (F.col("all") <= LOAD).alias("whole"), F.ceil(F.col("own") / LOAD).alias("slots"))
+    slot = F.pmod(F.xxhash64("obj_id"), F.col("slots"))
+    block = F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.xxhash64("ty", "tx", slot))
+    return rows.join(tiles, ["frame", "ty", "tx"]).withColumn("block", block).drop("ty", "tx", "whole", "slots")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Edges, areas and load of each block."""
+    return rows.groupBy("frame", "block").agg(*[f(c).alias(c) for c, f in (("top", F.min), ("bottom", F.max), ("left", F.min), ("right", F.max))], F.min("area").alias("least"), F.max("area").alias("most"), F.sum("load").alias("load"))
+
+
+class _Block:
+    """Masks of a block in a task: their runs, cut at tiles' sides."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.ids, self.area = batch.column("obj_id"), batch.column("area").to_numpy().astype(np.int64)
+        y, x0, x1 = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        owner = np.repeat(np.arange(len(self.area)), np.diff(batch.column("y").offsets.to_numpy()))
+        some = x1 > x0
+        y, x0, x1, owner = y[some], x0[some], x1[some], owner[some]
+        first = x0 // TILE
+        cuts = (x1 - 1) // TILE - first + 1
+        part = np.repeat(np.arange(len(y)), cuts)
+        tx = first[part] + np.arange(len(part)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        start, stop = np.maximum(x0[part] - tx * TILE, 0), np.minimum(x1[part] - tx * TILE, TILE)
+        word = (np.uint64(0xFFFFFFFFFFFFFFFF) >> (TILE - (stop - start)).astype(np.uint64)) << start.astype(np.uint64)
+        order = np.lexsort((owner[part], tx, y[part] // TILE))
+        ty, tx, self.owner, self.y, self.word = y[part][order] // TILE, tx[order], owner[part][order], y[part][order] % TILE, word[order]
+        starts = np.flatnonzero(np.concatenate([[True], (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1])]))
+        self.tiles = {(int(ty[a]), int(tx[a])): (a, b) for a, b in zip(starts, [*starts[1:], len(ty)], strict=True)}
+
+    def pixels(self, tile: tuple[int, int], first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the masks from ``first`` to ``last`` have pixels in a tile, and a row of its bits for each."""
+        a, b = self.tiles[tile]
+        a, b = a + np.searchsorted(self.owner[a:b], (first, last))
+        some, at = np.unique(self.owner[a:b], return_inverse=True)
+        rows = np.zeros((len(some), TILE), np.uint64)
+        np.bitwise_or.at(rows, (at, self.y[a:b]), self.word[a:b])
+        return some, np.unpackbits(rows.view(np.uint8), axis=1)
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    packed = np.packbits(bits, axis=1)
+    out = np.zeros((len(bits), -(-packed.shape[1] // 8) * 8), np.uint8)
+    out[:, : packed.shape[1]] = packed
+    return out.view(np.uint64)
+
+
+def _near(a: _Block, b: _Block, above: float):
+    """(places in a, places in b, iou) of the pairs above the share, for a few masks of a at a time; each pair once if both are one block."""
+    known = {}
+    for tile in a.tiles.keys() & b.tiles.keys():
+        some, bits = b.pixels(tile, 0, len(b.area))
+        used = np.flatnonzero(bits.any(axis=0))
+        known[tile] = some, used, _words(bits[:, used])
+    need = above / (1 + above) * (1 - 1e-9)  # n / (x + y - n) > above as a bound on n, a little low; survivors are divided
+    step = max(1, STRIP // len(b.area))
+    for first in range(0, len(a.area), step):
+        last = min(first + step, len(a.area))
+        common = np.zeros((last - first, len(b.area)), np.int32)
+        for tile, (some_b, used, words_b) in known.items():
+            some_a, bits = a.pixels(tile, first, last)
+            if not len(some_a):
+                continue
+            words_a = _words(bits[:, used])
+            n = np.zeros((len(some_a), len(some_b)), np.int32)
+            for k in range(words_b.shape[1]):
+                n += np.bitwise_count(words_a[:, k, None] & words_b[None, :, k])
+            common[np.ix_(some_a - first, some_b)] += n
+        x, y = np.nonzero((common > 0) & (common >= need * a.area[first:last, None] + need * b.area[None, :]))
+        x, n = x + first, common[x, y]
+        iou = n / (a.area[x] + b.area[y] - n)
+        keep = iou > above
+        keep &= (x < y) if a is b else True
+        if keep.any():
+            yield x[keep], y[keep], iou[keep]
+
+
+def _cells(batches):
+    """(frame, first block, second block or the same) of every cell of a task, whose rows come sorted by cell and side."""
+    held = []
+
+    def done():
+        every = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        side = every.column("side").to_numpy()
+        cut = int(np.searchsorted(side, 1))
+        own = _Block(every.slice(0, cut))
+        return every.column("frame").slice(0, 1), own, _Block(every.slice(cut)) if cut < len(side) else own
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("frame", "lo", "hi")]
+        change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        for a, b in zip([0, *change], [*change, batch.num_rows], strict=True):
+            part = batch.slice(a, b - a)
+            if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in ("frame", "lo", "hi")):
+                yield done()
+                held = []
+            held.append(part)
+    if held:
+        yield done()
+
+
+def _met(rows: DataFrame, others: DataFrame | None, above: float) -> DataFrame:
+    """Rows of both sides in the cells where two of their blocks meet, sorted; the blocks of one table with each other if ``others`` is none."""
+    rows = stored(_dealt(rows), "mask-blocks")
+    other_rows = rows if others is None else stored(_dealt(others), "mask-blocks")
+    edges = ("top", "bottom", "left", "right", "least", "most", "load")
+    side = lambda df, k: _blocks(df).select("frame", F.col("block").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in edges])
+    a, b = side(rows, "lo"), side(other_rows, "hi")
+    near = (F.col("top_lo") <= F.col("bottom_hi")) & (F.col("top_hi") <= F.col("bottom_lo")) & (F.col("left_lo") < F.col("right_hi")) & (F.col("left_hi") < F.col("right_lo"))
+    near = near & (F.col("most_lo") >= above * F.col("least_hi")) & (F.col("most_hi") >= above * F.col("least_lo"))
+    near = near & (F.col("lo") <= F.col("hi")) if others is None else near
+    cells = stored(a.join(b, "frame").where(near).select("frame", "lo", "hi", (F.col("load_lo") + F.col("load_hi")).alias("load")), "mask-cells")
+    n, load = cells.agg(F.count("*"), F.sum("load")).first()
+    left = rows.join(cells.select("frame", F.col("lo").alias("block"), "lo", "hi"), ["frame", "block"]).withColumn("side", F.lit(0))
+    right = cells.select("frame", F.col("hi").alias("block"), "lo", "hi")
+    right = other_rows.join(right.where("lo <> hi") if others is None else right, ["frame", "block"]).withColumn("side", F.lit(1))
+    parts = max(1, min(n, 64 + (load or 0) // LOAD))
+    both = left.unionByName(right).select("frame", "lo", "hi", "side", "obj_id", "area", "y", "x0", "x1")
+    return both.repartition(parts, "frame", "lo", "hi").sortWithinPartitions("frame", "lo", "hi", "side")
+
+
 def overlaps(masks: DataFrame, above: float) -> DataFrame:
-    """(frame, a, b, iou) of the pairs a < b of one frame whose IoU exceeds ``above`` (0 or more); masks without a common pixel never meet."""
-    spans = masks.select("frame", "obj_id", area(F.col("runs")).alias("area"), F.explode("runs").alias("s")).select("frame", "obj_id", "area", "s.*")
-    spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / CELL), F.floor((F.col("x1") - 1) / CELL))))
-    a, b = (spans.select("frame", "y", "cell", *[F.col(c).alias(f"{c}_{k}") for c in ("obj_id", "area", "x0", "x1")]) for k in "ab")
-    here = F.floor(F.greatest("x0_a", "x0_b") / CELL) == F.col("cell")  # two runs that meet in several cells count in the first
-    met = a.join(b, ["frame", "y", "cell"]).where((F.col("obj_id_a") < F.col("obj_id_b")) & (F.col("x0_a") < F.col("x1_b")) & (F.col("x0_b") < F.col("x1_a")) & here)
-    common = F.sum(F.least("x1_a", "x1_b") - F.greatest("x0_a", "x0_b"))
-    pairs = met.groupBy("frame", F.col("obj_id_a").alias("a"), F.col("obj_id_b").alias("b"), "area_a", "area_b").agg(common.alias("n"))
-    iou = F.col("n") / (F.col("area_a") + F.col("area_b") - F.col("n"))
-    return pairs.select("frame", "a", "b", iou.alias("iou")).where(F.col("iou") > above)
+    """(frame, a, b, iou) of the pairs a < b of one frame whose IoU exceeds ``above`` (0 or more); masks without a common pixel never meet.
+
+    A frame's masks are dealt into blocks, and two blocks that may hold a pair meet in a task, which counts common pixels in bits and yields final
+    rows. So masks are moved once for each block that theirs meets, and pairs are not moved at all.
+    """
+    schema = masks.select("frame", F.col("obj_id").alias("a"), F.col("obj_id").alias("b"), F.lit(0.0).alias("iou")).schema
+
+    def run(batches):
+        for frame, own, other in _cells(batches):
+            for x, y, iou in _near(own, other, above):
+                yield pa.RecordBatch.from_arrays([frame.take(pa.array(np.zeros(len(x), np.int64))), own.ids.take(pa.array(x)), other.ids.take(pa.array(y)), pa.array(iou)], ["frame", "a", "b", "iou"])
+
+    pairs = _met(_loads(masks), None, above).mapInArrow(run, schema)
+    return pairs.where("a <> b").select("frame", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "iou")
 
 
 def nms(masks: DataFrame, threshold: float = 0.7) -> DataFrame:
