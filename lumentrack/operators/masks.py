@@ -18,6 +18,8 @@ from lumentrack.sources.store import stored
 TILE = 64
 #: About how many runs, and how many masks, a block holds; and pairs that a task counts at a time. These change memory and speed only.
 LOAD, BLOCK, STRIP = 200_000, 8_000, 1 << 19
+#: Masks of a crowded frame that suppression decides at a time.
+LEAD = 512
 
 
 def runs(values: Column, width: int, above: float = 0.0) -> Column:
@@ -226,33 +228,71 @@ def overlaps(masks: DataFrame, above: float) -> DataFrame:
     return pairs.where("a <> b").select("frame", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "iou")
 
 
-def nms(masks: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(frame, obj_id) that stay: by confidence descending, then ord, a mask stays unless a kept mask of its frame overlaps it by more than ``threshold``.
+def _overlapped(masks: DataFrame, by: DataFrame, above: float) -> DataFrame:
+    """(frame, obj_id) of the ``masks`` that one of ``by`` overlaps by more than ``above``; some of them repeated."""
+    schema = masks.select("frame", "obj_id").schema
 
-    Only overlapping pairs are looked at: each mask knows those before it that it overlaps, and the
-    frame's masks stream through a task in order, which remembers the numbers of those kept.
-    """
-    rank = masks.select("frame", "obj_id", F.struct((-F.col("confidence")).alias("c"), "ord").alias("rank"))
+    def run(batches):
+        for frame, own, other in _cells(batches):
+            hit = np.zeros(len(other.area), bool)
+            for _, y, _ in _near(own, other, above):
+                hit[y] = True
+            yield pa.RecordBatch.from_arrays([frame.take(pa.array(np.zeros(int(hit.sum()), np.int64))), other.ids.filter(pa.array(hit))], ["frame", "obj_id"])
+
+    return _met(_loads(by), _loads(masks), above).mapInArrow(run, schema)
+
+
+def _greedy(rows: DataFrame, threshold: float) -> DataFrame:
+    """Suppression by all pairs that overlap: each mask knows those before it that do, and the masks that any does stream through a task a frame, which remembers the numbers of those gone."""
+    rank = rows.select("frame", "obj_id", "rank")
     side = lambda k: rank.select("frame", F.col("obj_id").alias(k), F.col("rank").alias(f"rank_{k}"))
-    pairs = overlaps(masks, threshold).join(side("a"), ["frame", "a"]).join(side("b"), ["frame", "b"])
+    pairs = overlaps(rows, threshold).join(side("a"), ["frame", "a"]).join(side("b"), ["frame", "b"])
     first = F.col("rank_a") < F.col("rank_b")
     before = pairs.groupBy("frame", F.when(first, F.col("b")).otherwise(F.col("a")).alias("obj_id")).agg(F.collect_list(F.when(first, F.col("a")).otherwise(F.col("b"))).alias("before"))
-    rows = rank.join(before, ["frame", "obj_id"], "left").select("frame", "obj_id", "rank", "before").repartition("frame").sortWithinPartitions("frame", "rank")
-    schema = rows.select("frame", "obj_id").schema
+    order = rank.join(before, ["frame", "obj_id"]).repartition("frame").sortWithinPartitions("frame", "rank").select("frame", "obj_id", "before")
+    schema = order.select("frame", "obj_id").schema
 
     def run(batches):
-        at, kept = object(), set()
+        at, gone = object(), set()
         for pdf in batches:
             out = []
             for frame, obj_id, before in zip(pdf["frame"], pdf["obj_id"], pdf["before"], strict=True):
                 if frame != at:
-                    at, kept = frame, set()
-                if before is None or kept.isdisjoint(before):
-                    kept.add(obj_id)
+                    at, gone = frame, set()
+                if any(e not in gone for e in before):
+                    gone.add(obj_id)
                     out.append((frame, obj_id))
             yield pd.DataFrame(out, columns=["frame", "obj_id"])
 
-    return rows.mapInPandas(run, schema)
+    return rank.select("frame", "obj_id").join(order.mapInPandas(run, schema), ["frame", "obj_id"], "left_anti")
+
+
+def nms(masks: DataFrame, threshold: float = 0.7, lead: int = LEAD) -> DataFrame:
+    """(frame, obj_id) that stay: by confidence descending, then ord, a mask stays unless a kept mask of its frame overlaps it by more than ``threshold``.
+
+    While a frame holds more than ``lead`` masks that are undecided, its first ``lead`` are decided among themselves, as none after them
+    counts, and the kept ones take away what they overlap, in all tasks. What is left, or no longer shrinks so, is decided by the pairs that overlap.
+    """
+    key = ["frame", "obj_id"]
+    rest = stored(masks.select(*key, F.struct((-F.col("confidence")).alias("c"), "ord").alias("rank"), "runs"), "nms-masks")
+    kept = None
+    while True:
+        full = stored(rest.groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") > lead), "nms-frames")
+        crowd = full.agg(F.sum("n")).first()[0]
+        if not crowd:
+            break
+        crowded = rest.join(full.select("frame"), "frame", "left_semi")
+        leaders = stored(crowded.withColumn("n", F.row_number().over(Window.partitionBy("frame").orderBy("rank"))).where(F.col("n") <= lead).drop("n"), "nms-leaders")
+        stay = stored(_greedy(leaders, threshold), "nms-kept")
+        kept = stay if kept is None else kept.unionByName(stay)
+        others = crowded.join(leaders.select(key), key, "left_anti")
+        hit = stored(_overlapped(others, leaders.join(stay, key, "left_semi"), threshold).distinct(), "nms-gone")
+        gone = hit.count()
+        rest = stored(rest.join(leaders.select(key).unionByName(hit), key, "left_anti"), "nms-masks")
+        if gone * 10 < crowd:
+            break
+    last = _greedy(rest, threshold)
+    return last if kept is None else kept.unionByName(last)
 
 
 def run_iou(a: list, b: list) -> float:

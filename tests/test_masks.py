@@ -43,3 +43,16 @@ def test_pairs_of_blocks(spark, monkeypatch, load):
         assert "MapInArrow" in plan and "Aggregate" not in plan.split("MapInArrow")[0]
         assert {(r.frame, r.a, r.b): round(r.iou, 9) for r in found.collect()} == {k: round(v, 9) for k, v in want.items() if v > above}
     assert mk.overlaps(df.where("obj_id < 0"), 0.3).count() == 0
+
+
+@pytest.mark.parametrize("lead", [5, 512])
+def test_suppression_of_crowded_frames(spark, lead):
+    """The first of a crowded frame take away what they overlap before any pairs of the others are made."""
+    rows = scattered(4, 90, 25) + [(0, 500, 500, 0.9, 100, 100, []), (3, 501, 501, 0.1, 100, 100, [(1, 1, 4)])]
+    want = shares(rows)
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[0], -r[3], r[2])):
+        if all(want.get((r[0], *sorted((k[1], r[1]))), 0) <= 0.3 for k in kept if k[0] == r[0]):
+            kept.append(r)
+    df = spark.createDataFrame(rows, f"frame int, obj_id long, ord long, confidence double, height int, width int, runs {RUNS}")
+    assert sorted((r.frame, r.obj_id) for r in mk.nms(df, 0.3, lead=lead).collect()) == sorted((r[0], r[1]) for r in kept)
