@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentrack.sources.store import stored
+
 BOX = ("x", "y", "w", "h")
+#: Boxes of a frame up to which suppression gathers them into one row. It changes speed only.
+FEW = 64
 
 
 def _sound() -> Column:
@@ -56,14 +60,12 @@ def box_pairs(boxes: DataFrame, above: float) -> DataFrame:
     return found.select("frame", F.least("ord", "other").alias("a"), F.greatest("ord", "other").alias("b"), (inner / union).alias("iou"))
 
 
-def nms(detections: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Greedy suppression in each frame: (frame, ord, confidence) of the boxes that stay. By confidence descending, then ord, a box stays unless a kept one overlaps it by more than ``threshold``.
+def _streamed(rows: DataFrame, threshold: float) -> DataFrame:
+    """Suppression in frames of any size, by the grid.
 
     Of equal boxes all but the first go at once. A box that none before it overlaps stays without more ado; only the others stream through a
     task in order, each with the numbers of those before it that overlap it, and the task remembers which of the frame went.
-    Boxes without an area overlap nothing and stay.
     """
-    rows = detections.select("frame", "ord", *[F.col(c).cast("double").alias(c) for c in BOX], "confidence")
     rank = F.struct((-F.col("confidence")).alias("c"), "ord")
     first = rows.where(_sound()).groupBy("frame", *BOX).agg(F.min(rank).alias("rank")).select("frame", F.col("rank.ord").alias("ord"), *BOX, "rank") if threshold < 1 else rows.where(_sound()).select("frame", "ord", *BOX, rank.alias("rank"))
     ranks = lambda k: first.select("frame", F.col("ord").alias(k), F.col("rank").alias(f"rank_{k}"))
@@ -88,3 +90,41 @@ def nms(detections: DataFrame, threshold: float = 0.7) -> DataFrame:
     gone = order.mapInPandas(run, schema)
     stays = first.select("frame", "ord", (-F.col("rank.c")).alias("confidence")).join(gone, ["frame", "ord"], "left_anti")
     return stays.unionByName(rows.where(~_sound() | _sound().isNull()).select("frame", "ord", "confidence"))
+
+
+def _gathered(rows: DataFrame, threshold: float) -> DataFrame:
+    """Suppression in frames of few boxes, each gathered into one row: a box is compared with the kept ones before it."""
+    box = F.struct((-F.col("confidence")).alias("c"), "ord", *BOX, "confidence", F.coalesce(_sound(), F.lit(False)).alias("sound"))
+    frames = rows.groupBy("frame").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
+
+    def over(a: Column, b: Column) -> Column:
+        width = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])
+        height = F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"])
+        inner = width * height
+        return a["sound"] & b["sound"] & (width > 0) & (height > 0) & (inner > threshold * (a["w"] * a["h"] + b["w"] * b["h"] - inner))
+
+    kept = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: over(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
+    return frames.select("frame", F.explode(kept).alias("b")).select("frame", "b.ord", "b.confidence")
+
+
+def nms(detections: DataFrame, threshold: float = 0.7, few: int = FEW) -> DataFrame:
+    """Greedy suppression in each frame: (frame, ord, confidence) of the boxes that stay. By confidence descending, then ord, a box stays unless a kept one overlaps it by more than ``threshold``.
+
+    Frames of up to ``few`` boxes are decided in a row each, so their boxes are moved once; those of more go by the grid. Boxes without an area
+    overlap nothing and stay. Boxes without a frame are of one frame.
+    """
+    if not 0 < threshold:
+        raise ValueError("the share must be over 0")
+    rows = detections.select("frame", "ord", *[F.col(c).cast("double").alias(c) for c in BOX], "confidence")
+    crowded = stored(rows.groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") > few).select(F.col("frame").alias("full")), "crowded-frames")
+    full = F.col("frame").eqNullSafe(F.col("full"))
+    stay = _gathered(rows.join(crowded, full, "left_anti"), threshold)
+    if crowded.isEmpty():
+        return stay
+    many = stored(rows.join(crowded, full, "left_semi"), "crowded-boxes")
+    stay = stay.unionByName(_streamed(many.where("frame IS NOT NULL"), threshold))
+    if crowded.where("full IS NULL").isEmpty():
+        return stay
+    kind = many.schema["frame"].dataType
+    lost = _streamed(many.where("frame IS NULL").withColumn("frame", F.lit(0).cast(kind)), threshold)
+    return stay.unionByName(lost.withColumn("frame", F.lit(None).cast(kind)))

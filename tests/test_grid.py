@@ -56,3 +56,19 @@ def test_masks_far_apart_do_not_meet(spark):
     wide = [(0, 0, 900)]
     m = spark.createDataFrame([(1, 1, wide), (1, 2, [(0, 100, 900)]), (1, 3, [(0, 950, 960)]), (1, 4, [(0, 0, 899), (1, 5, 6)])], f"frame long, obj_id long, runs {runs}")
     assert sorted((r.a, r.b, round(r.iou, 6)) for r in mk.overlaps(m, 0.5).collect()) == [(1, 2, 0.888889), (1, 4, round(899 / 901, 6)), (2, 4, round(799 / 901, 6))]
+
+
+@pytest.mark.parametrize("few", [1, 64, 1000])
+def test_frames_of_few_boxes_are_decided_in_a_row(spark, few):
+    """The same boxes stay on either way, and boxes of small frames are neither joined nor sent to Python; those without a frame are one frame's."""
+    rng = random.Random(few)
+    rows = [(rng.choice([1, 2, 3, 3, 3, 3]), k, rng.uniform(0, 30), rng.uniform(0, 30), rng.choice([4.0, 9.0]), rng.choice([3.0, 11.0]), rng.choice([0.1, 0.5, 0.9])) for k in range(240)]
+    rows += [(9, 300 + k, 1.0, 1.0, 4.0, 4.0, None if k == 3 else 0.5) for k in range(5)]
+    want = greedy([r for r in rows if r[0] != 9], 0.3) + [(9, 303)]
+    found = grid.nms(spark.createDataFrame(rows, SCHEMA), 0.3, few=few)
+    assert sorted((r.frame, r.ord) for r in found.collect()) == want
+    if few == 1000:
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and plan.count("Join") == plan.count("Join LeftAnti") <= 1
+    lost = [(None, *r[1:]) for r in rows if r[0] == 3]
+    assert sorted((3, r.ord) for r in grid.nms(spark.createDataFrame(lost, SCHEMA), 0.3, few=few).collect()) == [k for k in want if k[0] == 3]
