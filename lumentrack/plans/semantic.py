@@ -54,9 +54,10 @@ def extracted_frames(spark, d):
 
 
 def sampling_metadata(spark, d):
-    """How each user's frames were sampled."""
+    """How each user's frames were sampled; every user's video counts a second time, numbered -1 and down, as one whose analysis failed, so all of them fall back too."""
     p, totals = _scores(spark, d)
-    out = fr.sample(p, _bins(spark, d), totals, 28, 16)[1]
+    failed = totals.withColumn("video", -1 - F.col("video"))
+    out = fr.sample(p, _bins(spark, d), totals.unionByName(failed), 28, 16)[1]
     return out.withColumn("avg_motion_intensity", r6(F.col("avg_motion_intensity")))
 
 
@@ -197,7 +198,8 @@ o AS (SELECT a.video, s.frame, round(CASE WHEN nf IS NULL OR s.frame = a.frame T
     "extracted_frames": f"WITH {_SC}, n AS (SELECT video, total, least(32, total) AS n FROM tt) SELECT video, i::INTEGER AS i, (CASE WHEN i = n - 1 AND n > 1 THEN total - 1 ELSE floor(i * ((total - 1) / greatest(1, n - 1))) END)::INTEGER AS frame FROM n, range(32) r(i) WHERE i < n",
     "sampling_metadata": f"""WITH {_SEG}, {_ALLOC}, c AS (SELECT video, count(*) AS sampled_frames FROM (SELECT DISTINCT video, frame FROM fr) q GROUP BY video)
 SELECT tt.video, total AS total_frames, sampled_frames, (SELECT count(*) FROM sgm WHERE sgm.video = tt.video) AS motion_segments, (SELECT count(*) FROM sn WHERE sn.video = tt.video) AS scene_changes,
-(SELECT round(avg(score), 6) FROM sc WHERE sc.video = tt.video) AS avg_motion_intensity, 'adaptive_motion_based' AS sampling_strategy FROM tt JOIN c USING (video)""",
+(SELECT round(avg(score), 6) FROM sc WHERE sc.video = tt.video) AS avg_motion_intensity, 'adaptive_motion_based' AS sampling_strategy FROM tt JOIN c USING (video)
+UNION ALL SELECT -1 - video, any_value(total), count(DISTINCT CASE WHEN i = 27 THEN total - 1 ELSE floor(i * ((total - 1) / 27)) END), NULL, NULL, NULL, 'uniform_fallback' FROM tt, range(28) q(i) GROUP BY video""",
     "prompt_grid": """WITH p AS (SELECT p_partkey AS video, p_size * 16 + 3 AS w, p_size * 9 + 1 AS h, p_partkey % 4 AS n FROM part)
 SELECT video, 1::INTEGER AS obj_id, (w // 2)::DOUBLE AS x, (h // 2)::DOUBLE AS y FROM p WHERE n = 0
 UNION ALL SELECT video, (i * n + j + 1)::INTEGER, round(0.1::DOUBLE * w + i * (0.8::DOUBLE * w / greatest(1, n - 1)), 6), round(0.1::DOUBLE * h + j * (0.8::DOUBLE * h / greatest(1, n - 1)), 6) FROM p, range(3) a(i), range(3) b(j) WHERE i < n AND j < n""",
