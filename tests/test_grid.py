@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumentrack.operators import grid
 from lumentrack.operators import masks as mk
+from lumentrack.plans import raster
 
 SCHEMA = "frame int, ord int, x double, y double, w double, h double, confidence double"
 
@@ -72,3 +73,9 @@ def test_frames_of_few_boxes_are_decided_in_a_row(spark, few):
         assert "MapInPandas" not in plan and plan.count("Join") == plan.count("Join LeftAnti") <= 1
     lost = [(None, *r[1:]) for r in rows if r[0] == 3]
     assert sorted((3, r.ord) for r in grid.nms(spark.createDataFrame(lost, SCHEMA), 0.3, few=few).collect()) == [k for k in want if k[0] == 3]
+
+
+def test_retention_moves_boxes_once(spark):
+    """Its plan joins no boxes, as frames of order lines are small."""
+    plan = raster.retention(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("Join Inner") <= 1
