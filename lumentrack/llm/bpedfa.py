@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -81,7 +81,7 @@ class Automaton:
         self.row = own.ravel()[rows].tolist() if size else []
         self.trie: dict[tuple[int, str], int] = {}
         self.token = [-1]
-        self.end = end
+        self.end, self.depth = end, max(map(len, vocab), default=0)  # no token has more symbols than characters
         for text, i in vocab.items():
             node = 0
             for symbol in self.symbols(text[: -len(end)] if i in ends else text, i in ends):
@@ -91,6 +91,19 @@ class Automaton:
                 node = nxt
             self.token[node] = i
 
+    @cached_property
+    def nodes(self) -> dict:
+        """The trie as a chain of tables, symbol -> (next table, token or -1, the states that lack the token's arc); made anew in each worker."""
+        inner, leaf = {n for n, _ in self.trie}, {}
+        tables = [{} if n in inner else leaf for n in range(len(self.token))]
+        for (node, symbol), nxt in self.trie.items():
+            t = self.token[nxt]
+            tables[node][symbol] = tables[nxt], t, self.lacks[self.row[t]] if t >= 0 else b""
+        return tables[0]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "nodes"}
+
     def symbols(self, word: str, ended: bool = True) -> list[str]:
         """Characters, the last one with the mark of a word's end."""
         return [*word[:-1], word[-1] + self.end] if word and ended else list(word)
@@ -105,16 +118,21 @@ class Automaton:
         states, arcs = [-1] * (len(symbols) + 1), [-1] * (len(symbols) + 1)
         lengths = [0] * (len(symbols) + 1)
         states[0] = self.start
-        trie, token, lacks, row, after = self.trie, self.token, self.lacks, self.row, self.after
-        for i in range(len(symbols)):
-            state, node = states[i], 0
-            for k in range(i, len(symbols)) if state >= 0 else ():
-                node = trie.get((node, symbols[k]), -1)
-                if node < 0:
+        root, after, depth = self.nodes, self.after, self.depth
+        for i, state in enumerate(states):
+            if state < 0:
+                continue
+            table, byte, bit, k = root, state >> 3, 1 << (state & 7), i
+            for symbol in symbols[i : i + depth]:
+                found = table.get(symbol)
+                if found is None:
+                    break
+                table, t, lacks = found
+                k += 1
+                if t >= 0 and not lacks[byte] & bit:
+                    states[k], arcs[k], lengths[k] = after[t], t, k - i
+                if not table:
                     break
-                t = token[node]
-                if t >= 0 and not lacks[row[t]][state >> 3] >> (state & 7) & 1:
-                    states[k + 1], arcs[k + 1], lengths[k + 1] = after[t], t, k + 1 - i
         out, at = [], len(symbols)
         if symbols and arcs[at] < 0:
             raise ValueError("a character that the vocabulary lacks")
