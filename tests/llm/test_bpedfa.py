@@ -105,3 +105,48 @@ def test_query(spark):
 def test_order_of_merges():
     with pytest.raises(ValueError):
         bpedfa.Automaton({"a": 0, "b": 1, "ab": 2, "aba": 3}, [("ab", "a"), ("a", "b")])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_all_words_at_once(data):
+    """Many words give what each gives by itself, with a mark of the end and without; characters that no token has are an error."""
+    end = data.draw(st.sampled_from(["$", ""]))
+    parts, merges = sorted({"a", "b", "a" + end, "b" + end}), []
+    for _ in range(data.draw(st.integers(0, 12))):
+        u, v = data.draw(st.sampled_from([p for p in parts if not (end and p.endswith(end))])), data.draw(st.sampled_from(parts))
+        if u + v not in parts:
+            merges.append((u, v))
+            parts.append(u + v)
+    automaton = bpedfa.Automaton({p: i for i, p in enumerate(parts)}, merges, end)
+    words = data.draw(st.lists(st.text("ab", max_size=20), max_size=20))
+    assert automaton.encode_all(words) == [automaton.encode(w) for w in words]
+    with pytest.raises(ValueError):
+        automaton.encode_all([*words, "abca"])
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    """New words don't go one by one, in whatever texts they are, and however few are remembered or looked up at once."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéçABC"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ".", "'s", "!?7"])
+    texts = ["", " ", *[" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(100)], "", "日本 \x85 <|endoftext|>x", "x" * 300, " ".join(word() for _ in range(3000))]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    for together, size in ((20_000, 400_000), (50, 400_000), (300, 40)):
+        own = bpedfa.Codec(PATH, CODEC.automaton)
+        own.words.size = own.pieces.size = size
+        alone = []
+        monkeypatch.setattr(bpedfa, "TOGETHER", together)
+        monkeypatch.setattr(own.automaton, "encode", lambda w, alone=alone: alone.append(w) or bpedfa.Automaton.encode(CODEC.automaton, w))
+        got = list(own.each(texts))
+        assert [[int(i) for i in ids.split()] for _, ids, _ in got] == want and [n for n, _, _ in got] == list(map(len, want))
+        assert [d.decode() for _, _, d in got] == [LIBRARY.decode(ids, skip_special_tokens=False) for ids in want]
+        assert size < 1000 or len(alone) < 10
+
+
+def test_one_codec_of_a_worker(spark):
+    """Tasks get their codec by a function that is pickled by its name, so that it stays in the worker."""
+    import pickle
+
+    func = bpedfa._shared(spark, None).func
+    assert pickle.loads(pickle.dumps(func)) is bpedfa._own
